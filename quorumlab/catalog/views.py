@@ -5,14 +5,15 @@ from __future__ import annotations
 import re
 
 from quorumlab import constants as C
+from quorumlab.sources.samples import LABEL_SAMPLES
 
 
-def _text(value: str) -> str:
-    return "'" + value.replace("'", "''") + "'"
+def sql_text(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
 
 
 def name_list(values) -> str:
-    return "[" + ", ".join(_text(v) for v in values) + "]"
+    return "[" + ", ".join(sql_text(v) for v in values) + "]"
 
 
 BLANKS = " || ".join(f"chr({code})" for code in C.BLANK_CODES)
@@ -48,8 +49,16 @@ VIEWS = {
     "docs_labelled": """
         SELECT d.doc_id AS id, d.text, l.toxic AS label
         FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
-    "docs_raw": """
-        SELECT doc_id AS id, text, CAST(lang = 'en' AS INT) AS label FROM documents""",
+    "docs_noisy": """
+        SELECT doc_id AS id, CAST(lang = 'en' AS INT) AS label,
+               CASE doc_id % 25 WHEN 1 THEN ' EMPTY ' WHEN 2 THEN NULL WHEN 3 THEN ' ' || chr(10) || chr(9) || ' '
+                    WHEN 4 THEN chr(160) || ' ' || chr(10) || text || chr(12288) || chr(133) || ' '
+                    ELSE text END AS text FROM documents""",
+    "docs_typed": f"""
+        SELECT doc_id AS id, text, {name_list(LABEL_SAMPLES)}[doc_id % {len(LABEL_SAMPLES)} + 1] AS kind
+        FROM documents""",
+    "shards": """
+        SELECT *, CAST(id % 10 AS INT) AS client_id FROM docs_labelled""",
     "orders_labelled": """
         SELECT o_orderkey AS id, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END AS label
         FROM orders""",
@@ -112,6 +121,7 @@ def with_views(query: str) -> str:
     if not ctes:
         return query
     head = ",\n".join(ctes)
-    if query[:5].upper() == "WITH ":
-        return f"WITH {head},\n{query[5:]}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if query.startswith(opening):
+            return f"{opening}{head},\n{query[len(opening):]}"
     return f"WITH {head}\n{query}"

@@ -12,6 +12,12 @@ from quorumlab import constants as C
 from quorumlab.functions.numeric import lit
 
 
+LABEL_SAMPLES = [
+    *C.POSITIVE_LABELS, *C.NEGATIVE_LABELS, " Phishing Email ", "NOT SPAM", "anti-fraud team",
+    "unknown", "", None, "scammer", "safe-ish",
+]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -86,14 +92,35 @@ def docs_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(marks, "id")
 
 
-def docs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with a free-text type as label source; unlabelled ones are benign."""
+def docs_noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, some bodies replaced by placeholders, blanks or nothing."""
+    text, kind = F.col("text"), F.col("doc_id") % 25
+    noisy = (
+        F.when(kind == 1, " EMPTY ")
+        .when(kind == 2, F.lit(None).cast("string"))
+        .when(kind == 3, " \n\t ")
+        .when(kind == 4, F.concat(F.lit("\u00a0 \n"), text, F.lit("\u3000\u0085 ")))
+        .otherwise(text)
+    )
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), noisy.alias("text"), (F.col("lang") == "en").cast("int").alias("label")
+    )
+
+
+def docs_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with a label word each, covering every branch of the normalisation."""
+    words = F.array(*[F.lit(w) for w in LABEL_SAMPLES])
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), "text",
-        (F.col("lang") == "en").cast("int").alias("label"),
+        F.get(words, (F.col("doc_id") % len(LABEL_SAMPLES)).cast("int")).alias("kind"),
     )
 
 
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents dealt to ten clients."""
+    return docs_labelled(spark, sf_dir).withColumn("client_id", (F.col("id") % 10).cast("int"))
+
+
 def orders_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"),
