@@ -16,6 +16,11 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den != 0, num.cast("double") / den).otherwise(lit(0))
 
 
+def int_div(col: Column, divisor: int) -> Column:
+    """Integer quotient of a long column, exact beyond the range of doubles."""
+    return F.call_function("div", col.cast("long"), F.lit(divisor).cast("long"))
+
+
 def r4(col: Column) -> Column:
     """The four-decimal rounding every reported metric carries."""
     return F.round(col, 4)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumlab.functions.numeric import int_div
+
 CELL = ["round", "layer", "coord"]
 CLIENT = ["round", "client_id"]
 
@@ -14,7 +16,7 @@ def to_blocks(updates: DataFrame, block_size: int = 4096) -> DataFrame:
 
     The compact storage form: one row per client, layer and block, never one per layer.
     """
-    block = F.floor(F.col("coord") / block_size).cast("long").alias("block")
+    block = int_div(F.col("coord"), block_size).alias("block")
     return updates.groupBy(*CLIENT, "layer", block).agg(
         F.sort_array(F.collect_list(F.struct("coord", "value"))).alias("cells")
     )

@@ -15,6 +15,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumlab import constants as C
+from quorumlab.functions.numeric import int_div
 from quorumlab.operators.algebra import CLIENT
 
 BLOCK_SIZE = 4096
@@ -60,7 +62,7 @@ def _block_dots(cells: pa.Table) -> pa.Table:
 
 def _pair_sums(updates: DataFrame, block_size: int, reduce_block, name: str) -> DataFrame:
     if "block" not in updates.columns:
-        updates = updates.withColumn("block", F.floor(F.col("coord") / block_size).cast("long"))
+        updates = updates.withColumn("block", int_div(F.col("coord"), block_size))
     cells = updates.select(
         F.col("round").cast("int").alias("round"), F.col("client_id").cast("int").alias("client_id"),
         "layer", "block", "coord", "value",
@@ -114,22 +116,22 @@ def history(features: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
         .orderBy("round")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    block = F.floor(F.col("coord") / block_size).cast("long")
+    block = int_div(F.col("coord"), block_size)
     placed = features.withColumn("block", block).repartition("layer", "block")
     return placed.select(*CLIENT, "layer", "block", "coord", F.sum("value").over(so_far).alias("value"))
 
 
 def cosines(vectors: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
-    """Cosine of every client pair, both directions and the diagonal."""
-    products = dots(vectors, block_size)
-    lengths = products.filter("left_id = right_id").select(
-        "round", F.col("left_id").alias("id"), (F.sqrt("dot") + 1e-9).alias("length")
-    )
-    left = lengths.select("round", F.col("id").alias("client_id"), F.col("length").alias("_a"))
-    right = lengths.select("round", F.col("id").alias("other_id"), F.col("length").alias("_b"))
-    return (
-        both_directions(products, "dot")
-        .join(left, CLIENT)
-        .join(right, ["round", "other_id"])
-        .select(*CLIENT, "other_id", (F.col("dot") / (F.col("_a") * F.col("_b"))).alias("cosine"))
-    )
+    """Cosine of every client pair, both directions and the diagonal.
+
+    The diagonal of the products holds the squared lengths of both partners, so windows
+    over the pair table give them without a second pass over the vectors.
+    """
+    products = both_directions(dots(vectors, block_size), "dot")
+    own = F.when(F.col("client_id") == F.col("other_id"), F.col("dot"))
+
+    def length(side: str):
+        return F.sqrt(F.max(own).over(Window.partitionBy("round", side))) + C.EPS
+
+    cosine = F.col("dot") / (length("client_id") * length("other_id"))
+    return products.select(*CLIENT, "other_id", cosine.alias("cosine"))

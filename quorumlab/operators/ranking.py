@@ -11,10 +11,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlab import constants as C
+from quorumlab.functions.numeric import int_div
 from quorumlab.functions.text import order_key
 
 
@@ -81,10 +83,14 @@ def assign_segments(
         if hi > lo
         for cell in range(lo // width, (hi - 1) // width + 1)
     ]
+    names = ["_label", "_cell", "_lo", "_hi", "_client"]
+    columns = [list(c) for c in zip(*rows)] or [[] for _ in names]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    # Through Arrow the table is a local relation of known size, so the planner can broadcast it.
     table = spark.createDataFrame(
-        rows, "_label int, _cell long, _lo long, _hi long, _client int"
+        pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
     )
-    cell = F.floor(F.col(rank) / width).cast("long")
+    cell = int_div(F.col(rank), width)
     joined = ranked.join(
         table,
         (F.col(label_col) == F.col("_label"))

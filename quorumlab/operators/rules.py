@@ -71,15 +71,19 @@ def _mean_between(updates: DataFrame, low: Column, high: Column) -> DataFrame:
 def krum_scores(pairs: DataFrame, num_malicious: int = C.KRUM_NUM_MALICIOUS) -> DataFrame:
     """Sum of the max(1, n - f - 2) smallest distances of each client to the others."""
     both = pairwise.both_directions(pairs, "dist")
-    near = Window.partitionBy(*CLIENT).orderBy("dist", "other_id")
-    ranked = both.filter("client_id <> other_id").select(
-        *CLIENT, "dist", F.row_number().over(near).alias("pos"),
-        F.count("*").over(Window.partitionBy(*CLIENT)).alias("others"),
+    own = F.col("client_id") == F.col("other_id")
+    mine = Window.partitionBy(*CLIENT)
+    ranked = both.select(
+        *CLIENT,
+        "dist",
+        F.row_number().over(mine.orderBy(own.desc(), "dist", "other_id")).alias("pos"),  # itself first
+        F.count("*").over(mine).alias("n"),
+    )
+    m = F.greatest(F.lit(1), F.col("n") - num_malicious - 2)
+    near = (F.col("pos") > 1) & (F.col("pos") <= m + 1)
+    return ranked.groupBy(*CLIENT).agg(
+        F.coalesce(F.sum(F.when(near, F.col("dist"))), lit(0)).alias("score")
     )
-    m = F.greatest(F.lit(1), F.col("others") + 1 - num_malicious - 2)
-    scores = ranked.groupBy(*CLIENT).agg(F.sum(F.when(F.col("pos") <= m, F.col("dist"))).alias("score"))
-    everyone = pairs.filter("left_id = right_id").select("round", F.col("left_id").alias("client_id"))
-    return everyone.join(scores, CLIENT, "left").select(*CLIENT, F.coalesce("score", lit(0)).alias("score"))
 
 
 def krum_selection(
@@ -220,15 +224,18 @@ def similarity_weights(similar: DataFrame) -> DataFrame:
     cs = similar.withColumn(
         "cs", F.when(F.col("client_id") == F.col("other_id"), lit(-1)).otherwise(F.col("cosine"))
     )
-    tops = cs.groupBy(*CLIENT).agg(F.max("cs").alias("top"))
-    mine = cs.join(tops, CLIENT)
-    other = tops.select("round", F.col("client_id").alias("other_id"), F.col("top").alias("other_top"))
+    # The matrix is symmetric: the partner's maximum is the maximum of its column.
+    tops = cs.select(
+        *CLIENT, "other_id", "cs",
+        F.max("cs").over(Window.partitionBy("round", "other_id")).alias("other_top"),
+        F.max("cs").over(Window.partitionBy(*CLIENT)).alias("top"),
+    )
     pardon = (
         (F.col("client_id") != F.col("other_id"))
         & (F.col("other_top") > C.EPS)
         & (F.col("top") < F.col("other_top"))
     )
-    adjusted = mine.join(other, ["round", "other_id"]).withColumn(
+    adjusted = tops.withColumn(
         "adj",
         F.when(pardon, F.col("cs") * F.col("top") / F.col("other_top")).otherwise(F.col("cs")),
     )
