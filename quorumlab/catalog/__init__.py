@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["updates", "prep"]
+FAMILIES = ["updates", "prep", "text", "metrics"]
 
 
 def load():

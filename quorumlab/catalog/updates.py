@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quorumlab import constants as C
 from quorumlab.catalog.registry import query
+from quorumlab.functions.numeric import round_to
 from quorumlab.operators import algebra as U
 from quorumlab.operators import pairwise, rules
 from quorumlab.plans import strategy
@@ -16,7 +17,7 @@ CELL, CLIENT = U.CELL, U.CLIENT
 
 def _r6(df, *columns):
     for c in columns:
-        df = df.withColumn(c, F.round(c, 6))
+        df = df.withColumn(c, round_to(F.col(c), 6))
     return df
 
 
@@ -186,7 +187,7 @@ def multi_krum(spark, sf):
     FROM picked""")
 def multi_krum_excluded(spark, sf):
     clients = rules.krum(S.updates_attack(spark, sf)).clients
-    return clients.withColumn("score", F.round("score", 4))
+    return clients.withColumn("score", round_to(F.col("score"), 4))
 
 
 @query("a04c_single_krum", f"""
@@ -223,7 +224,7 @@ def norm_clip(spark, sf):
            round(scale, 4) AS scale, round(scale, 4) < 0.9 AS flagged FROM scales""")
 def norm_clip_clients(spark, sf):
     clients = rules.normclip(S.updates_attack(spark, sf)).clients
-    return clients.select(*CLIENT, *[F.round(c, 4).alias(c) for c in ("norm", "tau", "scale")], "flagged")
+    return clients.select(*CLIENT, *[round_to(F.col(c), 4).alias(c) for c in ("norm", "tau", "scale")], "flagged")
 
 
 @query("a05_norm_clip_fixed", """
@@ -285,7 +286,7 @@ def fltrust(spark, sf):
     FROM trust JOIN tops USING (round)""")
 def fltrust_clients(spark, sf):
     clients = rules.fltrust(S.updates_attack(spark, sf), S.root_update(spark, sf)).clients
-    return clients.select(*CLIENT, F.round("trust", 4).alias("trust"), "flagged")
+    return clients.select(*CLIENT, round_to(F.col("trust"), 4).alias("trust"), "flagged")
 
 
 _CLIP_TRUST = _CLIP + "," + _TRUST + """,
@@ -313,7 +314,7 @@ def fltrust_clip(spark, sf):
     FROM ct JOIN ctops USING (round)""")
 def fltrust_clip_clients(spark, sf):
     clients = rules.fltrust_clip(S.updates_attack(spark, sf), S.root_update(spark, sf)).clients
-    return clients.select(*CLIENT, F.round("trust", 4).alias("trust"), "scale", "flagged")
+    return clients.select(*CLIENT, round_to(F.col("trust"), 4).alias("trust"), "scale", "flagged")
 
 
 # --- similarity --------------------------------------------------------------------
@@ -457,7 +458,7 @@ def satrust(spark, sf):
     FROM wt""")
 def satrust_clients(spark, sf):
     clients = rules.satrust(S.updates_attack(spark, sf)).clients
-    rounded = [F.round(c, 4).alias(c) for c in ("agreement", "cosine", "trust", "weight")]
+    rounded = [round_to(F.col(c), 4).alias(c) for c in ("agreement", "cosine", "trust", "weight")]
     return clients.select(*CLIENT, *rounded, "flagged")
 
 

@@ -103,6 +103,62 @@ VIEWS = {
         SELECT event_id AS run, event_type AS batch, value * 10 AS seconds FROM events""",
 }
 
+def _score_sql(conf: str) -> str:
+    """Nine scores from a table with tp, tn, fp, fn."""
+    def frac(num: str, den: str) -> str:
+        return f"CASE WHEN ({den}) <> 0 THEN ({num})::DOUBLE / ({den}) ELSE 0 END"
+
+    return f"""
+        SELECT * EXCLUDE (p, r, s), round(2 * p * r / CASE WHEN p + r <> 0 THEN p + r ELSE 1 END, 4) AS f1,
+               round((r + s) / 2, 4) AS balanced_accuracy, round(p, 4) AS "precision", round(r, 4) AS recall,
+               round(s, 4) AS specificity
+        FROM (SELECT *, {frac("tp", "tp + fp")} AS p, {frac("tp", "tp + fn")} AS r, {frac("tn", "tn + fp")} AS s,
+                     round({frac("tp + tn", "tp + tn + fp + fn")}, 4) AS clean_accuracy,
+                     round({frac("fp", "fp + tn")}, 4) AS fpr, round({frac("fn", "fn + tp")}, 4) AS fnr,
+                     round(CASE WHEN sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)) > 1e-12
+                           THEN (tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn))
+                           ELSE 0 END, 4) AS mcc
+              FROM {conf})"""
+
+
+def confusion_sql(preds: str, by: str) -> str:
+    return f"""
+        SELECT {by}, count(*) FILTER (y_pred = 1 AND y_true = 1) AS tp,
+               count(*) FILTER (y_pred <> 1 AND y_true <> 1) AS tn,
+               count(*) FILTER (y_pred = 1 AND y_true <> 1) AS fp,
+               count(*) FILTER (y_pred <> 1 AND y_true = 1) AS fn FROM {preds} GROUP BY {by}"""
+
+
+def mean_of_r4(col: str) -> str:
+    """Exact mean of four-decimal values, rounded to 4 decimals."""
+    units = f"sum(CAST(round({col} * 10000) AS BIGINT))"
+    return f"CASE WHEN count({col}) > 0 THEN floor((2 * {units} + count({col}))::DOUBLE / (2 * count({col}))) / 10000 END"
+
+
+_RUN = "run, attack, defense, round"
+VIEWS.update({
+    "confusion": confusion_sql("preds", _RUN),
+    "scores": _score_sql("confusion"),
+    "scores_big": _score_sql(f"({confusion_sql('preds_big', 'run, round')})"),
+    "asr": f"""
+        SELECT {_RUN}, trigger, round(avg(CASE WHEN pred = 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS asr
+        FROM preds_triggered GROUP BY {_RUN}, trigger""",
+    "history": f"""
+        SELECT s.*, coalesce(a.m, 0) AS asr_manual, coalesce(a.s, 0) AS asr_semantic
+        FROM scores s LEFT JOIN (SELECT {_RUN}, max(asr) FILTER (trigger = 'manual') AS m,
+                                        max(asr) FILTER (trigger = 'semantic') AS s FROM asr GROUP BY {_RUN}) a
+             USING ({_RUN})""",
+    "last_rows": """
+        SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY round DESC) AS rn
+                                    FROM history) WHERE rn = 1""",
+    "own": """
+        SELECT *, CASE attack WHEN 'manual' THEN asr_manual ELSE asr_semantic END AS own_asr FROM history""",
+    "mean_rates": f"""
+        SELECT run, {mean_of_r4("own_asr")} AS "ASR_mean" FROM (SELECT * FROM own WHERE round > 0) GROUP BY run""",
+    "run_seconds": """
+        SELECT run, sum(CAST(h AS BIGINT)) / 10.0::DOUBLE AS seconds FROM run_grid GROUP BY run""",
+})
+
 _ORDER = list(VIEWS)
 
 

@@ -21,9 +21,18 @@ def int_div(col: Column, divisor: int) -> Column:
     return F.call_function("div", col.cast("long"), F.lit(divisor).cast("long"))
 
 
+def round_to(col: Column, digits: int) -> Column:
+    """Round the binary value, not its shortest decimal form.
+
+    39.425 is stored slightly below the tie and so rounds to 39.42, as it does for
+    engines that scale, round and scale back.
+    """
+    return F.round(col * 10.0**digits, 0) / 10.0**digits
+
+
 def r4(col: Column) -> Column:
     """The four-decimal rounding every reported metric carries."""
-    return F.round(col, 4)
+    return round_to(col, 4)
 
 
 def mean_of_r4(col: Column) -> Column:

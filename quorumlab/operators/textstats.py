@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlab import constants as C
-from quorumlab.functions.numeric import lit, r4, ratio
+from quorumlab.functions.numeric import lit, r4, ratio, round_to
 from quorumlab.functions.text import looks_suspicious, rare_token_rate, tokens
 
 # A vocabulary of at most this many tokens is a few tens of megabytes and is broadcast;
@@ -89,7 +89,7 @@ def trigger_summary(
         r4(F.avg("oov_ratio")).alias("oov_ratio"),
         r4(F.avg("avg_word_frequency")).alias("avg_word_frequency"),
         r4(F.avg("caught")).alias("filter_detection_rate"),
-        F.round(F.avg("n_tokens"), 2).alias("avg_length_words"),
+        round_to(F.avg("n_tokens"), 2).alias("avg_length_words"),
         F.min_by("text", "k").alias("example"),
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quorumlab import constants as C
 from quorumlab.functions.numeric import lit
+from quorumlab.operators import metrics
 
 
 LABEL_SAMPLES = [
@@ -215,3 +216,16 @@ def run_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("run"), F.col("event_type").alias("batch"),
         (F.col("value") * 10).alias("seconds"),
     )
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per run and round: scores and both success rates."""
+    return metrics.evaluation_rows(
+        preds(spark, sf_dir), preds_triggered(spark, sf_dir), ["run", "attack", "defense", "round"]
+    )
+
+
+def run_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in duration per run, derived from its predictions."""
+    docs = docs_labelled(spark, sf_dir).drop("text")
+    return run_grid(docs).groupBy("run").agg((F.sum("h").cast("double") / 10).alias("seconds"))
