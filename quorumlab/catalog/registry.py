@@ -10,6 +10,7 @@ from quorumlab.catalog.views import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+BARE_SQL: dict[str, str] = {}  # oracle texts before the sample views are added
 
 
 def query(name: str, sql: str | None = None):
@@ -18,6 +19,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
+            BARE_SQL[name] = sql
             ORACLES[name] = with_views(sql)
         return fn
 

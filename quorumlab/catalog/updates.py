@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quorumlab import constants as C
-from quorumlab.catalog.registry import query
+from quorumlab.catalog.registry import BARE_SQL, query
+from quorumlab.catalog.views import with_views
 from quorumlab.functions.numeric import round_to
 from quorumlab.operators import algebra as U
 from quorumlab.operators import pairwise, rules
@@ -153,11 +154,11 @@ _DIST = """
     near AS (SELECT *, row_number() OVER (PARTITION BY round, client_id ORDER BY dist, other_id) AS pos,
                     count(*) OVER (PARTITION BY round, client_id) AS others
              FROM dist WHERE client_id <> other_id),
-    scores AS (SELECT round, client_id, sum(dist) AS score FROM near
+    krum_score AS (SELECT round, client_id, sum(dist) AS score FROM near
                WHERE pos <= greatest(1, others + 1 - 3 - 2) GROUP BY round, client_id),
     picked AS (SELECT round, client_id, score,
                       row_number() OVER (PARTITION BY round ORDER BY score, client_id) AS pos,
-                      count(*) OVER (PARTITION BY round) AS n FROM scores)"""
+                      count(*) OVER (PARTITION BY round) AS n FROM krum_score)"""
 
 
 @query("a04a_pair_distances", f"""
@@ -169,7 +170,7 @@ def pair_distances(spark, sf):
 
 
 @query("a04b_krum_scores", f"""
-    WITH {_DIST} SELECT round, client_id, round(score, 6) AS score FROM scores""")
+    WITH {_DIST} SELECT round, client_id, round(score, 6) AS score FROM krum_score""")
 def krum_scores(spark, sf):
     return _r6(rules.krum_scores(pairwise.distances(S.updates_attack(spark, sf))), "score")
 
@@ -474,7 +475,31 @@ def rule_distances(spark, sf):
     return _r6(strategy.distance_from_honest(aggregates, honest), "distance")
 
 
-query("a13_rule_distances")(rule_distances)
+_RULE_SQL = {
+    "fedavg": BARE_SQL["a01_fedavg"],
+    "median": BARE_SQL["a02_median"],
+    "trimmed": BARE_SQL["a03_trimmed_mean"],
+    "krum": BARE_SQL["a04c_multi_krum"],
+    "normclip": BARE_SQL["a05_norm_clip"],
+    "fltrust": BARE_SQL["a07_fltrust"],
+    "foolsgold": BARE_SQL["a09f_foolsgold"].replace("updates_collude) - 2", "updates_collude) - 4")
+    .replace("updates_collude", "updates_attack"),
+    "fltrust_clip": BARE_SQL["a08_fltrust_clip"],
+    "rlr": BARE_SQL["a10_rlr"].replace("updates_plain", "updates_attack"),
+    "satrust": BARE_SQL["a12_satrust"],
+}
+# The aggregates enter the distances unrounded.
+_ALL_RULES = " UNION ALL ".join(
+    f"SELECT '{rule}' AS rule, round, layer, coord, value FROM ({with_views(sql.replace(', 6) AS value', ', 15) AS value'))})"
+    for rule, sql in _RULE_SQL.items()
+)
+_HONEST = with_views("""
+    SELECT round, layer, coord, avg(value) AS h FROM updates_attack WHERE client_id < 7
+    GROUP BY round, layer, coord""")
+query("a13_rule_distances", f"""
+    WITH honest AS ({_HONEST})
+    SELECT rule, round, round(sqrt(sum((value - h) ** 2)), 6) AS distance
+    FROM ({_ALL_RULES}) JOIN honest USING (round, layer, coord) GROUP BY rule, round""")(rule_distances)
 
 
 @query("a13_basic_rule_distances", """

@@ -163,13 +163,17 @@ _ORDER = list(VIEWS)
 
 
 def with_views(query: str) -> str:
-    """Prefix a query with the sample views it uses, directly or through each other."""
+    """Prefix a query with the sample views it uses, directly or through each other.
+
+    A query may define a name of its own that a view also has.
+    """
+    own = {name for name in _ORDER if re.search(rf"\b{name}(\([^)]*\))? AS \(", query)}
     needed: set[str] = set()
     todo = [query]
     while todo:
         text = todo.pop()
         for name in _ORDER:
-            if name not in needed and re.search(rf"\b{name}\b", text):
+            if name not in needed | own and re.search(rf"\b{name}\b", text):
                 needed.add(name)
                 todo.append(VIEWS[name])
     ctes = [f"{name} AS ({VIEWS[name]})" for name in _ORDER if name in needed]

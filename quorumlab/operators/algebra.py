@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlab.functions.numeric import int_div
+from quorumlab.operators.joins import join_checked, row_bound
 
 CELL = ["round", "layer", "coord"]
 CLIENT = ["round", "client_id"]
@@ -82,17 +83,23 @@ def client_index(results: DataFrame, num_clients: int) -> DataFrame:
     )
 
 
-def weighted_mean(updates: DataFrame, weights: DataFrame, eps: float = 0.0) -> DataFrame:
-    """sum(w * v) / (sum(w) + eps) per cell, for ``weights(round, client_id, w)``.
+def join_clients(updates: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """Updates with the columns of a table of one row per round and client.
 
-    The weight table has one row per client and round; whether it is broadcast is left
-    to its measured size.  Rounds whose weights sum to nothing give zeros.
+    Its size is the number of clients, counted on two columns of the updates.
     """
-    joined = updates.join(weights.select(*CLIENT, "w"), CLIENT)
-    total = F.sum("w") + F.lit(float(eps))
+    return join_checked(updates, table, CLIENT, row_bound(clients(updates)), how)
+
+
+def weighted_mean(updates: DataFrame, weights: DataFrame) -> DataFrame:
+    """sum(w * v) / sum(w) per cell, for ``weights(round, client_id, w)``.
+
+    Rounds whose weights sum to nothing give zeros.
+    """
+    joined = join_clients(updates, weights.select(*CLIENT, "w"))
     return (
         joined.groupBy(*CELL)
-        .agg(F.sum(F.col("w") * F.col("value")).alias("_s"), total.alias("_t"))
+        .agg(F.sum(F.col("w") * F.col("value")).alias("_s"), F.sum("w").alias("_t"))
         .select(
             *CELL,
             F.when(F.abs("_t") > 1e-9, F.col("_s") / F.col("_t")).otherwise(F.lit(0.0)).alias("value"),

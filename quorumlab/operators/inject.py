@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from quorumlab import constants as C
 from quorumlab.functions.numeric import malicious_count
 from quorumlab.functions.text import hash_index, insert_phrase, pool_pick
+from quorumlab.operators.joins import join_checked
 from quorumlab.operators.ranking import with_rank
 
+# Trigger phrases are sentences, so fewer of them than of numeric rows are broadcast.
+BROADCAST_PHRASES = 10_000
+
 
 def inject(
     shards: DataFrame,
@@ -117,8 +121,7 @@ def fill_from_pool(slots: DataFrame, pool: DataFrame, seed: int = C.SEED) -> Dat
     ``slots`` has ``slot``; ``pool`` has ``(id, text)``.  Slots already filled are
     passed by leaving them out, topping up is filling the missing ones.
     """
-    ordered = with_rank(pool, seed=seed, rank="place", total="_size")
-    size = pool.agg(F.count("*")).scalar()
-    return slots.withColumn("place", F.pmod(F.col("slot"), size)).join(
-        ordered.select("place", F.col("text").alias("trigger")), "place", "left"
-    ).drop("place")
+    size = pool.count()
+    ordered = with_rank(pool, seed=seed, rank="place").select("place", F.col("text").alias("trigger"))
+    placed = slots.withColumn("place", F.pmod(F.col("slot"), F.lit(size)))
+    return join_checked(placed, ordered, ["place"], size, "left", limit=BROADCAST_PHRASES).drop("place")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quorumlab.functions.numeric import lit
 from quorumlab.functions.text import tokens
+from quorumlab.operators.joins import join_checked, row_bound
 
 DIM = 1024
 
@@ -32,11 +33,12 @@ def featurise(docs: DataFrame, dim: int = DIM) -> DataFrame:
     return docs.select(*others, slots.alias("slots"))
 
 
-def margins(features: DataFrame, weights: DataFrame) -> DataFrame:
+def margins(features: DataFrame, weights: DataFrame, dim: int = DIM) -> DataFrame:
     """Linear score per row id.
 
     The bias enters as one more occurrence per row, so rows without tokens score too.
-    What leaves a task is one partial sum per row.
+    The weight table has ``dim + 1`` rows; up to the checked limit it is broadcast and
+    what leaves a task is one partial sum per row.
     """
     n = F.size("slots")
     used = F.concat(
@@ -45,12 +47,12 @@ def margins(features: DataFrame, weights: DataFrame) -> DataFrame:
     )
     rows = features.select("id", F.inline(used))
     w = weights.select("layer", "coord", F.col("value").alias("w"))
-    return rows.join(w, ["layer", "coord"]).groupBy("id").agg(F.sum(F.col("w") * F.col("x")).alias("margin"))
+    return join_checked(rows, w, ["layer", "coord"], dim + 1).groupBy("id").agg(F.sum(F.col("w") * F.col("x")).alias("margin"))
 
 
-def predict(features: DataFrame, weights: DataFrame) -> DataFrame:
+def predict(features: DataFrame, weights: DataFrame, dim: int = DIM) -> DataFrame:
     """Class 1 where the score is positive."""
-    scored = margins(features, weights)
+    scored = margins(features, weights, dim)
     return scored.select("id", "margin", F.when(F.col("margin") > 0, 1).otherwise(0).alias("pred"))
 
 
@@ -62,7 +64,7 @@ def client_updates(
     ``features`` has ``(client_id, id, label, slots)``.
     """
     probability = 1.0 / (1.0 + F.exp(-F.col("margin")))
-    residual = features.join(margins(features, weights), "id").select(
+    residual = features.join(margins(features, weights, dim), "id").select(
         "client_id", "slots", (probability - F.col("label")).alias("g")
     )
     n = F.size("slots")
@@ -84,7 +86,7 @@ def client_updates(
         .groupBy("client_id", "layer", "coord").agg(F.sum("v").alias("g"))
     )
     step = F.lit(float(-learning_rate)) * F.col("g") / F.col("n")
-    return sums.join(sizes, "client_id").select("client_id", "layer", "coord", step.alias("value"))
+    return join_checked(sums, sizes, ["client_id"], row_bound(sizes)).select("client_id", "layer", "coord", step.alias("value"))
 
 
 def server_update(

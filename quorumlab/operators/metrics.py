@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlab import constants as C
-from quorumlab.functions.numeric import lit, r4, ratio, round_to
+from quorumlab.functions.numeric import int_div, lit, r4, ratio, round_to
 
 KEY = ("run", "round")
 COUNTS = ["tp", "tn", "fp", "fn"]
@@ -122,14 +122,25 @@ def evaluation_rows(
     return joined.fillna(0.0, subset=[f"asr_{t}" for t in triggers])
 
 
-def round_seconds(times: DataFrame) -> DataFrame:
+def round_seconds(times: DataFrame, slices: int = 4096) -> DataFrame:
     """Seconds since the previous evaluation of the run ended, and seconds of evaluation.
 
-    ``times`` has ``(run, round, start_us, end_us)``; rounds follow each other in time.
+    ``times`` has ``(run, round, start_us, end_us)``.  The time range is cut into equal
+    slices, so a run with most of the rows is spread over tasks: within a slice the
+    previous row is a window away, and the first row of a slice takes the last end of
+    the run's previous slice (at most ``slices`` rows per run).
     """
-    order = Window.partitionBy("run").orderBy("start_us", "round")
-    since = F.col("start_us") - F.lag("end_us").over(order)
-    return times.select(
+    span = times.agg(F.min("start_us").alias("low"), F.max("start_us").alias("high"))
+    width = span.select(F.greatest(F.lit(1), int_div(F.col("high") - F.col("low"), slices) + 1)).scalar()
+    cut = times.withColumn("_slice", F.call_function("div", F.col("start_us"), width))
+    ends = cut.groupBy("run", "_slice").agg(F.max_by("end_us", F.struct("start_us", "round")).alias("_end"))
+    earlier = ends.select(
+        "run", "_slice", F.lag("_end").over(Window.partitionBy("run").orderBy("_slice")).alias("_before")
+    )
+    order = Window.partitionBy("run", "_slice").orderBy("start_us", "round")
+    placed = cut.withColumn("_lag", F.lag("end_us").over(order)).join(earlier, ["run", "_slice"])
+    since = F.col("start_us") - F.coalesce("_lag", "_before")
+    return placed.select(
         "run", "round",
         round_to(since / 1e6, 2).alias("round_seconds"),
         round_to((F.col("end_us") - F.col("start_us")) / 1e6, 2).alias("eval_seconds"),

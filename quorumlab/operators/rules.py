@@ -19,7 +19,11 @@ from quorumlab.operators import algebra as U
 from quorumlab.operators import pairwise
 
 CELL, CLIENT = U.CELL, U.CLIENT
-ROUND = Window.partitionBy("round")
+
+
+def _round():
+    return Window.partitionBy("round")
+
 
 
 class Outcome(NamedTuple):
@@ -37,7 +41,7 @@ def fedavg(updates: DataFrame, counts: DataFrame | None = None) -> Outcome:
     if counts is None:
         n, rows = lit(1), updates
     else:
-        n, rows = F.col("n").cast("double"), updates.join(counts.select(*CLIENT, "n"), CLIENT)
+        n, rows = F.col("n").cast("double"), U.join_clients(updates, counts.select(*CLIENT, "n"))
     mean = (F.sum(n * F.col("value")) / (F.sum(n) + C.EPS)).alias("value")
     return Outcome(rows.groupBy(*CELL).agg(mean), _unflagged(updates))
 
@@ -91,7 +95,7 @@ def krum_selection(
 ) -> DataFrame:
     """Clients with their score and whether they are left out of the aggregate."""
     order = Window.partitionBy("round").orderBy("score", "client_id")
-    kept = F.greatest(F.lit(1), F.count("*").over(ROUND) - num_malicious) if multi else F.lit(1)
+    kept = F.greatest(F.lit(1), F.count("*").over(_round()) - num_malicious) if multi else F.lit(1)
     return scores.select(*CLIENT, "score", (F.row_number().over(order) > kept).alias("flagged"))
 
 
@@ -104,7 +108,7 @@ def krum(
     """Mean of the clients closest to their neighbours, or the single closest one."""
     pairs = pairwise.distances(updates, block_size)
     chosen = krum_selection(krum_scores(pairs, num_malicious), num_malicious, multi)
-    kept = updates.join(chosen.filter(~F.col("flagged")).select(*CLIENT), CLIENT, "left_semi")
+    kept = U.join_clients(updates, chosen.filter(~F.col("flagged")).select(*CLIENT), "left_semi")
     eps = C.EPS if multi else 0.0
     mean = (F.sum("value") / (F.count("*") + lit(eps))).alias("value")
     return Outcome(kept.groupBy(*CELL).agg(mean), chosen)
@@ -115,7 +119,7 @@ def clip_scales(
 ) -> DataFrame:
     """Norm, clip threshold and scale per client; flagged when scaled below 0.9."""
     if mode == "median":
-        tau = F.median("norm").over(ROUND)
+        tau = F.median("norm").over(_round())
     else:
         tau = lit(1.0 if threshold is None else threshold)
     scale = F.least(lit(1), F.col("tau") / (F.col("norm") + C.EPS))
@@ -139,7 +143,7 @@ def normclip(
     tasks give the same values.
     """
     scaled = clip_scales(U.norms(updates), mode, threshold)
-    joined = updates.join(scaled.select(*CLIENT, "scale"), CLIENT)
+    joined = U.join_clients(updates, scaled.select(*CLIENT, "scale"))
     mean = F.sum(F.col("value") * F.col("scale")) / (F.count("*") + C.EPS)
     aggregate = joined.groupBy(*CELL).agg(mean.alias("value"))
     if noise_std > 0:
@@ -177,7 +181,7 @@ def trust_scores(updates: DataFrame, root: DataFrame) -> DataFrame:
 
 
 def _flag_low_trust(trusted: DataFrame) -> DataFrame:
-    top = F.max("trust").over(ROUND)
+    top = F.max("trust").over(_round())
     low = (F.col("trust") <= 0) | ((top > 0) & (F.col("trust") < 0.3 * top))
     return trusted.withColumn("flagged", low)
 
@@ -185,9 +189,9 @@ def _flag_low_trust(trusted: DataFrame) -> DataFrame:
 def _trust_weighted(updates: DataFrame, trusted: DataFrame) -> DataFrame:
     """Sum of trust-weighted updates rescaled to the root norm, over the sum of trust."""
     gain = F.col("trust") * F.col("scale") * (F.col("root_norm") + C.EPS) / (F.col("scale") * F.col("norm") + C.EPS)
-    weights = trusted.select(*CLIENT, gain.alias("gain"), F.sum("trust").over(ROUND).alias("total"))
+    weights = trusted.select(*CLIENT, gain.alias("gain"), F.sum("trust").over(_round()).alias("total"))
     return (
-        updates.join(weights, CLIENT)
+        U.join_clients(updates, weights)
         .groupBy(*CELL)
         .agg(F.sum(F.col("gain") * F.col("value")).alias("_s"), F.max("total").alias("_t"))
         .select(*CELL, F.when(F.col("_t") > C.EPS, F.col("_s") / F.col("_t")).otherwise(lit(0)).alias("value"))
@@ -243,7 +247,7 @@ def similarity_weights(similar: DataFrame) -> DataFrame:
         F.max("top").alias("max_cosine"), F.max("adj").alias("max_adjusted")
     )
     spread = raw.withColumn("w0", clip(1 - F.col("max_adjusted"), 0.0, 1.0))
-    best = F.max("w0").over(ROUND)
+    best = F.max("w0").over(_round())
     scaled = spread.withColumn("w1", F.when(best > C.EPS, F.col("w0") / best).otherwise(F.col("w0")))
     bounded = scaled.withColumn(
         "w2",
@@ -251,7 +255,7 @@ def similarity_weights(similar: DataFrame) -> DataFrame:
     )
     logit = clip(F.ln(F.col("w2") / (1 - F.col("w2"))) + 0.5, 0.0, 1.0)
     weighted = bounded.withColumn("weight", logit)
-    peak = F.max("weight").over(ROUND)
+    peak = F.max("weight").over(_round())
     limit = F.when(peak > C.EPS, 0.5 * peak).otherwise(lit(0))
     return weighted.withColumn("flagged", F.col("weight") <= limit).select(
         *CLIENT, "max_cosine", "max_adjusted", "weight", "flagged"
@@ -308,7 +312,7 @@ def consensus_statistics(updates: DataFrame) -> DataFrame:
         F.sum(F.col("value") * F.col("mean")).alias("dot"),
         F.sum(F.col("mean") * F.col("mean") / F.col("size")).alias("_mean_part"),
     )
-    return per_client.withColumn("mean_norm", F.sqrt(F.sum("_mean_part").over(ROUND))).drop("_mean_part")
+    return per_client.withColumn("mean_norm", F.sqrt(F.sum("_mean_part").over(_round()))).drop("_mean_part")
 
 
 def sign_agreement(updates: DataFrame) -> DataFrame:
@@ -323,11 +327,11 @@ def satrust(updates: DataFrame, w_sign: float = C.SATRUST_W_SIGN) -> Outcome:
     )
     trust = lit(w_sign) * F.col("agreement") + lit(1.0 - w_sign) * F.col("cosine")
     scored = stats.withColumn("trust", trust).withColumn(
-        "raw", F.greatest(lit(0), F.col("trust") - 0.5 * F.median("trust").over(ROUND))
+        "raw", F.greatest(lit(0), F.col("trust") - 0.5 * F.median("trust").over(_round()))
     )
-    weight = F.when(F.sum("raw").over(ROUND) <= C.EPS, lit(1)).otherwise(F.col("raw"))
+    weight = F.when(F.sum("raw").over(_round()) <= C.EPS, lit(1)).otherwise(F.col("raw"))
     weighted = scored.withColumn("w", weight)
-    peak = F.max("w").over(ROUND)
+    peak = F.max("w").over(_round())
     limit = F.when(peak > C.EPS, 0.5 * peak).otherwise(lit(0))
     flagged = weighted.withColumn("flagged", F.col("w") <= limit)
     clients = flagged.select(

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorumlab.operators import algebra as U
 from quorumlab.operators import learn, metrics
 from quorumlab.plans import strategy
 from quorumlab.session import cut_lineage
@@ -39,7 +40,7 @@ def run_scenario(
     roots = cut_lineage(learn.featurise(root, dim)) if root is not None else None
 
     weights = learn.zero_weights(spark, dim)
-    history, logs = [evaluate(run, 0, weights, tests, probes)], []
+    history, logs = [evaluate(run, 0, weights, tests, probes, dim)], []
     for number in range(1, num_rounds + 1):
         tag = F.lit(number).alias("round")
         updates = learn.client_updates(features, weights, learning_rate, dim).select(tag, "*")
@@ -48,19 +49,21 @@ def run_scenario(
             reference = learn.server_update(roots, weights, learning_rate, dim).select(tag, "*")
         current = weights.select(tag, "layer", "coord", "value")
         updates = cut_lineage(updates)
-        local = strategy.U.add_global(updates, current)
+        local = U.add_global(updates, current)
         stepped, outcome = strategy.global_step(rule, local, current, reference, counts.select(tag, "*"))
         weights = cut_lineage(strategy.carry_forward(stepped, current).drop("round"))
-        history.append(evaluate(run, number, weights, tests, probes))
+        history.append(evaluate(run, number, weights, tests, probes, dim))
         logs.append(strategy.diagnostics_log(run, outcome))
     return reduce(DataFrame.unionByName, history), reduce(DataFrame.unionByName, logs)
 
 
-def evaluate(run: str, number: int, weights: DataFrame, tests: DataFrame, probes: DataFrame) -> DataFrame:
+def evaluate(
+    run: str, number: int, weights: DataFrame, tests: DataFrame, probes: DataFrame, dim: int = learn.DIM
+) -> DataFrame:
     """The history row of one round: scores on the test set, success rate per trigger."""
     tags = [F.lit(run).alias("run"), F.lit(number).alias("round")]
-    preds = tests.join(learn.predict(tests, weights), "id").select(
+    preds = tests.join(learn.predict(tests, weights, dim), "id").select(
         *tags, F.col("label").alias("y_true"), F.col("pred").alias("y_pred")
     )
-    hits = probes.select("id", "trigger").join(learn.predict(probes, weights), "id").select(*tags, "trigger", "pred")
+    hits = probes.select("id", "trigger").join(learn.predict(probes, weights, dim), "id").select(*tags, "trigger", "pred")
     return metrics.evaluation_rows(preds, hits)

@@ -171,10 +171,14 @@ def preds_triggered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preds_big(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One prediction per line item, grouped into runs by ship mode stand-ins."""
+    """One prediction per line item; the line status is the run, the line number the round."""
+    return line_predictions(table(spark, sf_dir, "lineitem"))
+
+
+def line_predictions(lineitem: DataFrame) -> DataFrame:
     truth = (F.col("l_returnflag") == "R").cast("int")
     h = (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729) % 100
-    return table(spark, sf_dir, "lineitem").select(
+    return lineitem.select(
         F.col("l_linestatus").alias("run"), F.col("l_linenumber").alias("round"),
         truth.alias("y_true"), F.when(h < 5, 1 - truth).otherwise(truth).alias("y_pred"),
     )
@@ -182,7 +186,11 @@ def preds_big(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document lines dressed as log output: colours, worker prefixes, repeats, noise."""
-    lines = table(spark, sf_dir, "documents").select(
+    return dress_lines(table(spark, sf_dir, "documents"))
+
+
+def dress_lines(documents: DataFrame) -> DataFrame:
+    lines = documents.select(
         "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "body")
     )
     body = F.col("body")
