@@ -1,13 +1,15 @@
 """Pair statistics between the clients of a round.
 
-The pairs are of clients, not of cells: each block of coordinates is reduced to one
-partial number per client pair inside its task, and only those partials are summed
-across blocks.  A block holds at most ``block_size`` coordinates of every client.
+The pairs are of clients, never of cells.  Cells are shuffled once, packed into one row
+per coordinate; as they stream through a task, each batch is a (coordinates x clients)
+matrix that is reduced to one running (clients x clients) matrix per round.  Only those
+matrices leave the task.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,69 +22,111 @@ from quorumlab.functions.numeric import int_div
 from quorumlab.operators.algebra import CLIENT
 
 BLOCK_SIZE = 4096
-# The block functions travel inside the plan: executors need not have this package.
+# The reducers travel inside the plan: executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _PAIR_SCHEMA = "round int, left_id int, right_id int, part double"
+_CHUNK = 1_000_000  # matrix cells worked on at a time
+_HELD = 30_000_000  # pair numbers a task holds before it hands them on
 
 
-def _matrix(cells: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Client ids and the (coordinates x clients) matrix of one block; gaps are NaN."""
-    ids, column = np.unique(cells["client_id"].to_numpy(), return_inverse=True)
-    coords, row = np.unique(cells["coord"].to_numpy(), return_inverse=True)
-    matrix = np.full((coords.size, ids.size), np.nan)
-    matrix[row, column] = cells["value"].to_numpy()
-    return ids, matrix
+def _squared_distances(x: np.ndarray) -> np.ndarray:
+    n = x.shape[1]
+    out = np.zeros((n, n))
+    for i in range(n):
+        out[i, i:] = np.nansum((x[:, i:] - x[:, i : i + 1]) ** 2, axis=0)
+    return out
 
 
-def _pair_table(cells: pa.Table, ids: np.ndarray, left: np.ndarray, right: np.ndarray, part: np.ndarray) -> pa.Table:
-    rounds = np.full(left.size, cells["round"][0].as_py(), dtype=np.int32)
-    return pa.table(
-        {
-            "round": pa.array(rounds, pa.int32()),
-            "left_id": pa.array(ids[left], pa.int32()),
-            "right_id": pa.array(ids[right], pa.int32()),
-            "part": pa.array(part, pa.float64()),
-        }
-    )
+def _products(x: np.ndarray) -> np.ndarray:
+    x = np.nan_to_num(x)
+    return np.triu(x.T @ x)
 
 
-def _block_distances(cells: pa.Table) -> pa.Table:
-    ids, x = _matrix(cells)
-    left, right = np.triu_indices(ids.size)
-    rows = [np.nansum((x[:, i:] - x[:, i : i + 1]) ** 2, axis=0) for i in range(ids.size)]
-    return _pair_table(cells, ids, left, right, np.concatenate(rows))
+class _RoundSum:
+    """Running pair matrix of one round; clients may show up late."""
 
+    def __init__(self) -> None:
+        self.ids = np.empty(0, dtype=np.int32)
+        self.total = np.zeros((0, 0))
 
-def _block_dots(cells: pa.Table) -> pa.Table:
-    ids, x = _matrix(cells)
-    gram = np.nan_to_num(x).T @ np.nan_to_num(x)
-    left, right = np.triu_indices(ids.size)
-    return _pair_table(cells, ids, left, right, gram[left, right])
+    def add(self, ids: np.ndarray, part: np.ndarray) -> None:
+        known = np.union1d(self.ids, ids)
+        if known.size != self.ids.size:
+            grown = np.zeros((known.size, known.size))
+            place = np.searchsorted(known, self.ids)
+            grown[np.ix_(place, place)] = self.total
+            self.ids, self.total = known, grown
+        place = np.searchsorted(self.ids, ids)
+        self.total[np.ix_(place, place)] += part
 
 
-def _pair_sums(updates: DataFrame, block_size: int, reduce_block, name: str) -> DataFrame:
-    if "block" not in updates.columns:
-        updates = updates.withColumn("block", int_div(F.col("coord"), block_size))
-    cells = updates.select(
-        F.col("round").cast("int").alias("round"), F.col("client_id").cast("int").alias("client_id"),
-        "layer", "block", "coord", "value",
-    )
-    parts = cells.groupBy("round", "layer", "block").applyInArrow(reduce_block, _PAIR_SCHEMA)
+def _matrix(client: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Client ids and the (coordinates x clients) matrix of packed cells; gaps are NaN."""
+    ids = np.unique(client)
+    if (sizes == ids.size).all() and (client.reshape(-1, ids.size) == ids).all():
+        return ids, value.reshape(-1, ids.size)
+    matrix = np.full((sizes.size, ids.size), np.nan)
+    matrix[np.repeat(np.arange(sizes.size), sizes), np.searchsorted(ids, client)] = value
+    return ids, matrix
+
+
+def _pair_reducer(reduce: Callable[[np.ndarray], np.ndarray]):
+    def emit(sums: dict[int, _RoundSum]) -> Iterator[pa.RecordBatch]:
+        for number, pairs in sums.items():
+            left, right = np.triu_indices(pairs.ids.size)
+            columns = [
+                pa.array(np.full(left.size, number), pa.int32()),
+                pa.array(pairs.ids[left], pa.int32()),
+                pa.array(pairs.ids[right], pa.int32()),
+                pa.array(pairs.total[left, right], pa.float64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["round", "left_id", "right_id", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, _RoundSum] = {}
+        for batch in batches:
+            rounds = batch.column("round").to_numpy()
+            for number in np.unique(rounds):
+                rows = batch.filter(pa.array(rounds == number))
+                clients, values = rows.column("client_ids"), rows.column("client_values")
+                sizes = np.diff(clients.offsets.to_numpy())
+                ids, matrix = _matrix(clients.flatten().to_numpy(), values.flatten().to_numpy(), sizes)
+                pairs = sums.setdefault(int(number), _RoundSum())
+                step = max(1, _CHUNK // ids.size)
+                for start in range(0, len(matrix), step):
+                    pairs.add(ids, reduce(matrix[start : start + step]))
+            if sum(p.total.size for p in sums.values()) > _HELD:
+                yield from emit(sums)
+                sums.clear()
+        yield from emit(sums)
+
+    return run
+
+
+def _pair_sums(updates: DataFrame, reduce: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
+    placed = [c for c in ("block",) if c in updates.columns]  # partitioned by block already
+    cell = F.struct(F.col("client_id").cast("int").alias("client_id"), F.col("value").cast("double").alias("value"))
+    packed = updates.groupBy("round", "layer", "coord", *placed).agg(F.sort_array(F.collect_list(cell)).alias("_c"))
+    parts = packed.select(
+        F.col("round").cast("int").alias("round"),
+        F.col("_c.client_id").alias("client_ids"),
+        F.col("_c.value").alias("client_values"),
+    ).mapInArrow(_pair_reducer(reduce), _PAIR_SCHEMA)
     return parts.groupBy("round", "left_id", "right_id").agg(F.sum("part").alias(name))
 
 
-def distances(updates: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
+def distances(updates: DataFrame) -> DataFrame:
     """Squared distances ``(round, left_id <= right_id, dist)``.
 
     Differences are squared directly; expanding the square would cancel for
     near-identical clients.
     """
-    return _pair_sums(updates, block_size, _block_distances, "dist")
+    return _pair_sums(updates, _squared_distances, "dist")
 
 
-def dots(updates: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
+def dots(updates: DataFrame) -> DataFrame:
     """Dot products ``(round, left_id <= right_id, dot)``; the diagonal has the squared norms."""
-    return _pair_sums(updates, block_size, _block_dots, "dot")
+    return _pair_sums(updates, _products, "dot")
 
 
 def both_directions(pairs: DataFrame, value: str) -> DataFrame:
@@ -121,13 +165,13 @@ def history(features: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
     return placed.select(*CLIENT, "layer", "block", "coord", F.sum("value").over(so_far).alias("value"))
 
 
-def cosines(vectors: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
+def cosines(vectors: DataFrame) -> DataFrame:
     """Cosine of every client pair, both directions and the diagonal.
 
     The diagonal of the products holds the squared lengths of both partners, so windows
     over the pair table give them without a second pass over the vectors.
     """
-    products = both_directions(dots(vectors, block_size), "dot")
+    products = both_directions(dots(vectors), "dot")
     own = F.when(F.col("client_id") == F.col("other_id"), F.col("dot"))
 
     def length(side: str):

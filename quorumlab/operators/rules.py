@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlab import constants as C
-from quorumlab.functions.numeric import clip, gaussian, lit, r4
+from quorumlab.functions.numeric import clip, gaussian, int_div, lit, r4
 from quorumlab.operators import algebra as U
 from quorumlab.operators import pairwise
 
@@ -48,28 +48,17 @@ def fedavg(updates: DataFrame, counts: DataFrame | None = None) -> Outcome:
 
 def median(updates: DataFrame) -> Outcome:
     """Coordinate-wise exact median: the middle value, or the mean of the two middles."""
-    return Outcome(_mean_between(updates, _low_middle(), _high_middle()), _unflagged(updates))
+    return Outcome(U.mean_between(updates, lambda n: int_div(n + 1, 2), lambda n: int_div(n, 2) + 1), _unflagged(updates))
 
 
 def trimmed(updates: DataFrame, ratio: float = C.TRIMMED_RATIO) -> Outcome:
     """Coordinate-wise mean without the k lowest and k highest, k = floor(ratio * n)."""
-    k = F.floor(lit(ratio) * F.col("n"))
-    low = F.when(2 * k < F.col("n"), k + 1).otherwise(F.lit(1))
-    high = F.when(2 * k < F.col("n"), F.col("n") - k).otherwise(F.col("n"))
-    return Outcome(_mean_between(updates, low, high), _unflagged(updates))
 
+    def k(n: Column) -> Column:
+        cut = F.floor(lit(ratio) * n)
+        return F.when(2 * cut < n, cut).otherwise(0)  # too few clients: keep all
 
-def _low_middle() -> Column:
-    return F.floor((F.col("n") + 1) / 2)
-
-
-def _high_middle() -> Column:
-    return F.floor(F.col("n") / 2) + 1
-
-
-def _mean_between(updates: DataFrame, low: Column, high: Column) -> DataFrame:
-    ranked = U.cell_ranks(updates).filter((F.col("pos") >= low) & (F.col("pos") <= high))
-    return ranked.groupBy(*CELL).agg(F.avg("value").alias("value"))
+    return Outcome(U.mean_between(updates, lambda n: k(n) + 1, lambda n: n - k(n)), _unflagged(updates))
 
 
 def krum_scores(pairs: DataFrame, num_malicious: int = C.KRUM_NUM_MALICIOUS) -> DataFrame:
@@ -103,10 +92,9 @@ def krum(
     updates: DataFrame,
     num_malicious: int = C.KRUM_NUM_MALICIOUS,
     multi: bool = True,
-    block_size: int = pairwise.BLOCK_SIZE,
 ) -> Outcome:
     """Mean of the clients closest to their neighbours, or the single closest one."""
-    pairs = pairwise.distances(updates, block_size)
+    pairs = pairwise.distances(updates)
     chosen = krum_selection(krum_scores(pairs, num_malicious), num_malicious, multi)
     kept = U.join_clients(updates, chosen.filter(~F.col("flagged")).select(*CLIENT), "left_semi")
     eps = C.EPS if multi else 0.0
@@ -270,7 +258,7 @@ def foolsgold(
 ) -> Outcome:
     """Down-weight clients whose summed history looks too much like another client's."""
     features = pairwise.last_layers(updates, last_layers, num_layers)
-    similar = pairwise.cosines(pairwise.history(features, block_size), block_size)
+    similar = pairwise.cosines(pairwise.history(features, block_size))
     weights = similarity_weights(similar)
     named = weights.withColumnRenamed("weight", "w")
     return Outcome(U.weighted_mean(updates, named), weights)
