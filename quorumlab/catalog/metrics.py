@@ -99,26 +99,32 @@ def ca_recovery_rows(spark, sf):
 # --- detection ----------------------------------------------------------------------
 
 _FLAGS = """
-    norms AS (SELECT round, client_id, sqrt(sum(value * value)) AS norm FROM {t} GROUP BY ALL),
-    flags AS (SELECT round, client_id,
-                     round(least(1.0::DOUBLE, median(norm) OVER (PARTITION BY round) / (norm + 1e-9)), 4) < 0.9 AS flagged
+    norms AS (SELECT 'plain' AS run, round, client_id, sqrt(sum(value * value)) AS norm FROM updates_plain GROUP BY ALL
+              UNION ALL SELECT 'attack', round, client_id, sqrt(sum(value * value)) FROM updates_attack GROUP BY ALL),
+    flags AS (SELECT run, round, client_id,
+                     round(least(1.0::DOUBLE, median(norm) OVER (PARTITION BY run, round) / (norm + 1e-9)), 4) < 0.9 AS flagged
               FROM norms),
-    stable AS (SELECT client_id, count(*) FILTER (flagged) AS flagged_rounds FROM flags GROUP BY client_id
-               HAVING count(*) FILTER (flagged) >= greatest(1, (SELECT count(DISTINCT round) FROM flags) // 2))"""
+    rounds AS (SELECT run, count(DISTINCT round) AS n FROM flags GROUP BY run),
+    stable AS (SELECT f.run, f.client_id, count(*) FILTER (flagged) AS flagged_rounds
+               FROM flags f JOIN rounds r USING (run) GROUP BY f.run, f.client_id, r.n
+               HAVING count(*) FILTER (flagged) >= greatest(1, r.n // 2))"""
 
 
 def _flag_log(spark, sf):
-    clients = rules.normclip(S.updates_plain(spark, sf)).clients
-    return clients.select(F.lit("plain_normclip").alias("run"), "round", "client_id", "flagged")
+    """Flags of norm clipping on a clean and on an attacked table."""
+    parts = [
+        rules.normclip(updates).clients.select(F.lit(run).alias("run"), "round", "client_id", "flagged")
+        for run, updates in (("plain", S.updates_plain(spark, sf)), ("attack", S.updates_attack(spark, sf)))
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 @query("k08_detection", f"""
-    WITH {_FLAGS.format(t="updates_plain")},
-    c AS (SELECT DISTINCT client_id, client_id >= 7 AS bad,
-                 client_id IN (SELECT client_id FROM flags WHERE flagged) AS hit FROM flags),
-    n AS (SELECT count(*) FILTER (hit AND bad) AS tp, count(*) FILTER (hit AND NOT bad) AS fp,
-                 count(*) FILTER (NOT hit AND bad) AS fn, count(*) FILTER (NOT bad) AS honest FROM c)
-    SELECT 'plain_normclip' AS run, round(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END, 4) AS detection_rate,
+    WITH {_FLAGS},
+    c AS (SELECT run, client_id, client_id >= 7 AS bad, bool_or(flagged) AS hit FROM flags GROUP BY run, client_id),
+    n AS (SELECT run, count(*) FILTER (hit AND bad) AS tp, count(*) FILTER (hit AND NOT bad) AS fp,
+                 count(*) FILTER (NOT hit AND bad) AS fn, count(*) FILTER (NOT bad) AS honest FROM c GROUP BY run)
+    SELECT run, round(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) ELSE 0 END, 4) AS detection_rate,
            round(CASE WHEN honest > 0 THEN fp::DOUBLE / honest ELSE 0 END, 4) AS false_exclusion_rate,
            round(CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) ELSE 0 END, 4) AS detection_precision,
            tp AS detected_malicious, fn AS missed_malicious, fp AS wrongly_excluded FROM n""")
@@ -128,9 +134,7 @@ def detection(spark, sf):
     return metrics.detection(log.filter("flagged"), clients)
 
 
-@query("k09_stable_flags", f"""
-    WITH {_FLAGS.format(t="updates_plain")}
-    SELECT 'plain_normclip' AS run, client_id, flagged_rounds FROM stable""")
+@query("k09_stable_flags", f"WITH {_FLAGS} SELECT run, client_id, flagged_rounds FROM stable")
 def stable_flags(spark, sf):
     return metrics.stable_flags(_flag_log(spark, sf))
 

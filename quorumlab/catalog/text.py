@@ -11,6 +11,7 @@ from quorumlab import constants as C
 from quorumlab.catalog.registry import query
 from quorumlab.catalog.views import BLANKS, name_list, sql_text
 from quorumlab.functions import text as T
+from quorumlab.functions.numeric import round_to
 from quorumlab.operators import inject, rules, textstats
 from quorumlab.plans import strategy
 from quorumlab.sources import samples as S
@@ -216,8 +217,8 @@ _RARE = f"""
     WITH {_RARE} SELECT d.doc_id AS id, round(coalesce(r.rate, 0), 6) AS rare_token_rate
     FROM documents d LEFT JOIN rare r ON d.doc_id = r.id""")
 def rare_token_rate(spark, sf):
-    rate = T.rare_token_rate(F.col("text"))
-    return _documents(spark, sf).select("id", F.round(rate, 6).alias("rare_token_rate"))
+    rates = textstats.rare_rates(_documents(spark, sf))
+    return rates.select("id", round_to(F.col("rare_token_rate"), 6).alias("rare_token_rate"))
 
 
 _SUSPICIOUS = """(regexp_matches(lower(text), '[^\\x00-\\x7F]')
@@ -267,7 +268,7 @@ _TOP = 2000
 def oov_ratio(spark, sf):
     vocab = textstats.vocabulary(S.docs_labelled(spark, sf), _TOP)
     scored = textstats.vocabulary_measures(_documents(spark, sf), vocab, top_k=_TOP)
-    return scored.select("id", "n_tokens", F.round("oov_ratio", 6).alias("oov_ratio"))
+    return scored.select("id", "n_tokens", round_to(F.col("oov_ratio"), 6).alias("oov_ratio"))
 
 
 @query("t07_word_frequency", f"""

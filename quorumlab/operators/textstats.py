@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quorumlab import constants as C
 from quorumlab.functions.numeric import lit, r4, ratio, round_to
-from quorumlab.functions.text import looks_suspicious, rare_token_rate, tokens
+from quorumlab.functions.text import is_rare, looks_suspicious, tokens
 
 # A vocabulary of at most this many tokens is a few tens of megabytes and is broadcast;
 # a larger one is joined by whatever strategy its measured size allows.
@@ -63,6 +63,13 @@ def vocabulary_measures(
     )
 
 
+def rare_rates(texts: DataFrame, common: Sequence[str] = C.COMMON_WORDS) -> DataFrame:
+    """Add ``rare_token_rate``: the share of rare tokens, 0 without tokens.  Row-local, no shuffle."""
+    split = texts.withColumn("_t", tokens(F.col("text")))
+    rare = F.size(F.filter("_t", lambda t: is_rare(t, common)))
+    return split.withColumn("rare_token_rate", ratio(rare, F.size("_t"))).drop("_t")
+
+
 def detection_rate(texts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of texts the suspicious-text heuristic catches."""
     flag = looks_suspicious(F.col("text")).cast("int").alias("_flag")
@@ -78,9 +85,8 @@ def trigger_summary(
     vocab = vocabulary(corpus, top_k)
     key = ["trigger_type", "k"]
     measured = vocabulary_measures(triggers, vocab, key, top_k)
-    row_wise = triggers.select(
-        *key, "text",
-        rare_token_rate(F.col("text"), common).alias("rare"),
+    row_wise = rare_rates(triggers, common).select(
+        *key, "text", F.col("rare_token_rate").alias("rare"),
         looks_suspicious(F.col("text")).cast("int").alias("caught"),
     )
     return row_wise.join(measured, key).groupBy("trigger_type").agg(
