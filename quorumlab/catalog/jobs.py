@@ -12,11 +12,11 @@ from quorumlab.catalog.registry import query
 from quorumlab.catalog.text import LOG_CLEAN, TOKENS
 from quorumlab.catalog.views import _score_sql, confusion_sql, sql_text
 from quorumlab.functions.numeric import round_to
-from quorumlab.operators import inject, learn, prep
+from quorumlab.operators import inject, learn, prep, rules
 from quorumlab.plans import prepare as plan
 from quorumlab.plans import rounds, strategy
-from quorumlab.session import scratch_path
-from quorumlab.sources import artifacts, corpus, triggers
+from quorumlab.session import cut_lineage, scratch_path
+from quorumlab.sources import artifacts, corpus, triggers, updates
 from quorumlab.sources import samples as S
 from quorumlab.streaming import metrics as stream_metrics
 from quorumlab.streaming import sink
@@ -92,6 +92,15 @@ def client_shards(spark, sf):
     return view.groupBy("client_id", "variant").agg(F.count("*").alias("n"))
 
 
+@query("s06_bucketed_updates", """
+    SELECT round, layer, coord, round(median(value), 6) AS value FROM updates_attack GROUP BY round, layer, coord""")
+def bucketed_updates(spark, sf):
+    """Updates stored by cell: the median of every cell without a shuffle."""
+    path = scratch_path(spark, "updates")
+    stored = updates.store(S.updates_attack(spark, sf), f"updates_{path[-32:]}", path, buckets=8)
+    return rules.median(stored).aggregate.withColumn("value", round_to(F.col("value"), 6))
+
+
 @query("s06_prepared_corpus")
 def prepared_corpus(spark, sf):
     """The whole preparation plan on all documents, stored by split and client."""
@@ -139,8 +148,8 @@ def _features(spark, sf):
 @query("m01_client_updates", f"""
     WITH {_FEATURES}, {_GRADIENT} SELECT client_id, layer, coord, round(value, 6) AS value FROM upd""")
 def client_updates(spark, sf):
-    updates = learn.client_updates(_features(spark, sf), _weights(spark), learning_rate=2.0)
-    return updates.withColumn("value", round_to(F.col("value"), 6))
+    steps = learn.client_updates(_features(spark, sf), _weights(spark), learning_rate=2.0)
+    return steps.withColumn("value", round_to(F.col("value"), 6))
 
 
 @query("m02_predictions", f"""
@@ -154,8 +163,8 @@ def predictions(spark, sf):
     WITH {_FEATURES}, {_GRADIENT}
     SELECT layer, coord, round(sum(value * n) / (SELECT count(*) FROM shards), 6) AS value FROM upd GROUP BY layer, coord""")
 def server_update(spark, sf):
-    updates = learn.server_update(_features(spark, sf).drop("client_id"), _weights(spark), learning_rate=2.0)
-    return updates.withColumn("value", round_to(F.col("value"), 6))
+    steps = learn.server_update(_features(spark, sf).drop("client_id"), _weights(spark), learning_rate=2.0)
+    return steps.withColumn("value", round_to(F.col("value"), 6))
 
 
 @query("m04_one_round", f"""
@@ -170,11 +179,11 @@ def server_update(spark, sf):
     c AS ({confusion_sql("tagged", "run, round")})
     {_score_sql("c")}""")
 def one_round(spark, sf):
-    """Local step, aggregation, global step, scoring and scores as one lazy plan."""
-    features, current = _features(spark, sf), _weights(spark).withColumn("round", F.lit(1))
-    updates = learn.client_updates(features, current, learning_rate=2.0).withColumn("round", F.lit(1))
+    """Local step, aggregation, global step, scoring and scores over features computed once."""
+    features, current = cut_lineage(_features(spark, sf)), _weights(spark).withColumn("round", F.lit(1))
+    steps = learn.client_updates(features, current, learning_rate=2.0).withColumn("round", F.lit(1))
     counts = features.groupBy("client_id").agg(F.count("*").alias("n")).withColumn("round", F.lit(1))
-    local = strategy.U.add_global(updates, current)
+    local = strategy.U.add_global(steps, current)
     new, _ = strategy.global_step("fedavg", local, current, counts=counts)
     preds = features.join(learn.predict(features, new), "id").select(
         F.lit("one").alias("run"), F.lit(1).alias("round"), F.col("label").alias("y_true"), F.col("pred").alias("y_pred")

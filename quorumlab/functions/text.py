@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -120,12 +122,43 @@ def strip_ansi(line: Column) -> Column:
     return F.regexp_replace(line, C.LOG_ANSI, "")
 
 
+def _literal(pattern: str) -> str | None:
+    """The text a pattern stands for when it has no operator but escapes."""
+    if re.search(r"[\\.^$*+?{}\[\]|()]", re.sub(r"\\[^\w\s]", "", pattern)):
+        return None
+    return re.sub(r"\\([^\w\s])", r"\1", pattern)
+
+
+def matches_any(col: Column, patterns: Sequence[str], ignore_case: bool = False) -> Column:
+    """Whether any pattern occurs.
+
+    Plain alternatives become substring tests, which are many times cheaper than one
+    large alternation tried at every position; the rest stay regular expressions.
+    """
+    alternatives = [a for p in patterns for a in (p.split("|") if "(" not in p else [p])]
+    plain = [t for t in map(_literal, alternatives) if t is not None]
+    regexes = [a for a in alternatives if _literal(a) is None]
+    if ignore_case:
+        plain, regexes = [t.lower() for t in plain], ["(?i)" + r for r in regexes]
+    words = _with(F.lower(col) if ignore_case else col, lambda t: _any([t.contains(w) for w in plain]))
+    return words | _any([col.rlike(r) for r in regexes])
+
+
+def _any(tests: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def _with(value: Column, test: Callable[[Column], Column]) -> Column:
+    """``test(value)`` with ``value`` evaluated once, however often the test refers to it."""
+    return F.exists(F.array(value), test)
+
+
 def is_noise(line: Column) -> Column:
     """Noise unless a keep pattern matches; colour codes do not count."""
-    plain = strip_ansi(line)
-    keep = plain.rlike("(?i)" + "|".join(C.LOG_KEEP))
-    noise = plain.rlike("|".join(C.LOG_NOISE))
-    return ~keep & noise
+    return _with(
+        strip_ansi(line),
+        lambda t: matches_any(t, C.LOG_NOISE) & ~matches_any(t, C.LOG_KEEP, ignore_case=True),
+    )
 
 
 def clean_log_line(line: Column) -> Column:

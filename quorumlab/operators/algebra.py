@@ -85,20 +85,28 @@ def client_index(results: DataFrame, num_clients: int) -> DataFrame:
     )
 
 
-def join_clients(updates: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+def client_bound(updates: DataFrame, client_rows: int | None = None) -> int:
+    """Number of (round, client) pairs: as given, else counted on two columns."""
+    return row_bound(clients(updates)) if client_rows is None else client_rows
+
+
+def join_clients(
+    updates: DataFrame, table: DataFrame, how: str = "inner", client_rows: int | None = None
+) -> DataFrame:
     """Updates with the columns of a table of one row per round and client.
 
-    Its size is the number of clients, counted on two columns of the updates.
+    ``client_rows`` is the number of such rows where the caller knows it.  When the
+    updates come from a join themselves, pass it: counting would run that join.
     """
-    return join_checked(updates, table, CLIENT, row_bound(clients(updates)), how)
+    return join_checked(updates, table, CLIENT, client_bound(updates, client_rows), how)
 
 
-def weighted_mean(updates: DataFrame, weights: DataFrame) -> DataFrame:
+def weighted_mean(updates: DataFrame, weights: DataFrame, client_rows: int | None = None) -> DataFrame:
     """sum(w * v) / sum(w) per cell, for ``weights(round, client_id, w)``.
 
     Rounds whose weights sum to nothing give zeros.
     """
-    joined = join_clients(updates, weights.select(*CLIENT, "w"))
+    joined = join_clients(updates, weights.select(*CLIENT, "w"), client_rows=client_rows)
     return (
         joined.groupBy(*CELL)
         .agg(F.sum(F.col("w") * F.col("value")).alias("_s"), F.sum("w").alias("_t"))
@@ -118,6 +126,7 @@ def mean_between(
     low: Callable[[Column], Column],
     high: Callable[[Column], Column],
     array_clients: int = ARRAY_CLIENTS,
+    client_rows: int | None = None,
 ) -> DataFrame:
     """Mean of the values ranked ``low(n) .. high(n)`` (1-based) of the n in each cell.
 
@@ -125,7 +134,7 @@ def mean_between(
     values of a cell are one short sorted array; otherwise a window ranks them, whose
     sort spills.
     """
-    if row_bound(clients(updates), array_clients) <= array_clients:
+    if client_bound(updates, client_rows) <= array_clients:
         cells = updates.groupBy(*CELL).agg(F.sort_array(F.collect_list("value")).alias("_v"))
         n = F.size("_v")
         first, last = low(n).cast("int"), high(n).cast("int")

@@ -2,7 +2,8 @@
 
 Every rule returns an :class:`Outcome`: the aggregate ``(round, layer, coord, value)``
 and one row per client and round with ``flagged`` and the rule's diagnostics.
-Client-level tables have one row per client and round; the cells are shuffled by
+Client-level tables have one row per client and round (``client_rows`` of them, counted
+where the caller does not know it); the cells are shuffled by
 ``(round, layer, coord)`` or reduced to client statistics on the map side.
 """
 
@@ -36,29 +37,33 @@ def _unflagged(updates: DataFrame) -> DataFrame:
     return U.clients(updates).withColumn("flagged", F.lit(False))
 
 
-def fedavg(updates: DataFrame, counts: DataFrame | None = None) -> Outcome:
+def fedavg(updates: DataFrame, counts: DataFrame | None = None, client_rows: int | None = None) -> Outcome:
     """Sample-weighted mean; every client counts once when no counts are given."""
     if counts is None:
         n, rows = lit(1), updates
     else:
-        n, rows = F.col("n").cast("double"), U.join_clients(updates, counts.select(*CLIENT, "n"))
+        n, rows = F.col("n").cast("double"), U.join_clients(updates, counts.select(*CLIENT, "n"), client_rows=client_rows)
     mean = (F.sum(n * F.col("value")) / (F.sum(n) + C.EPS)).alias("value")
     return Outcome(rows.groupBy(*CELL).agg(mean), _unflagged(updates))
 
 
-def median(updates: DataFrame) -> Outcome:
+def median(updates: DataFrame, client_rows: int | None = None) -> Outcome:
     """Coordinate-wise exact median: the middle value, or the mean of the two middles."""
-    return Outcome(U.mean_between(updates, lambda n: int_div(n + 1, 2), lambda n: int_div(n, 2) + 1), _unflagged(updates))
+    middle = U.mean_between(
+        updates, lambda n: int_div(n + 1, 2), lambda n: int_div(n, 2) + 1, client_rows=client_rows
+    )
+    return Outcome(middle, _unflagged(updates))
 
 
-def trimmed(updates: DataFrame, ratio: float = C.TRIMMED_RATIO) -> Outcome:
+def trimmed(updates: DataFrame, ratio: float = C.TRIMMED_RATIO, client_rows: int | None = None) -> Outcome:
     """Coordinate-wise mean without the k lowest and k highest, k = floor(ratio * n)."""
 
     def k(n: Column) -> Column:
         cut = F.floor(lit(ratio) * n)
         return F.when(2 * cut < n, cut).otherwise(0)  # too few clients: keep all
 
-    return Outcome(U.mean_between(updates, lambda n: k(n) + 1, lambda n: n - k(n)), _unflagged(updates))
+    inner = U.mean_between(updates, lambda n: k(n) + 1, lambda n: n - k(n), client_rows=client_rows)
+    return Outcome(inner, _unflagged(updates))
 
 
 def krum_scores(pairs: DataFrame, num_malicious: int = C.KRUM_NUM_MALICIOUS) -> DataFrame:
@@ -92,11 +97,13 @@ def krum(
     updates: DataFrame,
     num_malicious: int = C.KRUM_NUM_MALICIOUS,
     multi: bool = True,
+    client_rows: int | None = None,
 ) -> Outcome:
     """Mean of the clients closest to their neighbours, or the single closest one."""
     pairs = pairwise.distances(updates)
     chosen = krum_selection(krum_scores(pairs, num_malicious), num_malicious, multi)
-    kept = U.join_clients(updates, chosen.filter(~F.col("flagged")).select(*CLIENT), "left_semi")
+    selected = chosen.filter(~F.col("flagged")).select(*CLIENT)
+    kept = U.join_clients(updates, selected, "left_semi", client_rows)
     eps = C.EPS if multi else 0.0
     mean = (F.sum("value") / (F.count("*") + lit(eps))).alias("value")
     return Outcome(kept.groupBy(*CELL).agg(mean), chosen)
@@ -124,6 +131,7 @@ def normclip(
     mode: str = "median",
     noise_std: float = 0.0,
     seed: int = C.SEED,
+    client_rows: int | None = None,
 ) -> Outcome:
     """Mean of the updates scaled down to the threshold norm, with optional noise.
 
@@ -131,7 +139,7 @@ def normclip(
     tasks give the same values.
     """
     scaled = clip_scales(U.norms(updates), mode, threshold)
-    joined = U.join_clients(updates, scaled.select(*CLIENT, "scale"))
+    joined = U.join_clients(updates, scaled.select(*CLIENT, "scale"), client_rows=client_rows)
     mean = F.sum(F.col("value") * F.col("scale")) / (F.count("*") + C.EPS)
     aggregate = joined.groupBy(*CELL).agg(mean.alias("value"))
     if noise_std > 0:
@@ -174,25 +182,25 @@ def _flag_low_trust(trusted: DataFrame) -> DataFrame:
     return trusted.withColumn("flagged", low)
 
 
-def _trust_weighted(updates: DataFrame, trusted: DataFrame) -> DataFrame:
+def _trust_weighted(updates: DataFrame, trusted: DataFrame, client_rows: int | None) -> DataFrame:
     """Sum of trust-weighted updates rescaled to the root norm, over the sum of trust."""
     gain = F.col("trust") * F.col("scale") * (F.col("root_norm") + C.EPS) / (F.col("scale") * F.col("norm") + C.EPS)
     weights = trusted.select(*CLIENT, gain.alias("gain"), F.sum("trust").over(_round()).alias("total"))
     return (
-        U.join_clients(updates, weights)
+        U.join_clients(updates, weights, client_rows=client_rows)
         .groupBy(*CELL)
         .agg(F.sum(F.col("gain") * F.col("value")).alias("_s"), F.max("total").alias("_t"))
         .select(*CELL, F.when(F.col("_t") > C.EPS, F.col("_s") / F.col("_t")).otherwise(lit(0)).alias("value"))
     )
 
 
-def fltrust(updates: DataFrame, root: DataFrame) -> Outcome:
+def fltrust(updates: DataFrame, root: DataFrame, client_rows: int | None = None) -> Outcome:
     """Trust-weighted mean of the updates rescaled to the length of the root update."""
     trusted = _flag_low_trust(trust_scores(updates, root).withColumn("scale", lit(1)))
-    return Outcome(_trust_weighted(updates, trusted), trusted.drop("scale"))
+    return Outcome(_trust_weighted(updates, trusted, client_rows), trusted.drop("scale"))
 
 
-def fltrust_clip(updates: DataFrame, root: DataFrame) -> Outcome:
+def fltrust_clip(updates: DataFrame, root: DataFrame, client_rows: int | None = None) -> Outcome:
     """Norm clipping (by scales rounded to 4 decimals), then trust weighting.
 
     Clipping only rescales a client, so its norm and dot product are rescaled instead
@@ -204,7 +212,7 @@ def fltrust_clip(updates: DataFrame, root: DataFrame) -> Outcome:
         _trust(F.col("dot") * F.col("scale"), F.col("norm") * F.col("scale"), F.col("root_norm")),
     )
     trusted = _flag_low_trust(scaled).withColumn("flagged", F.col("flagged") | F.col("clipped"))
-    return Outcome(_trust_weighted(updates, trusted), trusted.drop("clipped"))
+    return Outcome(_trust_weighted(updates, trusted, client_rows), trusted.drop("clipped"))
 
 
 def similarity_weights(similar: DataFrame) -> DataFrame:
@@ -255,13 +263,14 @@ def foolsgold(
     last_layers: int = C.SIMILARITY_LAST_LAYERS,
     num_layers: int | None = None,
     block_size: int = pairwise.BLOCK_SIZE,
+    client_rows: int | None = None,
 ) -> Outcome:
     """Down-weight clients whose summed history looks too much like another client's."""
     features = pairwise.last_layers(updates, last_layers, num_layers)
     similar = pairwise.cosines(pairwise.history(features, block_size))
     weights = similarity_weights(similar)
     named = weights.withColumnRenamed("weight", "w")
-    return Outcome(U.weighted_mean(updates, named), weights)
+    return Outcome(U.weighted_mean(updates, named, client_rows), weights)
 
 
 def rlr(updates: DataFrame, threshold: int = C.RLR_THRESHOLD) -> Outcome:
@@ -308,7 +317,7 @@ def sign_agreement(updates: DataFrame) -> DataFrame:
     return consensus_statistics(updates).select(*CLIENT, "agreement")
 
 
-def satrust(updates: DataFrame, w_sign: float = C.SATRUST_W_SIGN) -> Outcome:
+def satrust(updates: DataFrame, w_sign: float = C.SATRUST_W_SIGN, client_rows: int | None = None) -> Outcome:
     """Weights from sign agreement and cosine with the mean update; no root set needed."""
     stats = consensus_statistics(updates).withColumn(
         "cosine", _trust(F.col("dot"), F.col("norm"), F.col("mean_norm"))
@@ -325,4 +334,4 @@ def satrust(updates: DataFrame, w_sign: float = C.SATRUST_W_SIGN) -> Outcome:
     clients = flagged.select(
         *CLIENT, "agreement", "cosine", "trust", F.col("w").alias("weight"), "flagged"
     )
-    return Outcome(U.weighted_mean(updates, flagged), clients)
+    return Outcome(U.weighted_mean(updates, flagged, client_rows), clients)

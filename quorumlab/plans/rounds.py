@@ -34,6 +34,7 @@ def run_scenario(
     spark = train.sparkSession
     features = cut_lineage(learn.featurise(train, dim))
     counts = features.groupBy("client_id").agg(F.count("*").alias("n"))
+    clients = counts.count()
     tests = cut_lineage(learn.featurise(test, dim))
     pairs = triggered.withColumn("id", F.concat_ws("/", "trigger", F.col("id").cast("string")))
     probes = cut_lineage(learn.featurise(pairs, dim))
@@ -50,7 +51,7 @@ def run_scenario(
         current = weights.select(tag, "layer", "coord", "value")
         updates = cut_lineage(updates)
         local = U.add_global(updates, current)
-        stepped, outcome = strategy.global_step(rule, local, current, reference, counts.select(tag, "*"))
+        stepped, outcome = strategy.global_step(rule, local, current, reference, counts.select(tag, "*"), clients)
         weights = cut_lineage(strategy.carry_forward(stepped, current).drop("round"))
         history.append(evaluate(run, number, weights, tests, probes, dim))
         logs.append(strategy.diagnostics_log(run, outcome))

@@ -25,6 +25,7 @@ REGISTRY = {
 }
 NEEDS_ROOT = {"fltrust", "fltrust_clip"}
 USES_COUNTS = {"fedavg"}
+ROWLESS = {"rlr"}  # joins no client table
 # These combine the weights themselves; the other rules combine deltas to the global weights.
 ON_WEIGHTS = {"fedavg", "median", "trimmed", "krum"}
 
@@ -38,10 +39,13 @@ def aggregate(
     updates: DataFrame,
     root: DataFrame | None = None,
     counts: DataFrame | None = None,
+    client_rows: int | None = None,
     **params,
 ) -> Outcome:
     """Combine updates by the named rule."""
     name = name.lower()
+    if name not in ROWLESS:
+        params["client_rows"] = client_rows
     if name not in REGISTRY:
         raise ValueError(f"unknown rule {name!r}; choose one of {sorted(REGISTRY)}")
     if requires_root(name):
@@ -59,16 +63,19 @@ def global_step(
     global_weights: DataFrame,
     root: DataFrame | None = None,
     counts: DataFrame | None = None,
+    client_rows: int | None = None,
     **params,
 ) -> tuple[DataFrame, Outcome]:
     """New global weights from the clients' weights.
 
     Rules on weights replace the global weights, rules on deltas are added to them.
+    Clients are counted on the weights as given, before they meet the global weights.
     """
+    rows = U.client_bound(weights, client_rows)
     if name.lower() in ON_WEIGHTS:
-        outcome = aggregate(name, weights, root, counts, **params)
+        outcome = aggregate(name, weights, root, counts, rows, **params)
         return outcome.aggregate, outcome
-    outcome = aggregate(name, U.subtract_global(weights, global_weights), root, counts, **params)
+    outcome = aggregate(name, U.subtract_global(weights, global_weights), root, counts, rows, **params)
     return U.add_global(outcome.aggregate, global_weights), outcome
 
 

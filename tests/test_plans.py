@@ -126,3 +126,18 @@ def test_gradient_matches_numpy(spark):
             want[s] -= g / len(slots[row]) / 2
     assert [got[(0, 0, k)] for k in range(16)] == pytest.approx(want.tolist())
     assert got[(0, 1, 0)] == 0.0 and got[(1, 1, 0)] == 0.5
+
+
+def test_bucketed_updates_need_no_shuffle(spark, updates, tmp_path):
+    from quorumlab.sources.updates import store
+
+    stored = store(updates, "bucketed_cells", str(tmp_path / "u"), 4)
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    try:
+        for rule in (rules.fedavg, rules.median, rules.trimmed, rules.rlr):
+            assert "Exchange" not in plan_of(rule(stored).aggregate).replace("BroadcastExchange", "")
+        expected = {tuple(r) for r in rules.median(updates).aggregate.collect()}
+        assert {tuple(r) for r in rules.median(stored).aggregate.collect()} == expected
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+        spark.sql("DROP TABLE bucketed_cells")
