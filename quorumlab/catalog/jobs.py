@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumlab import constants as C
+from quorumlab.catalog.prep import EXAMINED, LABEL_SKEW, RANKED, SPLIT
 from quorumlab.catalog.registry import query
 from quorumlab.catalog.text import LOG_CLEAN, TOKENS
 from quorumlab.catalog.views import _score_sql, confusion_sql, sql_text
@@ -101,13 +102,24 @@ def bucketed_updates(spark, sf):
     return rules.median(stored).aggregate.withColumn("value", round_to(F.col("value"), 6))
 
 
-@query("s06_prepared_corpus")
+@query("s06_prepared_corpus", f"""
+    WITH RECURSIVE {EXAMINED},
+    keys AS (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY cut ORDER BY id) AS rn
+                                    FROM examined WHERE reason = 'keep') WHERE rn = 1),
+    balanced AS (SELECT id, label FROM ({RANKED.format(by="label", table="keys")})
+                 WHERE rank0 < (SELECT least(count(*) FILTER (label = 0), count(*) FILTER (label = 1), 4000) FROM keys)),
+    {SPLIT.replace("orders_labelled", "balanced")},
+    pool AS (SELECT id, label FROM parts WHERE split = 'train'),
+    {LABEL_SKEW.replace("orders_labelled", "pool")}
+    SELECT p.split, a.client_id, p.label, count(*) AS n, count(DISTINCT p.id) AS ids,
+           max(length(e.cut)) AS longest
+    FROM parts p JOIN examined e USING (id) LEFT JOIN assigned a USING (id) GROUP BY p.split, a.client_id, p.label""")
 def prepared_corpus(spark, sf):
     """The whole preparation plan on all documents, stored by split and client."""
     prepared = plan.prepare(S.docs_noisy(spark, sf))
     stored = corpus.write_table(prepared, scratch_path(spark, "prepared"), ["split"])
     return stored.groupBy("split", "client_id", "label").agg(
-        F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.max(F.char_length("text")).alias("longest")
+        F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.max(F.char_length("text").cast("long")).alias("longest")
     )
 
 

@@ -30,7 +30,7 @@ def _label_sql(col: str) -> str:
     )
 
 
-_EXAMINED = f"""
+EXAMINED = f"""
     stripped AS (SELECT id, label, trim(coalesce(text, ''), {BLANKS}) AS body FROM docs_noisy),
     examined AS (SELECT id, label, body, substring(body, 1, 5000) AS cut, length(body) > 5000 AS truncated,
                         CASE WHEN lower(body) = 'empty' THEN 'empty'
@@ -67,21 +67,21 @@ def normalise_numeric_labels(spark, sf):
 
 
 @query("p03_drop_empty", f"""
-    WITH {_EXAMINED} SELECT id, length(body) AS chars FROM examined WHERE reason <> 'empty'""")
+    WITH {EXAMINED} SELECT id, length(body) AS chars FROM examined WHERE reason <> 'empty'""")
 def drop_empty(spark, sf):
     kept = prep.examine(S.docs_noisy(spark, sf), max_chars=2**31 - 1).filter("reason <> 'empty'")
     return kept.select("id", F.char_length("text").cast("long").alias("chars"))
 
 
 @query("p04_trim_min_length", f"""
-    WITH {_EXAMINED} SELECT id, md5(body) AS digest FROM examined WHERE reason = 'keep'""")
+    WITH {EXAMINED} SELECT id, md5(body) AS digest FROM examined WHERE reason = 'keep'""")
 def trim_min_length(spark, sf):
     kept = prep.examine(S.docs_noisy(spark, sf), max_chars=2**31 - 1).filter("reason = 'keep'")
     return kept.select("id", F.md5("text").alias("digest"))
 
 
 @query("p05_truncate", f"""
-    WITH {_EXAMINED} SELECT id, md5(cut) AS digest, length(cut) AS chars, truncated FROM examined""")
+    WITH {EXAMINED} SELECT id, md5(cut) AS digest, length(cut) AS chars, truncated FROM examined""")
 def truncate(spark, sf):
     examined = prep.examine(S.docs_noisy(spark, sf))
     return examined.select(
@@ -90,7 +90,7 @@ def truncate(spark, sf):
 
 
 @query("p06_deduplicate", f"""
-    WITH {_EXAMINED} SELECT id, label, md5(cut) AS digest FROM (
+    WITH {EXAMINED} SELECT id, label, md5(cut) AS digest FROM (
         SELECT *, row_number() OVER (PARTITION BY cut ORDER BY id) AS rn FROM examined WHERE reason = 'keep')
     WHERE rn = 1""")
 def deduplicate(spark, sf):
@@ -105,14 +105,14 @@ def duplicate_count(spark, sf):
 
 
 @query("p07_duplicate_count_clean", f"""
-    WITH {_EXAMINED} SELECT count(DISTINCT cut) AS total_rows, count(DISTINCT cut) AS distinct_texts,
+    WITH {EXAMINED} SELECT count(DISTINCT cut) AS total_rows, count(DISTINCT cut) AS distinct_texts,
            CAST(0 AS BIGINT) AS duplicates FROM examined WHERE reason = 'keep'""")
 def duplicate_count_clean(spark, sf):
     return prep.duplicate_count(prep.clean_corpus(S.docs_noisy(spark, sf)))
 
 
 @query("p08_cleaning_report", f"""
-    WITH {_EXAMINED},
+    WITH {EXAMINED},
     firsts AS (SELECT label FROM (SELECT label, row_number() OVER (PARTITION BY cut ORDER BY id) AS rn
                                   FROM examined WHERE reason = 'keep') WHERE rn = 1)
     SELECT count(*) AS initial, count(*) FILTER (reason = 'empty') AS dropped_empty,
@@ -127,12 +127,12 @@ def cleaning_report(spark, sf):
     return prep.cleaning_report(S.docs_noisy(spark, sf))
 
 
-_RANKED = """
+RANKED = """
     SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY md5('42:' || id), id) - 1 AS rank0 FROM {table}"""
 
 
 @query("p09_balance_sample", f"""
-    SELECT id, label FROM ({_RANKED.format(by="label", table="orders_labelled")})
+    SELECT id, label FROM ({RANKED.format(by="label", table="orders_labelled")})
     WHERE rank0 < (SELECT least(count(*) FILTER (label = 0), count(*) FILTER (label = 1), 4000)
                    FROM orders_labelled)""")
 def balance_sample(spark, sf):
@@ -140,7 +140,7 @@ def balance_sample(spark, sf):
 
 
 @query("p09_balance_all", f"""
-    SELECT id, label FROM ({_RANKED.format(by="label", table="orders_labelled")})
+    SELECT id, label FROM ({RANKED.format(by="label", table="orders_labelled")})
     WHERE rank0 < (SELECT least(count(*) FILTER (label = 0), count(*) FILTER (label = 1)) FROM orders_labelled)""")
 def balance_all(spark, sf):
     return prep.balance(S.orders_labelled(spark, sf), max_samples=None)
@@ -150,7 +150,7 @@ def balance_all(spark, sf):
     WITH typed AS (SELECT id, CASE label WHEN 1 THEN 'Phishing Email' ELSE 'Safe Email' END AS kind
                    FROM orders_labelled)
     SELECT id, kind, CASE kind WHEN 'Phishing Email' THEN 1 ELSE 0 END AS label
-    FROM ({_RANKED.format(by="kind", table="typed")})
+    FROM ({RANKED.format(by="kind", table="typed")})
     WHERE rank0 < (SELECT least(count(*) FILTER (kind = 'Phishing Email'), count(*) FILTER (kind = 'Safe Email'))
                    FROM typed)""")
 def raw_balance(spark, sf):
@@ -160,7 +160,7 @@ def raw_balance(spark, sf):
     return prep.add_label(balanced, "kind")
 
 
-_SPLIT = """
+SPLIT = """
     g AS (SELECT id, label, row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS rank0,
                  count(*) OVER () AS n FROM orders_labelled),
     t AS (SELECT id, label, rank0 < floor(n * 0.2::DOUBLE) AS is_test FROM g),
@@ -169,7 +169,7 @@ _SPLIT = """
               FROM h)"""
 
 
-@query("p11_split", f"WITH {_SPLIT} SELECT id, label, split FROM parts")
+@query("p11_split", f"WITH {SPLIT} SELECT id, label, split FROM parts")
 def split(spark, sf):
     return prep.split(S.orders_labelled(spark, sf))
 
@@ -204,7 +204,7 @@ def _cumulative_rows() -> str:
 _DIRICHLET = f"""
     shares(label, client, lo, hi) AS (VALUES {_cumulative_rows()}),
     ranked AS (SELECT *, count(*) OVER (PARTITION BY label) AS n
-               FROM ({_RANKED.format(by="label", table="orders_labelled")})),
+               FROM ({RANKED.format(by="label", table="orders_labelled")})),
     placed AS (SELECT r.id, r.label, r.rank0, s.client FROM ranked r JOIN shares s
                ON r.label = s.label AND r.rank0 >= floor(s.lo * r.n) AND r.rank0 < coalesce(floor(s.hi * r.n), r.n)),
     start AS (SELECT list(cnt ORDER BY client) AS sizes, least({FLOOR}, sum(cnt) // {N}) AS target
@@ -239,8 +239,8 @@ ORDER = allocation.client_order(N, C.SEED)
 _S0 = "[" + ", ".join(f"'{s[0]!r}'::DOUBLE" for s in L_SHARES) + "]"
 _S1 = "[" + ", ".join(f"'{s[1]!r}'::DOUBLE" for s in L_SHARES) + "]"
 
-_LABEL_SKEW = f"""
-    ranked AS ({_RANKED.format(by="label", table="orders_labelled")}),
+LABEL_SKEW = f"""
+    ranked AS ({RANKED.format(by="label", table="orders_labelled")}),
     sizes AS (SELECT count(*) FILTER (label = 0) AS c0, count(*) FILTER (label = 1) AS c1, count(*) // {N} AS quota
               FROM orders_labelled),
     keep AS (SELECT *, least(CAST(floor(0.1::DOUBLE * quota) AS BIGINT), c0 // {N}) AS r0,
@@ -276,7 +276,7 @@ _LABEL_SKEW = f"""
                  ON r.label = s.label AND r.rank0 >= s.lo AND r.rank0 < s.hi)"""
 
 
-@query("p14_label_skew", f"WITH RECURSIVE {_LABEL_SKEW} SELECT id, label, client_id FROM assigned")
+@query("p14_label_skew", f"WITH RECURSIVE {LABEL_SKEW} SELECT id, label, client_id FROM assigned")
 def label_skew(spark, sf):
     return partition.label_skew(S.orders_labelled(spark, sf), shares=L_SHARES, order=ORDER)
 
@@ -287,7 +287,7 @@ _MODE_STATS = "SELECT '{mode}' AS mode, client_id, count(*) AS n_samples FROM {t
 @query("p15_partition_modes", f"""
     WITH RECURSIVE dealt AS ({_IID}),
     d AS (WITH RECURSIVE {_DIRICHLET.replace(f"least({FLOOR},", f"least({C.MIN_PER_CLIENT},")} SELECT * FROM assigned),
-    l AS (WITH RECURSIVE {_LABEL_SKEW} SELECT * FROM assigned)
+    l AS (WITH RECURSIVE {LABEL_SKEW} SELECT * FROM assigned)
     {_MODE_STATS.format(mode="iid", table="dealt")}
     UNION ALL {_MODE_STATS.format(mode="dirichlet", table="d")}
     UNION ALL {_MODE_STATS.format(mode="label_skew", table="l")}""")
@@ -308,7 +308,7 @@ _STATS = """
               FROM assigned GROUP BY client_id)"""
 
 
-@query("p16_client_stats", f"WITH RECURSIVE {_LABEL_SKEW}, {_STATS} SELECT * FROM stats")
+@query("p16_client_stats", f"WITH RECURSIVE {LABEL_SKEW}, {_STATS} SELECT * FROM stats")
 def client_stats(spark, sf):
     assigned = partition.label_skew(S.orders_labelled(spark, sf), shares=L_SHARES, order=ORDER)
     return partition.client_stats(assigned)
@@ -322,7 +322,7 @@ _QUALITY = """
            min(phishing_pct) < 5 OR max(phishing_pct) > 95 AS warn_single_class FROM stats"""
 
 
-@query("p17_partition_quality", f"WITH RECURSIVE {_LABEL_SKEW}, {_STATS} {_QUALITY}")
+@query("p17_partition_quality", f"WITH RECURSIVE {LABEL_SKEW}, {_STATS} {_QUALITY}")
 def partition_quality(spark, sf):
     assigned = partition.label_skew(S.orders_labelled(spark, sf), shares=L_SHARES, order=ORDER)
     return partition.partition_quality(partition.client_stats(assigned))

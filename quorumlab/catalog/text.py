@@ -267,7 +267,7 @@ _TOP = 2000
     FROM documents d LEFT JOIN scored USING (doc_id)""")
 def oov_ratio(spark, sf):
     vocab = textstats.vocabulary(S.docs_labelled(spark, sf), _TOP)
-    scored = textstats.vocabulary_measures(_documents(spark, sf), vocab, top_k=_TOP)
+    scored = textstats.vocabulary_measures(_documents(spark, sf), vocab)
     return scored.select("id", "n_tokens", round_to(F.col("oov_ratio"), 6).alias("oov_ratio"))
 
 
@@ -276,7 +276,7 @@ def oov_ratio(spark, sf):
     SELECT d.doc_id AS id, coalesce(freq, 0) AS avg_word_frequency FROM documents d LEFT JOIN scored USING (doc_id)""")
 def word_frequency(spark, sf):
     vocab = textstats.vocabulary(S.docs_labelled(spark, sf), _TOP)
-    return textstats.vocabulary_measures(_documents(spark, sf), vocab, top_k=_TOP).select("id", "avg_word_frequency")
+    return textstats.vocabulary_measures(_documents(spark, sf), vocab).select("id", "avg_word_frequency")
 
 
 _TRIGGERS = f"""

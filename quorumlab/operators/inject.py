@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlab import constants as C
-from quorumlab.functions.numeric import malicious_count
+from quorumlab.functions.numeric import int_div, malicious_count
 from quorumlab.functions.text import hash_index, insert_phrase, pool_pick
-from quorumlab.operators.joins import join_checked
 from quorumlab.operators.ranking import with_rank
 
-# Trigger phrases are sentences, so fewer of them than of numeric rows are broadcast.
-BROADCAST_PHRASES = 10_000
+BROADCAST_BYTES = 64 * 1024 * 1024
+SALTS = 64
 
 
 def inject(
@@ -115,13 +114,23 @@ def poisoned_per_ratio(poisoned: DataFrame, sweep: Sequence[float], num_clients:
     )
 
 
-def fill_from_pool(slots: DataFrame, pool: DataFrame, seed: int = C.SEED) -> DataFrame:
+def fill_from_pool(
+    slots: DataFrame, pool: DataFrame, seed: int = C.SEED, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Give slot k the phrase at place ``k % size`` of the seeded pool order.
 
     ``slots`` has ``slot``; ``pool`` has ``(id, text)``.  Slots already filled are
     passed by leaving them out, topping up is filling the missing ones.
+
+    A pool is measured before it is broadcast.  A larger one is copied ``SALTS`` times
+    and joined on place and salt, so that few phrases do not gather all slots in few tasks.
     """
-    size = pool.count()
+    facts = pool.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    size = facts["n"]
     ordered = with_rank(pool, seed=seed, rank="place").select("place", F.col("text").alias("trigger"))
     placed = slots.withColumn("place", F.pmod(F.col("slot"), F.lit(size)))
-    return join_checked(placed, ordered, ["place"], size, "left", limit=BROADCAST_PHRASES).drop("place")
+    if (facts["bytes"] or 0) <= broadcast_bytes:
+        return placed.join(F.broadcast(ordered), "place", "left").drop("place")
+    salted = placed.withColumn("_salt", F.pmod(int_div(F.col("slot"), max(size, 1)), F.lit(SALTS)))
+    copies = ordered.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["place", "_salt"], "left").drop("place", "_salt")

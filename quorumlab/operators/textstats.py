@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumlab import constants as C
 from quorumlab.functions.numeric import lit, r4, ratio, round_to
 from quorumlab.functions.text import is_rare, looks_suspicious, tokens
+from quorumlab.session import cut_lineage
 
-# A vocabulary of at most this many tokens is a few tens of megabytes and is broadcast;
-# a larger one is joined by whatever strategy its measured size allows.
-BROADCAST_VOCAB = 500_000
+# A vocabulary whose tokens take no more than this is broadcast.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def token_rows(texts: DataFrame) -> DataFrame:
@@ -30,21 +30,22 @@ def vocabulary(texts: DataFrame, top_k: int = C.VOCAB_TOP_K) -> DataFrame:
 
 
 def vocabulary_measures(
-    texts: DataFrame, vocab: DataFrame, key: Sequence[str] = ("id",), top_k: int = C.VOCAB_TOP_K
+    texts: DataFrame, vocab: DataFrame, key: Sequence[str] = ("id",), broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Per text: token count, out-of-vocabulary share and mean log frequency; 0 without tokens.
 
-    Against a broadcast vocabulary the token rows never leave their task: what is
-    shuffled is one partial row per text.  Against a larger vocabulary tokens are
-    counted per text first, so a frequent token weighs one row per text in the join.
+    The vocabulary is checkpointed and measured first.  Against a broadcast vocabulary the
+    token rows never leave their task: what is shuffled is one partial row per text.
+    Against a larger one tokens are counted per text first, so a frequent token weighs
+    one row per text in the join.
     """
     key = list(key)
-    total = Window.partitionBy()  # over the vocabulary, at most top_k rows
-    shares = vocab.select(
-        "token", F.log1p(F.col("cnt") / F.sum("cnt").over(total) * 1e6).alias("logfreq")
-    )
+    vocab = cut_lineage(vocab.select("token", "cnt"))
+    facts = vocab.agg(F.sum("cnt").alias("total"), F.sum(F.octet_length("token")).alias("bytes")).first()
+    total = float(facts["total"] or 1)
+    shares = vocab.select("token", F.log1p(F.col("cnt") / total * 1e6).alias("logfreq"))
     rows = token_rows(texts.select(*key, "text"))
-    if top_k <= BROADCAST_VOCAB:
+    if (facts["bytes"] or 0) <= broadcast_bytes:
         shares = F.broadcast(shares)
         counted = rows.withColumn("n", F.col("token").isNotNull().cast("int"))
     else:
@@ -84,7 +85,7 @@ def trigger_summary(
     """Evasion measures per trigger set: ``triggers`` has ``(trigger_type, k, text)``."""
     vocab = vocabulary(corpus, top_k)
     key = ["trigger_type", "k"]
-    measured = vocabulary_measures(triggers, vocab, key, top_k)
+    measured = vocabulary_measures(triggers, vocab, key)
     row_wise = rare_rates(triggers, common).select(
         *key, "text", F.col("rare_token_rate").alias("rare"),
         looks_suspicious(F.col("text")).cast("int").alias("caught"),

@@ -48,10 +48,11 @@ def test_triggered_sets_are_stable(spark):
     assert {r[1] for r in a} == {1, 3, 5, 7}
 
 
-def test_pool_cycles(spark):
+@pytest.mark.parametrize("limit", [0, inject.BROADCAST_BYTES])
+def test_pool_cycles(spark, limit):
     pool = spark.createDataFrame([(i, f"p{i}") for i in range(3)], "id long, text string")
     slots = spark.createDataFrame([(k,) for k in range(7)], "slot long")
-    got = {r["slot"]: r["trigger"] for r in inject.fill_from_pool(slots, pool).collect()}
+    got = {r["slot"]: r["trigger"] for r in inject.fill_from_pool(slots, pool, broadcast_bytes=limit).collect()}
     assert len(got) == 7 and all(got[k] == got[k % 3] for k in got) and len(set(got.values())) == 3
 
 
@@ -88,13 +89,13 @@ def test_trigger_measures(spark):
     assert rates == {0: pytest.approx(0.6), 1: 0.0, 2: 0.25}
 
 
-@pytest.mark.parametrize("top_k", [3, textstats.BROADCAST_VOCAB + 1])
-def test_vocabulary_measures(spark, top_k):
+@pytest.mark.parametrize("limit", [0, textstats.BROADCAST_BYTES])
+def test_vocabulary_measures(spark, limit):
     corpus = spark.createDataFrame([("a a a b b c d",)], "text string")
     vocab = textstats.vocabulary(corpus, 3)
     assert [(r["token"], r["cnt"]) for r in vocab.collect()] == [("a", 3), ("b", 2), ("c", 1)]
     texts = spark.createDataFrame([(0, "a a z"), (1, "")], "id int, text string")
-    got = {r["id"]: r for r in textstats.vocabulary_measures(texts, vocab, top_k=top_k).collect()}
+    got = {r["id"]: r for r in textstats.vocabulary_measures(texts, vocab, broadcast_bytes=limit).collect()}
     assert got[0]["n_tokens"] == 3 and got[0]["oov_ratio"] == pytest.approx(1 / 3)
     assert got[0]["avg_word_frequency"] == round(2 * math.log1p(3 / 6 * 1e6) / 3, 4)
     assert (got[1]["n_tokens"], got[1]["oov_ratio"], got[1]["avg_word_frequency"]) == (0, 0.0, 0.0)
