@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quorumlab import constants as C
 from quorumlab.functions.text import normalise_label, strip
-from quorumlab.operators.ranking import with_rank
+from quorumlab.operators.ranking import first_ranked, with_rank
 
 
 def pick_column(columns: Sequence[str], candidates: Sequence[str]) -> str | None:
@@ -159,15 +159,16 @@ def balance(
 ) -> DataFrame:
     """Equally many rows of both classes, at most ``max_samples`` in all.
 
-    Rows are taken in the seeded shuffle order within their class.
+    Rows are taken in the seeded shuffle order within their class; a small sample of a
+    large table ranks little more than the sample.
     """
     label = F.col(label_col)
-    sizes = [F.count_if(label == c) for c in classes]
-    n = F.least(*sizes)
+    n = F.least(*[F.count_if(label == c) for c in classes])
     if max_samples:
         n = F.least(n, F.lit(max_samples // 2).cast("long"))
-    ranked = with_rank(df.filter(label.isin(*classes)), by=[label_col], seed=seed)
-    return ranked.filter(F.col("rank0") < df.agg(n).scalar()).drop("rank0")
+    return first_ranked(
+        df.filter(label.isin(*classes)), df.agg(n).scalar(), [label_col], len(classes), seed=seed
+    )
 
 
 def add_label(df: DataFrame, type_col: str, positive: str = "Phishing Email") -> DataFrame:

@@ -12,12 +12,13 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlab import constants as C
 from quorumlab.functions.numeric import int_div
 from quorumlab.functions.text import order_key
+from quorumlab.operators.joins import BROADCAST_ROWS
 
 
 def with_rank(
@@ -34,30 +35,65 @@ def with_rank(
     ``total`` names an optional column with the group size.  ``digits`` sets the
     number of buckets per group (16**digits); raise it for larger tables.
     """
-    by = list(by)
-    keyed = df.withColumn("_key", order_key(F.col(id_col), seed)).withColumn(
-        "_bucket", F.substring("_key", 1, digits)
-    )
+    keyed = _keyed(df, id_col, seed, digits)
+    placed = keyed.withColumn("_pos", F.row_number().over(_in_bucket(by, id_col)))
+    joined = placed.join(_offsets(keyed, by), _same_bucket(by))
+    columns = [F.col(c) for c in df.columns]
+    columns.append((F.col("_before") + F.col("_pos") - 1).cast("long").alias(rank))
+    if total:
+        columns.append(F.col("_total").cast("long").alias(total))
+    return joined.select(*columns)
+
+
+def first_ranked(
+    df: DataFrame,
+    limit: Column,
+    by: Sequence[str],
+    groups: int,
+    id_col: str = "id",
+    seed: int = C.SEED,
+    digits: int = 3,
+) -> DataFrame:
+    """The first ``limit`` rows of each group in shuffle order, without ranking the rest.
+
+    Buckets that start past the limit are dropped where the rows are read, so what is
+    shuffled and sorted follows the limit, not the table.  ``groups`` bounds the number
+    of groups and with it the bucket table, which is broadcast while it is small.
+    """
+    keyed = _keyed(df, id_col, seed, digits)
+    wanted = _offsets(keyed, by).filter(F.col("_before") < limit)
+    if groups * 16**digits <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    near = keyed.join(wanted, _same_bucket(by))
+    placed = near.withColumn("_pos", F.row_number().over(_in_bucket(by, id_col)))
+    return placed.filter(F.col("_before") + F.col("_pos") <= limit).select(*df.columns)
+
+
+def _keyed(df: DataFrame, id_col: str, seed: int, digits: int) -> DataFrame:
+    keyed = df.withColumn("_key", order_key(F.col(id_col), seed))
+    return keyed.withColumn("_bucket", F.substring("_key", 1, digits))
+
+
+def _offsets(keyed: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows before each bucket and in its whole group: at most 16**digits rows per group."""
     sizes = keyed.groupBy(*by, "_bucket").agg(F.count("*").alias("_size"))
-    # At most 16**digits rows per group reach these two windows.
     group = Window.partitionBy(*by)
     before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
+    return sizes.select(
         *[F.col(c).alias(f"_by_{c}") for c in by],
         F.col("_bucket").alias("_by_bucket"),
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
         F.sum("_size").over(group).alias("_total"),
     )
-    local = Window.partitionBy(*by, "_bucket").orderBy("_key", id_col)
-    placed = keyed.withColumn("_pos", F.row_number().over(local))
+
+
+def _in_bucket(by: Sequence[str], id_col: str):
+    return Window.partitionBy(*by, "_bucket").orderBy("_key", id_col)
+
+
+def _same_bucket(by: Sequence[str]) -> Column:
     same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
-    same.append(F.col("_bucket") == F.col("_by_bucket"))
-    joined = placed.join(offsets, reduce(lambda a, b: a & b, same))
-    columns = [F.col(c) for c in df.columns]
-    columns.append((F.col("_before") + F.col("_pos") - 1).cast("long").alias(rank))
-    if total:
-        columns.append(F.col("_total").cast("long").alias(total))
-    return joined.select(*columns)
+    return reduce(lambda a, b: a & b, same, F.col("_bucket") == F.col("_by_bucket"))
 
 
 def assign_segments(
