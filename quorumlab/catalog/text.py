@@ -258,7 +258,7 @@ def _scored(key: str, src: str) -> str:
                FROM toks LEFT JOIN vocab v USING (token) GROUP BY ALL)"""
 
 
-_TOP = 2000
+_TOP = C.VOCAB_TOP_K
 
 
 @query("t06_oov_ratio", f"""

@@ -43,6 +43,11 @@ def drop_unnamed(raw: DataFrame, required: Sequence[str]) -> DataFrame:
     return raw.select(*[F.col(f"`{c}`") for c in kept]).dropna(subset=list(required))
 
 
+def cleaned(text: Column, max_chars: int = C.MAX_TEXT_CHARS) -> Column:
+    """The text as the clean corpus has it: trimmed, then cut, then left alone."""
+    return F.substring(strip(F.coalesce(text, F.lit(""))), 1, max_chars)
+
+
 def _reason(text: Column, min_chars: int, drop_empty: bool) -> Column:
     empty = F.lit(drop_empty) & (F.lower(text) == "empty")
     return F.when(empty, "empty").when(F.char_length(text) < min_chars, "short").otherwise("keep")

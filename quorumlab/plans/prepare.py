@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quorumlab import constants as C
 from quorumlab.operators import inject, partition, prep
+from quorumlab.operators.joins import join_checked, row_bound
 from quorumlab.session import cut_lineage
 
 
@@ -22,18 +23,19 @@ def prepare(
 ) -> DataFrame:
     """``(id, text, label, split, client_id)``; ``client_id`` is null outside the train split.
 
-    All decisions are taken on ids, labels and digests.  The slim table is checkpointed
-    once, since ranks and the allocation plan read it several times; the texts are read
-    twice (digest, output) and shuffled once, in the final join.
+    All decisions are taken on ids, labels and digests.  The surviving ids are
+    checkpointed once, since counts, ranks and the allocation plan read them several
+    times; the texts are read twice, for the digests and for the output.  The output
+    join broadcasts the placed ids where a count shows they are few, as with a sample.
     """
-    examined = prep.examine(corpus)
-    keys = cut_lineage(prep.balance(prep.surviving_keys(examined), max_samples, seed))
+    survivors = cut_lineage(prep.surviving_keys(prep.examine(corpus)))
+    keys = cut_lineage(prep.balance(survivors, max_samples, seed))
     parts = cut_lineage(prep.split(keys, test_ratio, root_size, seed))
     pool = parts.filter("split = 'train'").select("id", "label")
     assigned = partition.partition_clients(pool, mode, num_clients, alpha, seed)
     placed = parts.join(assigned.select("id", "client_id"), "id", "left")
-    texts = examined.select("id", "text")
-    return texts.join(placed, "id").select("id", "text", "label", "split", "client_id")
+    rows = join_checked(corpus.select("id", "text"), placed, ["id"], row_bound(parts))
+    return rows.select("id", prep.cleaned(F.col("text")).alias("text"), "label", "split", "client_id")
 
 
 def poison_variants(
