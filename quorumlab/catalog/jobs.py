@@ -154,7 +154,8 @@ def _weights(spark):
 
 
 def _features(spark, sf):
-    return learn.featurise(S.shards(spark, sf))
+    """Features are computed once and read by every step of a job."""
+    return cut_lineage(learn.featurise(S.shards(spark, sf)))
 
 
 @query("m01_client_updates", f"""
@@ -192,7 +193,7 @@ def server_update(spark, sf):
     {_score_sql("c")}""")
 def one_round(spark, sf):
     """Local step, aggregation, global step, scoring and scores over features computed once."""
-    features, current = cut_lineage(_features(spark, sf)), _weights(spark).withColumn("round", F.lit(1))
+    features, current = _features(spark, sf), _weights(spark).withColumn("round", F.lit(1))
     steps = learn.client_updates(features, current, learning_rate=2.0).withColumn("round", F.lit(1))
     counts = features.groupBy("client_id").agg(F.count("*").alias("n")).withColumn("round", F.lit(1))
     local = strategy.U.add_global(steps, current)

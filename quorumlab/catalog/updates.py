@@ -471,7 +471,8 @@ def rule_distances(spark, sf):
     updates, root = S.updates_attack(spark, sf), S.root_update(spark, sf)
     counts = S.sample_counts(spark, sf)
     honest = updates.filter("client_id < 7").groupBy(*CELL).agg(F.avg("value").alias("value"))
-    aggregates = {name: strategy.aggregate(name, updates, root, counts).aggregate for name in C.RULES}
+    rows = U.client_bound(updates)
+    aggregates = {name: strategy.aggregate(name, updates, root, counts, rows).aggregate for name in C.RULES}
     return _r6(strategy.distance_from_honest(aggregates, honest), "distance")
 
 
@@ -519,8 +520,8 @@ query("a13_rule_distances", f"""
 def basic_rule_distances(spark, sf):
     updates, counts = S.updates_attack(spark, sf), S.sample_counts(spark, sf)
     honest = updates.filter("client_id < 7").groupBy(*CELL).agg(F.avg("value").alias("value"))
-    names = ("fedavg", "median", "trimmed")
-    aggregates = {n: strategy.aggregate(n, updates, counts=counts).aggregate for n in names}
+    names, rows = ("fedavg", "median", "trimmed"), U.client_bound(updates)
+    aggregates = {n: strategy.aggregate(n, updates, counts=counts, client_rows=rows).aggregate for n in names}
     return _r6(strategy.distance_from_honest(aggregates, honest), "distance")
 
 
