@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quorumlab.llm import bitpack, packing, token_counts
+from quorumlab.llm import bitpack, packing, quality_rules, token_counts
 from quorumlab.llm.frames import table
 from quorumlab.llm.registry import query
 from quorumlab.session import scratch_path
@@ -28,3 +28,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
