@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quorumlab.llm import bitpack, packing, quality_rules, token_counts
+from quorumlab.llm import bitpack, packing, quality_rules, simhash, token_counts
 from quorumlab.llm.frames import table
 from quorumlab.llm.registry import query
 from quorumlab.session import scratch_path
@@ -25,6 +25,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read(spark, path)
 
 
+@query("op5_simhash_trie")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
