@@ -5,12 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quorumlab.llm import bitpack, packing, quality_rules, simhash, token_counts
+from quorumlab.llm import bitpack, bytebpe, packing, quality_rules, simhash, token_counts
 from quorumlab.llm.frames import table
 from quorumlab.llm.registry import query
 from quorumlab.session import scratch_path
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 @query("op3_best_fit_packing")
@@ -30,6 +31,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op6_byte_bpe")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
 @query("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), WORD_VOCABULARY)

@@ -21,10 +21,10 @@ import regex
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
+from quorumlab.llm.memo import Memo
+
 #: Remembered words and pre-tokens per worker (about 250 MB at most).
 MEMO_WORDS, MEMO_PIECES = 500_000, 250_000
-#: Longer ones are merged but not remembered.
-MEMO_CHARS = 48
 
 # The split pattern of the vocabulary file, and the mark of a word's end.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -46,41 +46,6 @@ def byte_characters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
-class _Memo(dict):
-    """What ``make`` gives for a key, remembered for short keys.
-
-    The first ``limit`` keys stay, as frequent ones come early; later ones share a table half
-    that size which starts anew when full.  After ``ROUNDS`` such starts all is forgotten, so
-    that a worker follows a change of language or source.
-    """
-
-    ROUNDS = 16
-
-    def __init__(self, make, limit: int, fixed: list[str] = ()):
-        super().__init__(dict.fromkeys(fixed, 1))
-        self.make, self.fixed, self.limit, self.late, self.starts = make, fixed, limit + len(fixed), {}, 0
-
-    def __missing__(self, key: str):
-        value = self.late.get(key)
-        if value is None:
-            value = self.make(key)
-            if len(key) <= MEMO_CHARS:
-                self._keep(key, value)
-        return value
-
-    def _keep(self, key: str, value) -> None:
-        if len(self) < self.limit:
-            self[key] = value
-            return
-        if len(self.late) >= self.limit // 2:
-            self.late = {}
-            self.starts += 1
-            if self.starts % self.ROUNDS == 0:
-                self.clear()
-                self.update(dict.fromkeys(self.fixed, 1))
-        self.late[key] = value
-
-
 class WordBpe:
     """Ids and counts for one vocabulary file; one instance per worker process."""
 
@@ -98,9 +63,9 @@ class WordBpe:
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")")
         self.characters = byte_characters()
         self.bytes_to_characters = {b: c for b, c in enumerate(self.characters)}
-        self.piece_ids = _Memo(self.merge, MEMO_PIECES)
-        self.word_ids = _Memo(self._word, MEMO_WORDS)
-        self._counts: tuple[_Memo, _Memo] | None = None
+        self.piece_ids = Memo(self.merge, MEMO_PIECES)
+        self.word_ids = Memo(self._word, MEMO_WORDS)
+        self._counts: tuple[Memo, Memo] | None = None
         self._single: list[str] | None = None
 
     @property
@@ -113,12 +78,12 @@ class WordBpe:
         return self._library
 
     @property
-    def word_counts(self) -> _Memo:
+    def word_counts(self) -> Memo:
         """Tokens of a blank-free word.  Proven single tokens are there from the start."""
         if self._counts is None:
             single = self.single_tokens()
-            pieces = _Memo(lambda piece: len(self.merge(piece)) // 4, MEMO_PIECES, single)
-            words = _Memo(lambda word: sum(map(pieces.__getitem__, self.find(word))), MEMO_WORDS, single)
+            pieces = Memo(lambda piece: len(self.merge(piece)) // 4, MEMO_PIECES, single)
+            words = Memo(lambda word: sum(map(pieces.__getitem__, self.find(word))), MEMO_WORDS, single)
             self._counts = words, pieces
         return self._counts[0]
 
