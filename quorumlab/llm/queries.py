@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quorumlab.llm import bitpack, bytebpe, packing, quality_rules, simhash, token_counts
+from quorumlab.llm import bitpack, bytebpe, packing, quality_rules, simhash, token_counts, toxicity
 from quorumlab.llm.frames import table
 from quorumlab.llm.registry import query
 from quorumlab.session import scratch_path
@@ -36,6 +37,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
 
 
+@query("op7_toxic_segments")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    scored = toxicity.score(docs, toxicity.learn(docs, labels, ~held_out))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"), "passages"
+    )
+
+
 @query("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
