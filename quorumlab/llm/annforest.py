@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quorumlab.llm import frames
 from quorumlab.session import cut_lineage
 
-TREES, LEAF, SAMPLE, PROBES, NEAREST, BLOCK = 4, 64, 20_000, 96, 10, 4_000
+TREES, LEAF, SAMPLE, PROBES, NEAREST, BLOCK = 4, 160, 20_000, 128, 10, 4_000
 
 
 class Tree:
