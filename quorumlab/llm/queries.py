@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlab.llm import annforest, bitpack, bytebpe, packing, quality_rules, resampling, simhash, token_counts, toxicity
+from quorumlab.llm import annforest, bitpack, bytebpe, packing, pii, quality_rules, resampling, simhash, token_counts, toxicity
 from quorumlab.llm.frames import table
 from quorumlab.llm.registry import query
 from quorumlab.session import scratch_path
@@ -20,6 +20,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op2_crf_personal_data")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"), pii.train(pii.labelled_table(spark)))
+
+
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
