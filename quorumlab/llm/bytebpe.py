@@ -38,7 +38,7 @@ from quorumlab.llm import frames
 from quorumlab.llm.memo import Memo
 
 #: Transitions, stability tests, units of text and pre-tokens that a worker keeps.
-MAX_STEPS, MAX_PAIRS, MEMO_UNITS, MEMO_PIECES = 300_000, 400_000, 300_000, 150_000
+MAX_STEPS, MAX_PAIRS, MEMO_UNITS, MEMO_PIECES = 300_000, 500_000, 800_000, 200_000
 #: Ids that are decoded at a time.
 STREAM_IDS = 8192
 NEVER = 1 << 40
