@@ -20,9 +20,9 @@ Empty tables and tables without queries give no rows.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,10 +122,10 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, trees:
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     total = rows.count()
     share = int(min(1.0, sample_rows / max(total, 1)) * (1 << 30))
-    sample = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) <= share).orderBy(F.xxhash64("vec_id")).limit(2 * sample_rows).select("v").toPandas()["v"]
-    if not len(sample):
+    sample = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) <= share).orderBy(F.xxhash64("vec_id")).limit(2 * sample_rows).select("v").toArrow().column("v").to_pylist()
+    if not sample:
         return spark.createDataFrame([], schema)
-    size = int(pd.Series([len(v) for v in sample]).mode()[0])
+    size = Counter(map(len, sample)).most_common(1)[0][0]
     rows = rows.filter(F.size("v") == size)
     forest = spark.sparkContext.broadcast(Forest(np.stack([v for v in sample if len(v) == size]), trees, leaf))
 

@@ -43,16 +43,14 @@ def summed(rows: DataFrame, make: Callable[[], Callable], buckets: int, kinds: i
         for part in frames.slices(batches):
             for text, label in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 for kind, found in function(text, label):
-                    counts[kind] += np.bincount(found, minlength=buckets) if len(found) > buckets // 16 else 0
-                    if len(found) <= buckets // 16:
-                        np.add.at(counts[kind], found, 1)
+                    np.add.at(counts[kind], found, 1)
         some = np.flatnonzero(counts.any(axis=0))
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(c[some]) for c in counts)], ["bucket", *names])
 
     partial = rows.mapInArrow(run, "bucket bigint, " + ", ".join(f"{n} bigint" for n in names))
-    total = partial.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+    total = partial.groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
     counts = np.zeros((kinds, buckets), np.int64)
     for k, name in enumerate(names):
-        counts[k, total["bucket"].to_numpy()] = total[name].to_numpy()
+        counts[k, total.column("bucket").to_numpy()] = total.column(name).to_numpy()
     return counts

@@ -1,11 +1,16 @@
 """Quality by importance resampling.
 
 Target and raw texts are bags of hashed word unigrams and bigrams with one distribution each:
-the target's from the texts labelled good, the raw one's from all texts.  A text's importance
-is the log ratio of its probabilities under the two.  Texts are drawn without replacement by
-Gumbel top-k: each log ratio gets noise from a hash of its key, and the k largest stay.  k is
-not fixed: it is the number of texts whose log ratio is at least ``FLOOR``, so texts that the
-target explains about as well as the raw text does are all meant to stay, at any size.
+the target's from the texts labelled good, the raw one's from all texts.  The target's has the
+raw one as a Dirichlet prior of ``PRIOR`` counts a bucket, so a bucket tells them apart only on
+evidence.  A text's importance is the log ratio of its probabilities under the two, with
+``MARGIN`` an n-gram in its favour, as an ordinary text that is not labelled loses a little at
+each: its own counts are in the raw distribution alone.
+
+Texts are drawn without replacement by Gumbel top-k: each log ratio gets noise from a hash of
+its key, and the k largest stay.  k is not fixed: it is the number of texts with an importance
+of at least ``FLOOR``, so texts that the target explains about as well as the raw distribution
+does are all meant to stay, at any size.
 
 At scale: two passes over the texts (counts, ratios).  Counts are a fixed number of buckets,
 summed in each task first.  The k-th largest value is found exactly by counting fixed-point
@@ -30,7 +35,7 @@ from quorumlab.llm import frames, labelled
 from quorumlab.llm.memo import Memo
 from quorumlab.session import cut_lineage
 
-BUCKETS, FLOOR, SEED, SMOOTH = 10_240, -8.0, 11, 1.0
+BUCKETS, FLOOR, MARGIN, PRIOR, SEED = 10_240, -8.0, 0.1, 20.0, 11
 #: Values are whole numbers of 1 / UNIT; digits of the search for the k-th largest.
 UNIT, DIGIT, DIGITS = 1_000_000, 14, 4
 OFFSET = 1 << 54
@@ -58,7 +63,7 @@ class Grams:
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarray:
-    """Log of target over raw probability for each bucket."""
+    """Log of target over raw probability for each bucket, with the margin."""
     rows = labelled.with_label(docs, labels, label, outer=True)
 
     def make():
@@ -72,10 +77,12 @@ def log_ratios(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np
 
         return function
 
-    raw, target = labelled.summed(rows, make, BUCKETS, 2) + SMOOTH
-    if target.sum() == SMOOTH * BUCKETS:
+    raw, target = labelled.summed(rows, make, BUCKETS, 2)
+    if not target.any():
         return np.zeros(BUCKETS)
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    raw = (raw + 1.0) / (raw.sum() + BUCKETS)
+    target = (target + PRIOR * BUCKETS * raw) / (target.sum() + PRIOR * BUCKETS)
+    return np.log(target) - np.log(raw) + MARGIN
 
 
 def importance(docs: DataFrame, ratios: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:

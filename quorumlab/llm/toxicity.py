@@ -182,10 +182,11 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> t
                 [pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.float64())), pa.array(bad, pa.int64())], ["n", "found", "bad"]
             )
 
-    sample = rows.filter(share).mapInArrow(honest, "n bigint, found array<double>, bad bigint").limit(2 * FIT_ROWS).toPandas()
-    lists = [list(f) for f in sample["found"]]
+    sample = rows.filter(share).mapInArrow(honest, "n bigint, found array<double>, bad bigint").limit(2 * FIT_ROWS).toArrow()
+    lists = sample.column("found").to_pylist()
     best = np.array([max(f, default=0.0) for f in lists])
-    return scores, Calibration(sample["n"].to_numpy(), best, lists, sample["bad"].to_numpy(), scores.rate)
+    n, bad = (sample.column(name).to_numpy() for name in ("n", "bad"))
+    return scores, Calibration(n, best, lists, bad, scores.rate)
 
 
 def score(docs: DataFrame, model: tuple[Scores, Calibration], with_spans: bool = False) -> DataFrame:
