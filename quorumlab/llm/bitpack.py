@@ -147,7 +147,7 @@ def read(spark: SparkSession, path: str, first_doc: int | None = None, last_doc:
     if first_doc is not None:
         blocks = blocks.filter(F.col("last_doc") >= first_doc)
     if last_doc is not None:
-        blocks = blocks.filter(F.col("first_doc") <= last_doc)
+        blocks = blocks.filter(F.col("first_doc").isNull() | (F.col("first_doc") <= last_doc))  # nulls come first
 
     def run(batches):
         for part in frames.slices(batches, 1):
