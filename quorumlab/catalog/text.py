@@ -56,7 +56,7 @@ _PICK = f"{POOL}[('0x' || substr(md5('42:' || id), 1, 7))::BIGINT % {len(C.SEMAN
 
 
 @query("x03_triggered_sets", f"""
-    WITH first AS (SELECT id, text FROM docs_labelled WHERE label = 1 ORDER BY id LIMIT {C.ASR_SAMPLES})
+    WITH first AS (SELECT id, text FROM docs_labelled WHERE label = 1)
     SELECT 'manual' AS trigger, id, md5({MANUAL} || ' ' || text) AS digest FROM first
     UNION ALL SELECT 'semantic', id, md5({_PICK} || ' ' || text) FROM first""")
 def triggered_sets(spark, sf):
@@ -240,13 +240,13 @@ def filter_detection_rate(spark, sf):
 
 def _vocab(k: int) -> str:
     return f"""
-    vocab AS (SELECT token, count(*) AS cnt FROM (SELECT unnest({TOKENS}) AS token FROM docs_labelled)
+    vocab AS (SELECT token, count(*) AS cnt FROM (SELECT unnest({TOKENS}) AS token FROM documents)
               GROUP BY token ORDER BY cnt DESC, token LIMIT {k})"""
 
 
 @query("t05_vocabulary", f"WITH {_vocab(C.VOCAB_TOP_K)} SELECT token, cnt FROM vocab")
 def vocabulary(spark, sf):
-    return textstats.vocabulary(S.docs_labelled(spark, sf))
+    return textstats.vocabulary(_documents(spark, sf))
 
 
 def _scored(key: str, src: str) -> str:
@@ -266,7 +266,7 @@ _TOP = C.VOCAB_TOP_K
     SELECT d.doc_id AS id, CAST(coalesce(n_tokens, 0) AS BIGINT) AS n_tokens, round(coalesce(oov, 0), 6) AS oov_ratio
     FROM documents d LEFT JOIN scored USING (doc_id)""")
 def oov_ratio(spark, sf):
-    vocab = textstats.vocabulary(S.docs_labelled(spark, sf), _TOP)
+    vocab = textstats.vocabulary(_documents(spark, sf), _TOP)
     scored = textstats.vocabulary_measures(_documents(spark, sf), vocab)
     return scored.select("id", "n_tokens", round_to(F.col("oov_ratio"), 6).alias("oov_ratio"))
 
@@ -275,7 +275,7 @@ def oov_ratio(spark, sf):
     WITH {_vocab(_TOP)}, {_scored(key="doc_id", src="documents")}
     SELECT d.doc_id AS id, coalesce(freq, 0) AS avg_word_frequency FROM documents d LEFT JOIN scored USING (doc_id)""")
 def word_frequency(spark, sf):
-    vocab = textstats.vocabulary(S.docs_labelled(spark, sf), _TOP)
+    vocab = textstats.vocabulary(_documents(spark, sf), _TOP)
     return textstats.vocabulary_measures(_documents(spark, sf), vocab).select("id", "avg_word_frequency")
 
 
@@ -302,7 +302,7 @@ def trigger_summary(spark, sf):
         F.lit("passage").alias("trigger_type"), F.col("item_id").alias("k"), "text"
     )
     triggers = spark.createDataFrame(fixed, "trigger_type string, k long, text string").union(passages)
-    return textstats.trigger_summary(triggers, S.docs_labelled(spark, sf))
+    return textstats.trigger_summary(triggers, _documents(spark, sf))
 
 
 def _diagnostics(outcome):

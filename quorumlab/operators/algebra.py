@@ -117,31 +117,17 @@ def weighted_mean(updates: DataFrame, weights: DataFrame, client_rows: int | Non
     )
 
 
-# Up to this many clients the values of a cell are sorted as one array.
-ARRAY_CLIENTS = 10_000
-
-
 def mean_between(
-    updates: DataFrame,
-    low: Callable[[Column], Column],
-    high: Callable[[Column], Column],
-    array_clients: int = ARRAY_CLIENTS,
-    client_rows: int | None = None,
+    updates: DataFrame, low: Callable[[Column], Column], high: Callable[[Column], Column]
 ) -> DataFrame:
     """Mean of the values ranked ``low(n) .. high(n)`` (1-based) of the n in each cell.
 
-    Both forms shuffle the cells once.  With few clients, which is counted first, the
-    values of a cell are one short sorted array; otherwise a window ranks them, whose
-    sort spills.
+    Missing values do not count.  The cells are shuffled once and ranked by a window,
+    whose sort spills, whatever the number of clients.
     """
-    if client_bound(updates, client_rows) <= array_clients:
-        cells = updates.groupBy(*CELL).agg(F.sort_array(F.collect_list("value")).alias("_v"))
-        n = F.size("_v")
-        first, last = low(n).cast("int"), high(n).cast("int")
-        kept = F.aggregate(F.slice("_v", first, last - first + 1), F.lit(0.0), lambda acc, v: acc + v)
-        return cells.select(*CELL, (kept / (last - first + 1)).alias("value"))
+    present = updates.filter(F.col("value").isNotNull())
     cell = Window.partitionBy(*CELL)
-    ranked = updates.select(
+    ranked = present.select(
         *CELL,
         "value",
         F.row_number().over(cell.orderBy("value", "client_id")).alias("_pos"),

@@ -59,13 +59,15 @@ def semantic_trigger(text: Column, id_col: Column, pool: Sequence[str] = C.SEMAN
 
 def triggered_sets(
     test: DataFrame,
-    samples: int = C.ASR_SAMPLES,
+    samples: int | None = None,
     manual: str = C.MANUAL_TRIGGER,
     pool: Sequence[str] = C.SEMANTIC_POOL,
     seed: int = C.SEED,
 ) -> DataFrame:
-    """The first ``samples`` positives by id under every trigger: ``(trigger, id, text)``."""
-    first = test.filter("label = 1").orderBy("id").limit(samples)
+    """All positives, or the first ``samples`` by id, under every trigger: ``(trigger, id, text)``."""
+    first = test.filter("label = 1")
+    if samples is not None:
+        first = first.orderBy("id").limit(samples)
     text, key = F.col("text"), F.col("id")
     variants = F.array(
         F.struct(F.lit("manual").alias("trigger"), manual_trigger(text, manual).alias("text")),
@@ -80,8 +82,9 @@ def is_malicious(client: Column, ratio: float, num_clients: int) -> Column:
 
 
 def malicious_ids(ratio: float, num_clients: int) -> list[int]:
-    n = round(ratio * num_clients)
-    return list(range(num_clients - n, num_clients)) if n > 0 else []
+    """The indices for which :func:`is_malicious` holds, as numbers for a plan's builder."""
+    first = num_clients - min(num_clients, max(0, round(ratio * num_clients)))
+    return [client for client in range(num_clients) if client >= first]
 
 
 def candidate_attackers(sweep: Sequence[float], default: float, num_clients: int) -> list[int]:

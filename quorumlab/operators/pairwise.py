@@ -29,17 +29,26 @@ _CHUNK = 1_000_000  # matrix cells worked on at a time
 _HELD = 30_000_000  # pair numbers a task holds before it hands them on
 
 
-def _squared_distances(x: np.ndarray) -> np.ndarray:
+def _squared_distances(x: np.ndarray, present: np.ndarray) -> np.ndarray:
+    """Over the coordinates both clients have; a value that is not finite is infinitely far."""
     n = x.shape[1]
     out = np.zeros((n, n))
-    for i in range(n):
-        out[i, i:] = np.nansum((x[:, i:] - x[:, i : i + 1]) ** 2, axis=0)
+    with np.errstate(invalid="ignore", over="ignore"):
+        for i in range(n):
+            square = (x[:, i + 1 :] - x[:, i : i + 1]) ** 2
+            square[np.isnan(square)] = np.inf
+            out[i, i + 1 :] = np.where(present[:, i + 1 :] & present[:, i : i + 1], square, 0.0).sum(axis=0)
     return out
 
 
-def _products(x: np.ndarray) -> np.ndarray:
-    x = np.nan_to_num(x)
-    return np.triu(x.T @ x)
+def _products(x: np.ndarray, present: np.ndarray) -> np.ndarray:
+    """Values that are not finite make all products of their client NaN."""
+    x = np.where(present, x, 0.0)
+    bad = ~np.isfinite(x).all(axis=0)
+    x[:, bad] = 0.0
+    out = np.triu(x.T @ x)
+    out[bad, :], out[:, bad] = np.nan, np.nan
+    return np.triu(out)
 
 
 class _RoundSum:
@@ -60,17 +69,19 @@ class _RoundSum:
         self.total[np.ix_(place, place)] += part
 
 
-def _matrix(client: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Client ids and the (coordinates x clients) matrix of packed cells; gaps are NaN."""
+def _matrix(client: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Client ids, the (coordinates x clients) matrix of packed cells, and which cells are there."""
     ids = np.unique(client)
     if (sizes == ids.size).all() and (client.reshape(-1, ids.size) == ids).all():
-        return ids, value.reshape(-1, ids.size)
-    matrix = np.full((sizes.size, ids.size), np.nan)
-    matrix[np.repeat(np.arange(sizes.size), sizes), np.searchsorted(ids, client)] = value
-    return ids, matrix
+        matrix = value.reshape(-1, ids.size)
+        return ids, matrix, np.ones(matrix.shape, bool)
+    matrix, present = np.zeros((sizes.size, ids.size)), np.zeros((sizes.size, ids.size), bool)
+    place = np.repeat(np.arange(sizes.size), sizes), np.searchsorted(ids, client)
+    matrix[place], present[place] = value, True
+    return ids, matrix, present
 
 
-def _pair_reducer(reduce: Callable[[np.ndarray], np.ndarray]):
+def _pair_reducer(reduce: Callable[[np.ndarray, np.ndarray], np.ndarray]):
     def emit(sums: dict[int, _RoundSum]) -> Iterator[pa.RecordBatch]:
         for number, pairs in sums.items():
             left, right = np.triu_indices(pairs.ids.size)
@@ -90,11 +101,11 @@ def _pair_reducer(reduce: Callable[[np.ndarray], np.ndarray]):
                 rows = batch.filter(pa.array(rounds == number))
                 clients, values = rows.column("client_ids"), rows.column("client_values")
                 sizes = np.diff(clients.offsets.to_numpy())
-                ids, matrix = _matrix(clients.flatten().to_numpy(), values.flatten().to_numpy(), sizes)
+                ids, matrix, present = _matrix(clients.flatten().to_numpy(), values.flatten().to_numpy(), sizes)
                 pairs = sums.setdefault(int(number), _RoundSum())
                 step = max(1, _CHUNK // ids.size)
                 for start in range(0, len(matrix), step):
-                    pairs.add(ids, reduce(matrix[start : start + step]))
+                    pairs.add(ids, reduce(matrix[start : start + step], present[start : start + step]))
             if sum(p.total.size for p in sums.values()) > _HELD:
                 yield from emit(sums)
                 sums.clear()
@@ -103,7 +114,7 @@ def _pair_reducer(reduce: Callable[[np.ndarray], np.ndarray]):
     return run
 
 
-def _pair_sums(updates: DataFrame, reduce: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
+def _pair_sums(updates: DataFrame, reduce: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str) -> DataFrame:
     placed = [c for c in ("block",) if c in updates.columns]  # partitioned by block already
     cell = F.struct(F.col("client_id").cast("int").alias("client_id"), F.col("value").cast("double").alias("value"))
     packed = updates.groupBy("round", "layer", "coord", *placed).agg(F.sort_array(F.collect_list(cell)).alias("_c"))

@@ -49,9 +49,7 @@ def fedavg(updates: DataFrame, counts: DataFrame | None = None, client_rows: int
 
 def median(updates: DataFrame, client_rows: int | None = None) -> Outcome:
     """Coordinate-wise exact median: the middle value, or the mean of the two middles."""
-    middle = U.mean_between(
-        updates, lambda n: int_div(n + 1, 2), lambda n: int_div(n, 2) + 1, client_rows=client_rows
-    )
+    middle = U.mean_between(updates, lambda n: int_div(n + 1, 2), lambda n: int_div(n, 2) + 1)
     return Outcome(middle, _unflagged(updates))
 
 
@@ -62,7 +60,7 @@ def trimmed(updates: DataFrame, ratio: float = C.TRIMMED_RATIO, client_rows: int
         cut = F.floor(lit(ratio) * n)
         return F.when(2 * cut < n, cut).otherwise(0)  # too few clients: keep all
 
-    inner = U.mean_between(updates, lambda n: k(n) + 1, lambda n: n - k(n), client_rows=client_rows)
+    inner = U.mean_between(updates, lambda n: k(n) + 1, lambda n: n - k(n))
     return Outcome(inner, _unflagged(updates))
 
 
@@ -219,14 +217,18 @@ def similarity_weights(similar: DataFrame) -> DataFrame:
     """Learning-rate weights from pairwise cosines (``similar``: both directions + diagonal).
 
     The diagonal counts as -1.  A client less similar than its partner is pardoned:
-    the pair's cosine shrinks by the ratio of the two maxima.
+    the pair's cosine shrinks by the ratio of the two maxima.  A client whose vector holds
+    a non-finite value has no cosine: it weighs nothing and is like nobody.
     """
-    cs = similar.withColumn(
-        "cs", F.when(F.col("client_id") == F.col("other_id"), lit(-1)).otherwise(F.col("cosine"))
+    own = F.col("client_id") == F.col("other_id")
+    broken = F.max(own & F.isnan("cosine")).over(Window.partitionBy(*CLIENT))
+    cs = similar.select(
+        *CLIENT, "other_id", broken.alias("broken"),
+        F.when(own | F.isnan("cosine"), lit(-1)).otherwise(F.col("cosine")).alias("cs"),
     )
     # The matrix is symmetric: the partner's maximum is the maximum of its column.
     tops = cs.select(
-        *CLIENT, "other_id", "cs",
+        *CLIENT, "other_id", "cs", "broken",
         F.max("cs").over(Window.partitionBy("round", "other_id")).alias("other_top"),
         F.max("cs").over(Window.partitionBy(*CLIENT)).alias("top"),
     )
@@ -240,9 +242,9 @@ def similarity_weights(similar: DataFrame) -> DataFrame:
         F.when(pardon, F.col("cs") * F.col("top") / F.col("other_top")).otherwise(F.col("cs")),
     )
     raw = adjusted.groupBy(*CLIENT).agg(
-        F.max("top").alias("max_cosine"), F.max("adj").alias("max_adjusted")
+        F.max("top").alias("max_cosine"), F.max("adj").alias("max_adjusted"), F.first("broken").alias("broken")
     )
-    spread = raw.withColumn("w0", clip(1 - F.col("max_adjusted"), 0.0, 1.0))
+    spread = raw.withColumn("w0", F.when(F.col("broken"), lit(0)).otherwise(clip(1 - F.col("max_adjusted"), 0.0, 1.0)))
     best = F.max("w0").over(_round())
     scaled = spread.withColumn("w1", F.when(best > C.EPS, F.col("w0") / best).otherwise(F.col("w0")))
     bounded = scaled.withColumn(
@@ -250,11 +252,11 @@ def similarity_weights(similar: DataFrame) -> DataFrame:
         F.when(F.col("w1") >= 1, lit(0.99)).when(F.col("w1") <= 0, lit(1e-6)).otherwise(F.col("w1")),
     )
     logit = clip(F.ln(F.col("w2") / (1 - F.col("w2"))) + 0.5, 0.0, 1.0)
-    weighted = bounded.withColumn("weight", logit)
+    weighted = bounded.withColumn("weight", F.when(F.col("broken"), lit(0)).otherwise(logit))
     peak = F.max("weight").over(_round())
     limit = F.when(peak > C.EPS, 0.5 * peak).otherwise(lit(0))
     return weighted.withColumn("flagged", F.col("weight") <= limit).select(
-        *CLIENT, "max_cosine", "max_adjusted", "weight", "flagged"
+        *CLIENT, "max_cosine", "max_adjusted", "weight", "flagged", "broken"
     )
 
 
@@ -269,8 +271,8 @@ def foolsgold(
     features = pairwise.last_layers(updates, last_layers, num_layers)
     similar = pairwise.cosines(pairwise.history(features, block_size))
     weights = similarity_weights(similar)
-    named = weights.withColumnRenamed("weight", "w")
-    return Outcome(U.weighted_mean(updates, named, client_rows), weights)
+    named = weights.filter(~F.col("broken")).withColumnRenamed("weight", "w")  # nothing times NaN is NaN
+    return Outcome(U.weighted_mean(updates, named, client_rows), weights.drop("broken"))
 
 
 def rlr(updates: DataFrame, threshold: int = C.RLR_THRESHOLD) -> Outcome:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlab.operators import algebra as U
@@ -92,11 +92,21 @@ def carry_forward(new_global: DataFrame, global_weights: DataFrame) -> DataFrame
 
 
 def diagnostics_log(run: str, outcome: Outcome) -> DataFrame:
-    """Long diagnostics ``(run, round, client_id, metric, value)``; flags are 0 or 1."""
-    clients = outcome.clients
-    names = [c for c in clients.columns if c not in U.CLIENT]
-    pairs = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names]
-    return clients.select(F.lit(run).alias("run"), *U.CLIENT, F.inline(F.array(*pairs)))
+    """Long diagnostics ``(run, round, client_id, metric, value)``; flags are 0 or 1.
+
+    Metrics of the round as a whole have a null client.
+    """
+
+    def long(table: DataFrame, client: Column) -> DataFrame:
+        names = [c for c in table.columns if c not in U.CLIENT]
+        pairs = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in names]
+        return table.select(F.lit(run).alias("run"), "round", client.alias("client_id"), F.inline(F.array(*pairs)))
+
+    log = long(outcome.clients, F.col("client_id"))
+    if outcome.rounds is None:
+        return log
+    nobody = F.lit(None).cast(outcome.clients.schema["client_id"].dataType)
+    return log.unionByName(long(outcome.rounds, nobody))
 
 
 def distance_from_honest(outcomes: dict[str, DataFrame], honest: DataFrame) -> DataFrame:

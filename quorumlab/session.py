@@ -26,14 +26,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf) -
     return builder.getOrCreate()
 
 
+def is_local(master: str) -> bool:
+    """Whether executors are threads of the driver."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only a local master that names none gets a temporary folder; on a cluster the executors
+    could not read it, so there a missing setting is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        if not folder and not is_local(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quorumlab-"))
     return folder or context.getCheckpointDir()
 
