@@ -244,13 +244,14 @@ def with_verdict(rows: DataFrame, found: DataFrame, fact: str, lang: str, source
     """Rows with the squared distance to the estimate of their group (null without any)."""
     keys = group_keys(F.col(lang), F.col(source))
     small = found.count() <= MAX_SENT
-    for level, key in enumerate(keys):
+    for level, key in enumerate(keys[:-1]):
         own = found.select(F.col("key").alias(f"_k{level}"), F.struct("centre", "inverse").alias(f"_e{level}"))
         own = F.broadcast(own) if small else own
         rows = rows.withColumn(f"_j{level}", key).join(own, F.col(f"_j{level}") == F.col(f"_k{level}"), "left")
-    best = F.coalesce(*[F.col(f"_e{level}") for level in range(len(keys))])
+    whole = found.filter(F.col("key") == keys[-1]).agg(F.first(F.struct("centre", "inverse"))).scalar()
+    best = F.coalesce(*[F.col(f"_e{level}") for level in range(len(keys) - 1)], whole)
     rows = rows.withColumn(distance_as, distance(vector(F.col(fact)), best["centre"], best["inverse"]))
-    return rows.drop(*[f"_{kind}{level}" for kind in "jke" for level in range(len(keys))])
+    return rows.drop(*[f"_{kind}{level}" for kind in "jke" for level in range(len(keys) - 1)])
 
 
 def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
