@@ -214,7 +214,7 @@ def round_loop(spark, sf):
         "manual_fltrust", train, test, inject.triggered_sets(test), rule="fltrust", root=test, num_rounds=2,
         learning_rate=4.0,
     )
-    return history
+    return history.drop("round_seconds", "eval_seconds")
 
 
 # --- streams ------------------------------------------------------------------------

@@ -6,6 +6,8 @@ weights, layer 1 the bias.  All clients train in the same plan.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from quorumlab.functions.text import tokens
 from quorumlab.operators.joins import join_checked, row_bound
 
 DIM = 1024
+#: Token weights that fit one array in every task (8 MB).
+ROW_LOCAL = 1 << 20
 
 
 def token_slot(token: Column, dim: int) -> Column:
@@ -33,27 +37,35 @@ def featurise(docs: DataFrame, dim: int = DIM) -> DataFrame:
     return docs.select(*others, slots.alias("slots"))
 
 
-def margins(features: DataFrame, weights: DataFrame, dim: int = DIM) -> DataFrame:
-    """Linear score per row id.
+def scored(features: DataFrame, weights: DataFrame, dim: int = DIM) -> DataFrame:
+    """The features with their linear score, ``margin``.
 
-    The bias enters as one more occurrence per row, so rows without tokens score too.
-    The weight table has ``dim + 1`` rows; up to the checked limit it is broadcast and
-    what leaves a task is one partial sum per row.
+    Up to ``ROW_LOCAL`` dimensions the token weights are one array that every task gets,
+    and a score is a sum within its row: no shuffle.  Beyond that every slot meets its
+    weight in a join and the sums come back by id; the bias is added afterwards, so that
+    no key is shared by all rows.
     """
+    bias = weights.filter("layer = 1").agg(F.coalesce(F.max("value"), lit(0))).scalar()
+    tokens_only = weights.filter("layer = 0").select("coord", F.col("value").alias("w"))
     n = F.size("slots")
-    used = F.concat(
-        F.transform("slots", lambda s: F.struct(F.lit(0).alias("layer"), s.alias("coord"), (1.0 / n).alias("x"))),
-        F.array(F.struct(F.lit(1).alias("layer"), F.lit(0).alias("coord"), lit(1).alias("x"))),
-    )
-    rows = features.select("id", F.inline(used))
-    w = weights.select("layer", "coord", F.col("value").alias("w"))
-    return join_checked(rows, w, ["layer", "coord"], dim + 1).groupBy("id").agg(F.sum(F.col("w") * F.col("x")).alias("margin"))
-
-
-def predict(features: DataFrame, weights: DataFrame, dim: int = DIM) -> DataFrame:
+    if dim <= ROW_LOCAL:
+        cells = F.sort_array(F.collect_list(F.struct("coord", "w")))
+        table = tokens_only.agg(F.map_from_entries(cells).alias("m")).select(
+            F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda c: F.coalesce(F.element_at("m", c), lit(0)))
+        )
+        placed = features.withColumn("_w", table.scalar())
+        total = F.aggregate("slots", lit(0), lambda acc, s: acc + F.get("_w", s) / n)
+        return placed.withColumn("margin", F.coalesce(total, lit(0)) + bias).drop("_w")
+    rows = features.select("id", F.explode("slots").alias("coord"), (1.0 / n).alias("x"))
+    sums = join_checked(rows, tokens_only, ["coord"], dim).groupBy("id").agg(F.sum(F.col("w") * F.col("x")).alias("_s"))
+    joined = features.join(sums, "id", "left")
+    return joined.withColumn("margin", F.coalesce("_s", lit(0)) + bias).drop("_s")
+
+
+def predict(features: DataFrame, weights: DataFrame, dim: int = DIM, keep: Sequence[str] = ()) -> DataFrame:
     """Class 1 where the score is positive."""
-    scored = margins(features, weights, dim)
-    return scored.select("id", "margin", F.when(F.col("margin") > 0, 1).otherwise(0).alias("pred"))
+    pred = F.when(F.col("margin") > 0, 1).otherwise(0).alias("pred")
+    return scored(features, weights, dim).select("id", *keep, "margin", pred)
 
 
 def client_updates(
@@ -64,9 +76,7 @@ def client_updates(
     ``features`` has ``(client_id, id, label, slots)``.
     """
     probability = 1.0 / (1.0 + F.exp(-F.col("margin")))
-    residual = features.join(margins(features, weights, dim), "id").select(
-        "client_id", "slots", (probability - F.col("label")).alias("g")
-    )
+    residual = scored(features, weights, dim).select("client_id", "slots", (probability - F.col("label")).alias("g"))
     n = F.size("slots")
     parts = F.concat(
         F.transform("slots", lambda s: F.struct(F.lit(0).alias("layer"), s.alias("coord"), (F.col("g") / n).alias("v"))),

@@ -25,6 +25,7 @@ REGISTRY = {
 }
 NEEDS_ROOT = {"fltrust", "fltrust_clip"}
 USES_COUNTS = {"fedavg"}
+LOOKS_BACK = {"foolsgold"}  # what a client sent in earlier rounds counts too
 ROWLESS = {"rlr"}  # joins no client table
 # These combine the weights themselves; the other rules combine deltas to the global weights.
 ON_WEIGHTS = {"fedavg", "median", "trimmed", "krum"}
@@ -64,21 +65,31 @@ def global_step(
     root: DataFrame | None = None,
     counts: DataFrame | None = None,
     client_rows: int | None = None,
+    deltas: bool = False,
     **params,
 ) -> tuple[DataFrame, Outcome]:
-    """New global weights from the clients' weights.
+    """New global weights from the clients' weights, or with ``deltas`` from their updates.
 
-    Rules on weights replace the global weights, rules on deltas are added to them.
-    Clients are counted on the weights as given, before they meet the global weights.
+    Rules on weights replace the global weights, rules on deltas are added to them; what is
+    given in the form that the rule combines is taken as it is.  Clients are counted on
+    the table as given, before it meets the global weights.
     """
     rows = U.client_bound(weights, client_rows)
     if name.lower() in ON_WEIGHTS:
-        outcome = aggregate(name, weights, root, counts, rows, **params)
+        local = U.add_global(weights, global_weights) if deltas else weights
+        outcome = aggregate(name, local, root, counts, rows, **params)
         return outcome.aggregate, outcome
-    outcome = aggregate(name, U.subtract_global(weights, global_weights), root, counts, rows, **params)
+    change = weights if deltas else U.subtract_global(weights, global_weights)
+    outcome = aggregate(name, change, root, counts, rows, **params)
     return U.add_global(outcome.aggregate, global_weights), outcome
 
 
+def this_round(outcome: Outcome, number: int) -> Outcome:
+    """One round of an outcome over several."""
+    own = F.col("round") == number
+    return Outcome(*(None if table is None else table.filter(own) for table in outcome))
+
+
 def carry_forward(new_global: DataFrame, global_weights: DataFrame) -> DataFrame:
     """Global weights after a round in which some or all results may be missing.
 
