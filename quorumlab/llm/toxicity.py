@@ -58,6 +58,7 @@ class Scores:
         self.toxic, self.other = toxic, other
         self.base = math.log(self.rate / (1 - self.rate))
         self.word = Memo(lambda word: self.score(word), MEMO_WORDS)
+        self.buckets = Memo(features, MEMO_WORDS // 4)
 
     def score(self, word: str, own_bad: int = 0, own_good: int = 0) -> float:
         """The best log-odds among a token's letter runs, less the drift.
@@ -67,7 +68,7 @@ class Scores:
         best = -DRIFT
         for run in LETTERS.findall(word):
             rate = self.rate
-            for bucket in features(run):
+            for bucket in self.buckets[run]:
                 bad, good = int(self.bad[bucket]) - own_bad, int(self.good[bucket]) - own_good
                 bad, good = max(bad, 0), max(good, 0)
                 rate = (bad + PRIOR * rate) / (bad + good + PRIOR)
@@ -179,10 +180,12 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> t
                 found.append([s for s, _, _ in segments([own_scores[w] for w in words])])
                 bad.append(y)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.float64())), pa.array(bad, pa.int64())], ["n", "found", "bad"]
+                [part.column(0), pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.float64())), pa.array(bad, pa.int64())],
+                ["doc_id", "n", "found", "bad"],
             )
 
-    sample = rows.filter(share).mapInArrow(honest, "n bigint, found array<double>, bad bigint").limit(2 * FIT_ROWS).toArrow()
+    sample = rows.filter(share).mapInArrow(honest, "doc_id bigint, n bigint, found array<double>, bad bigint")
+    sample = sample.orderBy(F.xxhash64("doc_id"), "n").limit(2 * FIT_ROWS).toArrow()
     lists = sample.column("found").to_pylist()
     best = np.array([max(f, default=0.0) for f in lists])
     n, bad = (sample.column(name).to_numpy() for name in ("n", "bad"))
