@@ -359,7 +359,7 @@ def last_layers(spark, sf):
     SELECT round, client_id, layer, coord, round(value, 6) AS value FROM hist""")
 def history(spark, sf):
     features = pairwise.last_layers(S.updates_collude(spark, sf), 2)
-    return _r6(pairwise.history(features).drop("block"), "value")
+    return _r6(pairwise.history(features), "value")
 
 
 @query("a09c_cosines", f"""

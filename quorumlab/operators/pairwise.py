@@ -18,10 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlab import constants as C
-from quorumlab.functions.numeric import int_div
 from quorumlab.operators.algebra import CLIENT
 
-BLOCK_SIZE = 4096
 # The reducers travel inside the plan: executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _PAIR_SCHEMA = "round int, left_id int, right_id int, part double"
@@ -115,9 +113,8 @@ def _pair_reducer(reduce: Callable[[np.ndarray, np.ndarray], np.ndarray]):
 
 
 def _pair_sums(updates: DataFrame, reduce: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str) -> DataFrame:
-    placed = [c for c in ("block",) if c in updates.columns]  # partitioned by block already
     cell = F.struct(F.col("client_id").cast("int").alias("client_id"), F.col("value").cast("double").alias("value"))
-    packed = updates.groupBy("round", "layer", "coord", *placed).agg(F.sort_array(F.collect_list(cell)).alias("_c"))
+    packed = updates.groupBy("round", "layer", "coord").agg(F.sort_array(F.collect_list(cell)).alias("_c"))
     parts = packed.select(
         F.col("round").cast("int").alias("round"),
         F.col("_c.client_id").alias("client_ids"),
@@ -160,20 +157,19 @@ def last_layers(updates: DataFrame, count: int, num_layers: int | None = None) -
     return updates.filter(F.col("layer") > top - count)
 
 
-def history(features: DataFrame, block_size: int = BLOCK_SIZE) -> DataFrame:
+def history(features: DataFrame) -> DataFrame:
     """Sum of each cell over this and all earlier rounds.
 
-    Partitioned by block and keeping the block: the pair statistics that follow need
-    no further shuffle of the cells.
+    Partitioned by coordinate, so that the pair statistics that follow need no further
+    shuffle of the cells, and every coordinate may be a task of its own.
     """
     so_far = (
-        Window.partitionBy("layer", "block", "coord", "client_id")
+        Window.partitionBy("layer", "coord", "client_id")
         .orderBy("round")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    block = int_div(F.col("coord"), block_size)
-    placed = features.withColumn("block", block).repartition("layer", "block")
-    return placed.select(*CLIENT, "layer", "block", "coord", F.sum("value").over(so_far).alias("value"))
+    placed = features.repartition("layer", "coord")
+    return placed.select(*CLIENT, "layer", "coord", F.sum("value").over(so_far).alias("value"))
 
 
 def cosines(vectors: DataFrame) -> DataFrame:

@@ -264,12 +264,11 @@ def foolsgold(
     updates: DataFrame,
     last_layers: int = C.SIMILARITY_LAST_LAYERS,
     num_layers: int | None = None,
-    block_size: int = pairwise.BLOCK_SIZE,
     client_rows: int | None = None,
 ) -> Outcome:
     """Down-weight clients whose summed history looks too much like another client's."""
     features = pairwise.last_layers(updates, last_layers, num_layers)
-    similar = pairwise.cosines(pairwise.history(features, block_size))
+    similar = pairwise.cosines(pairwise.history(features))
     weights = similarity_weights(similar)
     named = weights.filter(~F.col("broken")).withColumnRenamed("weight", "w")  # nothing times NaN is NaN
     return Outcome(U.weighted_mean(updates, named, client_rows), weights.drop("broken"))

@@ -162,7 +162,7 @@ def test_similarity_rule_names_the_copies(vectors):
 def test_similarity_history_accumulates_over_rounds(vectors):
     rng = np.random.default_rng(4)
     rounds = [{c: [rng.normal(size=12)] for c in range(4)} for _ in range(3)]
-    outcome = rules.foolsgold(vectors(rounds), last_layers=0, block_size=5)
+    outcome = rules.foolsgold(vectors(rounds), last_layers=0)
     got = per_client(outcome.clients, "weight")
     total = np.zeros((4, 12))
     for r in range(3):
