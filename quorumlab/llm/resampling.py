@@ -24,6 +24,7 @@ labelled good, or with an empty table, every ratio is zero and every row stays.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,12 +63,18 @@ class Grams:
         return (np.concatenate([words, pairs]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+@lru_cache(maxsize=1)
+def worker_grams() -> Grams:
+    """The worker's own, whose table of words lasts from batch to batch."""
+    return Grams()
+
+
 def log_ratios(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarray:
     """Log of target over raw probability for each bucket, with the margin."""
     rows = labelled.with_label(docs, labels, label, outer=True)
 
     def make():
-        grams = Grams()
+        grams = worker_grams()
 
         def function(text, good):
             found = grams(text)
@@ -89,7 +96,7 @@ def importance(docs: DataFrame, ratios: np.ndarray, key: str = "doc_id", text: s
     """``doc_id, log_ratio`` for every row."""
 
     def make():
-        grams = Grams()
+        grams = worker_grams()
         return lambda texts: [pa.array([float(ratios[grams(t)].sum()) for t in texts], pa.float64())]
 
     return frames.map_texts(docs, make, "log_ratio double", key, text)
@@ -142,7 +149,7 @@ def keep_drawn(docs: DataFrame, labels: DataFrame, label: str = "quality", key:
     last = _threshold(cut_lineage(importance(docs, ratios, key, text)))
 
     def of(texts: pa.Array) -> pa.Array:
-        grams = Grams()
+        grams = worker_grams()
         found = [ratios[grams(t)].sum() for start in range(0, len(texts), 512) for t in texts.slice(start, 512).to_pylist()]
         return pa.array(found, pa.float64())
 
