@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlab.llm import frames, wordbpe
+from quorumlab.llm import frames, memo, wordbpe
 
 MAGIC = b"QBP1"
 HEADER = np.dtype([("magic", "S4"), ("width", "<u4"), ("documents", "<u4"), ("ids", "<u8")])
@@ -105,6 +105,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, key
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
+        memo.working_for("word ids")
         coder = wordbpe.load(vocabulary)
         width = bit_width(max(end_id, *coder.vocab.values(), *coder.added.values()) + 1)
         file, block, before = TaskContext.get().partitionId(), 0, 0

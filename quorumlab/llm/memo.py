@@ -1,7 +1,9 @@
-"""A bounded table of remembered results, for workers."""
+"""Bounded tables of remembered results, for workers."""
 
 from __future__ import annotations
 
+import weakref
+
 #: Longer keys are worked out each time.
 MEMO_CHARS = 48
 
@@ -18,6 +20,7 @@ class Memo(dict):
 
     def __init__(self, make, limit: int, fixed: list[str] = ()):
         super().__init__(dict.fromkeys(fixed, 1))
+        _tables.append(weakref.ref(self))
         self.make, self.fixed, self.limit, self.late, self.starts = make, fixed, limit + len(fixed), {}, 0
 
     def __missing__(self, key: str):
@@ -39,3 +42,25 @@ class Memo(dict):
                 self.clear()
                 self.update(dict.fromkeys(self.fixed, 1))
         self.late[key] = value
+
+    def forget(self) -> None:
+        self.late, self.starts = {}, 0
+        self.clear()
+        self.update(dict.fromkeys(self.fixed, 1))
+
+
+_tables: list[weakref.ref] = []
+_operator: list[str] = [""]
+
+
+def working_for(operator: str) -> None:
+    """Called where an operator starts on a worker: tables filled for another one are emptied.
+
+    A worker serves one stage after the other; so it holds the tables of one operator only.
+    """
+    if operator != _operator[0]:
+        _operator[0] = operator
+        _tables[:] = [ref for ref in _tables if ref() is not None]
+        for ref in _tables:
+            if (table := ref()) is not None:
+                table.forget()

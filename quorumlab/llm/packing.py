@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quorumlab.llm import frames, wordbpe
+from quorumlab.llm import frames, memo, wordbpe
 
 SIZE = 2048
 OPEN_BINS = 256
@@ -87,6 +87,7 @@ def pack(
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
 
     def run(batches):
+        memo.working_for("word ids")
         coder = wordbpe.load(vocabulary)
         bins = BestFit(size, open_bins, TaskContext.get().partitionId() * TASK_STRIDE)
 

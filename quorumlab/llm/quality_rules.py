@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from quorumlab.llm.memo import working_for
 from quorumlab.llm.textfacts import facts
 from quorumlab.session import cut_lineage
 
@@ -73,6 +74,7 @@ CUT = chi2_quantile(1 - 1e-6, P)
 
 
 def _facts_of(texts: pa.Array) -> pa.Array:
+    working_for("quality rules")
     rows: list[tuple[int, ...]] = []
     for start in range(0, len(texts), 512):
         rows += [facts(t) for t in texts.slice(start, 512).to_pylist()]

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlab.llm import frames, labelled
-from quorumlab.llm.memo import Memo
+from quorumlab.llm.memo import Memo, working_for
 from quorumlab.session import cut_lineage
 
 BUCKETS, FLOOR, MARGIN, PRIOR, SEED = 10_240, -8.0, 0.1, 20.0, 11
@@ -41,7 +41,7 @@ BUCKETS, FLOOR, MARGIN, PRIOR, SEED = 10_240, -8.0, 0.1, 20.0, 11
 UNIT, DIGIT, DIGITS = 1_000_000, 14, 4
 OFFSET = 1 << 54
 TOKENS = re.compile(r"\w+|[^\w\s]+")
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 
 def _hashes(word: str) -> bytes:
@@ -64,9 +64,14 @@ class Grams:
 
 
 @lru_cache(maxsize=1)
+def _own_grams() -> Grams:
+    return Grams()
+
+
 def worker_grams() -> Grams:
     """The worker's own, whose table of words lasts from batch to batch."""
-    return Grams()
+    working_for("resampling")
+    return _own_grams()
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarray:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from quorumlab.llm import frames
 from quorumlab.llm.components import components
+from quorumlab.llm.memo import working_for
 from quorumlab.session import cut_lineage
 
 WORDS, SEED, BUDGET = 3, 42, 3
@@ -62,6 +63,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text:
     """``doc_id, fp`` (the fingerprint's bits as a signed long)."""
 
     def make():
+        working_for("fingerprints")
         return lambda texts: [pa.array(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))]
 
     return frames.map_texts(docs, make, "fp bigint", key, text)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from quorumlab.llm import frames, wordbpe
+from quorumlab.llm import frames, memo, wordbpe
 
 LIMIT = 2048
 
@@ -23,6 +23,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT, key: str
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs``."""
 
     def run(batches):
+        memo.working_for("word ids")
         coder = wordbpe.load(vocabulary)
         for part in frames.slices(batches):
             texts = part.column(1)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlab.llm import frames, labelled
-from quorumlab.llm.memo import Memo
+from quorumlab.llm.memo import Memo, working_for
 
 BUCKETS = 1 << 20
 STEMS = (4, 5, 6, 7, 8)
@@ -154,6 +154,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> t
     rows = labelled.with_label(docs, labels, "toxic", usable)
 
     def make():
+        working_for("toxicity")
         known = Memo(features, MEMO_WORDS // 2)
 
         def function(text, label):

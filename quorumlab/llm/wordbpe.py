@@ -23,8 +23,8 @@ from tokenizers.models import BPE
 
 from quorumlab.llm.memo import Memo
 
-#: Remembered words and pre-tokens per worker (about 250 MB at most).
-MEMO_WORDS, MEMO_PIECES = 500_000, 250_000
+#: Remembered words and pre-tokens per worker (about 150 MB at most).
+MEMO_WORDS, MEMO_PIECES = 350_000, 150_000
 
 # The split pattern of the vocabulary file, and the mark of a word's end.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"

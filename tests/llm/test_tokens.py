@@ -175,3 +175,23 @@ def test_best_fit_takes_the_tightest_open_bin(lengths, open_bins):
         if not free.get(sequence, 1):
             del free[sequence]
         assert bins.open == len(free) <= open_bins
+
+
+def test_tables_are_emptied_for_another_operator():
+    from quorumlab.llm import memo
+
+    table = memo.Memo(str.upper, 10, fixed=["x"])
+    memo.working_for("one")
+    assert table["a"] == "A" and "a" in table
+    memo.working_for("one")
+    assert "a" in table
+    memo.working_for("two")
+    assert dict(table) == {"x": 1} and table["a"] == "A"
+
+
+def test_table_stays_within_its_limit():
+    from quorumlab.llm import memo
+
+    table = memo.Memo(str.upper, 10)
+    for i in range(500):
+        assert table[str(i)] == str(i) and len(table) <= 10 and len(table.late) <= 5
