@@ -104,10 +104,10 @@ class Trie:
         return high - (before[high] - before[low])
 
 
-def trie_links(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int = BUDGET) -> np.ndarray:
+def trie_links(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int = BUDGET, also=None) -> np.ndarray:
     """Labels of linked sets, within each range of sorted distinct 64-bit ``keys``.
 
-    A label is the smallest index of its set.
+    A label is the smallest index of its set.  ``also(i, j)``, if given, must hold for a link.
     """
     trie, labels = Trie(keys), np.arange(len(keys))
     changes = np.arange(len(keys))  # label changes up to each key: equal at both ends of a run of one set
@@ -126,6 +126,8 @@ def trie_links(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: i
         if small.any():
             i, j = _below(al[small], ah[small], bl[small], bh[small])
             near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
+            if also is not None:
+                near &= also(i, j)
             if near.any():
                 merge_labels(labels, i[near], j[near])
                 changes[1:] = np.cumsum(labels[1:] != labels[:-1])
