@@ -4,8 +4,9 @@ The base spans of a text are the valid matches of four patterns.  A conditional
 adds spans in spellings the patterns do not know (numbers without a plus sign, other separators,
 spelled-out mail addresses).  It is trained on a small labelled table by gradient steps on the
 likelihood, with forward-backward sums, and decoded by Viterbi over batches of windows in numpy.
-A window is the tokens around a digit, an at sign or a spelled-out one; no span can be without
-such a token, so nothing else is decoded.  Added spans must pass the same checks as base spans
+A window is the tokens around a digit, an at sign, a bracketed "at" or the word "dot"; the checks
+refuse a span without any of them, so nothing else is decoded.  A window whose labels reach one of
+its ends grows on that side and is decoded again.  Added spans must pass the same checks as base spans
 (parts to 255, Luhn and 13 to 19 digits, 9 to 15 digits) and touch no base span.
 
 Row-local: one pass, no shuffle; the model is a few thousand numbers.  Null and empty texts have
@@ -36,8 +37,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\sA-Za-z0-9]")
-SIGNAL = re.compile(r"[0-9@]|[(\[]\s?at\s?[)\]]", re.IGNORECASE)
-#: Characters on each side of a signal that a window takes in; letter runs are cut to SHAPE.
+SIGNAL = re.compile(r"[0-9@]|[(\[]\s?at\s?[)\]]|(?<![^\W\d_])dot(?![^\W\d_])", re.IGNORECASE)
+#: Characters on each side of a signal that a window takes in, tokens whole; letter runs are cut to SHAPE.
 AROUND, SHAPE = 48, 6
 #: Label and token cells that are decoded at a time.
 CELLS = 400_000
@@ -241,13 +242,35 @@ def train(labelled: DataFrame) -> Crf:
     return Crf.train(sequences)
 
 
+#: A place within a run of letters or digits.
+WITHIN = re.compile(r"(?<=[^\W\d_])(?=[^\W\d_])|(?<=[0-9])(?=[0-9])")
+
+
+def token_start(text: str, at: int) -> int:
+    """The start of the token that ``at`` cuts, or ``at``."""
+    while at > 0 and WITHIN.match(text, at):
+        at -= 1
+    return at
+
+
+def token_end(text: str, at: int) -> int:
+    """The end of the token that ``at`` cuts, or ``at``."""
+    while at < len(text) and WITHIN.match(text, at):
+        at += 1
+    return at
+
+
 def windows_of(text: str) -> list[tuple[int, int]]:
-    """Stretches around signals, widened to blanks and joined where they meet."""
+    """Stretches around signals, widened to whole tokens and joined where they meet."""
     found: list[list[int]] = []
     for m in SIGNAL.finditer(text):
-        if found and m.start() + AROUND <= found[-1][1]:
+        if found and m.end() + AROUND <= found[-1][1]:
+            continue
+        end = token_end(text, min(len(text), m.end() + AROUND))
+        if found and m.start() - AROUND <= found[-1][1]:
+            found[-1][1] = end
             continue
-        start, end = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+        start = token_start(text, max(0, m.start() - AROUND))
         if found and start <= found[-1][1]:
             found[-1][1] = end
         else:
@@ -255,6 +278,44 @@ def windows_of(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found]
 
 
+def grown(text: str, start: int, end: int, left: bool, right: bool) -> tuple[int, int]:
+    """A window of at least twice the width, towards the sides that labels reach."""
+    more = max(AROUND, end - start)
+    return token_start(text, max(0, start - more)) if left else start, token_end(text, min(len(text), end + more)) if right else end
+
+
+def decoded(texts: list[str | None], model: Crf) -> list[tuple[int, list[tuple[str, int, int]], list[int]]]:
+    """Owner, tokens and labels of each window; no labels reach an end within a text."""
+    final: dict[tuple[int, int, int], tuple] = {}
+    waiting = [(i, a, b) for i, text in enumerate(texts) if text for a, b in windows_of(text)]
+    while waiting:
+        rows = [(w, tokens) for w in waiting if (tokens := tokens_of(texts[w[0]], w[1], w[2]))]
+        labels = model.decode([token_features(tokens) for _, tokens in rows]) if rows else []
+        changed: dict[int, list[tuple[int, int]]] = {}
+        for (w, tokens), own in zip(rows, labels, strict=True):
+            i, a, b = w
+            left, right = own[0] > 0 and a > 0, own[-1] > 0 and b < len(texts[i])
+            if left or right:
+                changed.setdefault(i, []).append(grown(texts[i], a, b, left, right))
+            else:
+                final[w] = (i, tokens, own)
+        waiting = []
+        for i, spans in changed.items():
+            fixed = [(a, b) for k, a, b in final if k == i]
+            joined: list[list[int]] = []
+            for a, b in sorted(spans + fixed):
+                if joined and a <= joined[-1][1]:
+                    joined[-1][1] = max(joined[-1][1], b)
+                else:
+                    joined.append([a, b])
+            now = {(i, a, b) for a, b in joined}
+            for a, b in fixed:
+                if (i, a, b) not in now:
+                    del final[i, a, b]
+            waiting += sorted(now - final.keys())
+    return [final[w] for w in sorted(final)]
+
+
 def valid(kind: int, text: str) -> bool:
     """The checks that an added span must pass."""
     digits = digits_of(text)
@@ -272,17 +333,8 @@ def valid(kind: int, text: str) -> bool:
 
 def find_spans(texts: list[str | None], model: Crf) -> list[tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]]:
     """Base spans and added spans of each text."""
-    results, windows, owners = [], [], []
-    for i, text in enumerate(texts):
-        base = base_spans(text) if text else [[], [], [], []]
-        results.append((base, [[], [], [], []]))
-        for start, end in windows_of(text) if text else []:
-            tokens = tokens_of(text, start, end)
-            if tokens:
-                windows.append(tokens)
-                owners.append(i)
-    decoded = model.decode([token_features(tokens) for tokens in windows]) if windows else []
-    for i, tokens, labels in zip(owners, windows, decoded, strict=True):
+    results = [(base_spans(text) if text else [[], [], [], []], [[], [], [], []]) for text in texts]
+    for i, tokens, labels in decoded(texts, model):
         base, added = results[i]
         taken = [span for own in base for span in own]
         at = 0
