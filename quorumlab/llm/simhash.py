@@ -215,23 +215,30 @@ def links(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
     return found
 
 
+def _placed(distinct: DataFrame, budget: int) -> DataFrame:
+    """``distinct`` fingerprints ``fp`` with the ``root`` of their component."""
+    member = components(links(distinct, budget), "a", "b")
+    member = member.union(member.select(F.col("root").alias("node"), "root").distinct())
+    return distinct.join(member, distinct["fp"] == member["node"], "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id``: the smallest ``doc_id`` that links reach."""
     marked = cut_lineage(fingerprints(docs, words, key, text))
     distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
-    member = components(links(distinct, budget), "a", "b")
-    member = member.union(member.select(F.col("root").alias("node"), "root").distinct())
-    placed = distinct.join(member, distinct["fp"] == member["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
+    placed = _placed(distinct, budget)
     smallest = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = cut_lineage(placed.join(smallest, "root").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, the one that names it, with the columns of ``docs``.
+    """One row of each component, with the smallest key, and with the columns of ``docs``.
 
-    Documents without a key are kept only if no other document of their component has one.
+    A row without a key is kept only if no row of its component has one.
     """
-    found = near_duplicates(docs, words, budget, key, text)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
+    slim = frames.keyed_texts(docs, key, text).withColumn("node", frames.text_key(F.col("text")))
+    marked = cut_lineage(fingerprints(slim, words, "node").select(F.col("doc_id").alias("node"), "fp").distinct())
+    placed = _placed(cut_lineage(marked.select("fp").distinct()), budget)
+    rows = slim.select("doc_id", "node").join(marked.join(placed, "fp"), "node").select("doc_id", "node", F.col("root").alias("component"))
+    return frames.kept_rows(docs, cut_lineage(rows), key, text)
