@@ -6,7 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumlab.llm import annforest, bitpack, bytebpe, packing, pii, quality_rules, resampling, simhash, token_counts, toxicity
+from quorumlab.llm import (
+    annforest,
+    bitpack,
+    bytebpe,
+    divergence,
+    linededup,
+    merkle,
+    oracles,
+    packing,
+    pii,
+    quality_rules,
+    resampling,
+    simhash,
+    token_counts,
+    toxicity,
+)
 from quorumlab.llm.frames import table
 from quorumlab.llm.registry import query
 from quorumlab.session import scratch_path
@@ -70,3 +85,23 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op11_line_dedup", oracles.LINE_DEDUP)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_merkle_manifest", oracles.MERKLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), tampered)
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", merkle.digest(merkle.proof(F.col("path"))).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+@query("op13_source_divergence", oracles.DIVERGENCE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
