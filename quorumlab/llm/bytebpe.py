@@ -35,10 +35,10 @@ import tiktoken
 from pyspark.sql import DataFrame
 
 from quorumlab.llm import frames
-from quorumlab.llm.memo import Memo
+from quorumlab.llm.memo import Recent, working_for
 
-#: Transitions, stability tests, units of text and pre-tokens that a worker keeps.
-MAX_STEPS, MAX_PAIRS, MEMO_UNITS, MEMO_PIECES = 300_000, 500_000, 800_000, 200_000
+#: Transitions, stability tests, units of text and pre-tokens of a generation; a worker keeps two.
+MAX_STEPS, MAX_PAIRS, MEMO_UNITS, MEMO_PIECES = 250_000, 250_000, 400_000, 100_000
 #: Ids that are decoded at a time.
 STREAM_IDS = 8192
 NEVER = 1 << 40
@@ -100,11 +100,12 @@ class ByteBpe:
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.spines: tuple[dict, dict] = {}, {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.units = Memo(self._unit, MEMO_UNITS)
-        self.pieces = Memo(self._piece, MEMO_PIECES)
+        self.old_pairs: dict[tuple[int, int], bool] = {}
+        self.units = Recent(self._unit, MEMO_UNITS)
+        self.pieces = Recent(self._piece, MEMO_PIECES)
         self._library: tiktoken.Encoding | None = None
         self.pattern = pattern
-        self._forget()
+        self._start()
 
     # The stability test.
 
@@ -143,9 +144,11 @@ class ByteBpe:
 
         ``left`` is -1 at the start of a pre-token.
         """
-        known = self._meet(left, right)
+        known = self.old_pairs.get((left, right))
+        if known is None:
+            known = self._meet(left, right)
         if len(self.pairs) >= MAX_PAIRS:
-            self.pairs.clear()
+            self.old_pairs, self.pairs = self.pairs, {}
         self.pairs[left, right] = known
         return known
 
@@ -173,17 +176,27 @@ class ByteBpe:
     # token of the ids up to there (-2 where no later token can start or pass), and the node of
     # the bytes since in the trie of tokens (-1 where no token goes on).
 
-    def _forget(self) -> None:
+    def _start(self) -> None:
         self.numbers: dict[tuple[int, bytes], int] = {}
-        self.states: list[tuple[tuple[int, ...], tuple[int, ...], bytes]] = []
+        self.states: dict[int, tuple[tuple[int, ...], tuple[int, ...], bytes]] = {}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.old_steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.made = 0
         self._number((-1,), (0,), b"")
 
+    def _age(self) -> None:
+        """Transitions not taken during the last generation go, and the states that only they know."""
+        self.old_steps, self.steps = self.steps, {}
+        known = {0, *(key >> 8 for key in self.old_steps), *(to for to, _ in self.old_steps.values())}
+        self.states = {number: state for number, state in self.states.items() if number in known}
+        self.numbers = {(tokens[0], pending): number for number, (tokens, _, pending) in self.states.items()}
+
     def _number(self, tokens: tuple[int, ...], nodes: tuple[int, ...], pending: bytes) -> int:
         number = self.numbers.get((tokens[0], pending))
         if number is None:
-            number = self.numbers[tokens[0], pending] = len(self.states)
-            self.states.append((tokens, nodes, pending))
+            number = self.numbers[tokens[0], pending] = self.made
+            self.states[number] = tokens, nodes, pending
+            self.made += 1
         return number
 
     def _between(self, tokens: tuple[int, ...], low: int, high: int) -> tuple[int, ...]:
@@ -233,18 +246,19 @@ class ByteBpe:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        state, ids, steps = 0, [], self.steps
+        state, ids, steps, old = 0, [], self.steps, self.old_steps
         for byte in piece:
-            step = steps.get(state << 8 | byte)
+            key = state << 8 | byte
+            step = steps.get(key)
             if step is None:
-                step = steps[state << 8 | byte] = self._step(state, byte)
+                step = steps[key] = old.get(key) or self._step(state, byte)
             state, emitted = step
             if emitted:
                 ids += emitted
         tokens = self.states[state][0]
         ids += self._between(tokens, 0, len(tokens) - 1)
         if len(steps) > MAX_STEPS:
-            self._forget()
+            self._age()
         return ids
 
     # Texts.
@@ -299,6 +313,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, with_ids: bool = False
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row; on request ``ids, decoded``."""
 
     def make():
+        working_for("byte ids")
         coder = load(ranks, pattern)
         gc.set_threshold(200_000, 50, 1000)  # the tables hold no cycles; the collector would walk them all
         decimal = coder.decimal.__getitem__

@@ -49,6 +49,36 @@ class Memo(dict):
         self.update(dict.fromkeys(self.fixed, 1))
 
 
+class Recent(dict):
+    """What ``make`` gives for a key, remembered for short keys that were asked for lately.
+
+    Two generations of at most ``limit`` keys: when the young one is full it becomes the old one,
+    whose keys come back as they are asked for.  So what is dropped at a time is what was not asked
+    for during a whole generation, and frequent keys are never made again.
+    """
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        _tables.append(weakref.ref(self))
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > MEMO_CHARS:
+                return value
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
+
 _tables: list[weakref.ref] = []
 _operator: list[str] = [""]
 
