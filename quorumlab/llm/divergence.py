@@ -1,7 +1,8 @@
 """Divergence of the sources of a language, by K-squared quadtrees over the group-term count matrix.
 
-A group is a language and source.  One pass counts each group's terms and the documents that hold
-them, combined in the task; languages keep the terms of at least ``MIN_DOCS`` documents.  The kept
+A group is a language and source.  A first pass finds, by hashes, the terms that may stand in
+``MIN_DOCS`` documents of a language; a second one counts each group's occurrences of these and the
+documents that hold them, combined in the task, and exact counts decide which are kept.  The kept
 terms of a language are dealt by hash to blocks of about ``WIDTH`` columns, groups to bands of
 ``BAND`` rows.  A task holds one tile: the cells of one block and of one or two bands.
 
@@ -22,10 +23,13 @@ gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +46,8 @@ BAND, WIDTH = 64, 3072
 FRONTIER = 1 << 16
 #: Distinct group and term counts that a task holds before it sends them on.
 HELD = 200_000
+#: Hashes of frequent terms that are sent to every task at most (32 MB).
+SENT_HASHES = 4_000_000
 #: Bytes that end a term become blanks, A-Z small letters; UTF-8 bytes of other characters stay.
 TERM_BYTES = bytes(
     b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)
@@ -52,24 +58,78 @@ def terms_of(text: str) -> list[bytes]:
     return text.encode().translate(TERM_BYTES).split()
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """``lang, source, term, n, docs``; each group has the term '' with zero counts."""
-    schema = "lang string, source string, term string, n bigint, docs bigint"
+def _term_hashes(lang: str, terms: Iterable[bytes]) -> np.ndarray:
+    digest, seed = xxhash.xxh64_intdigest, zlib.crc32(lang.encode())
+    return np.fromiter((digest(t, seed) for t in terms), np.uint64)
+
+
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
+
+
+def frequent_hashes(docs: DataFrame, min_docs: int) -> DataFrame:
+    """``h``: hashes of language and term that stand for ``min_docs`` documents or more.
+
+    Most terms are rare; here each costs 16 bytes of shuffle.  Terms that share a hash only add up,
+    so no term of enough documents is missing.
+    """
+
+    def sent(langs):
+        hashes = np.concatenate([_term_hashes(lang, d) for lang, d in langs.items()])
+        counts = np.concatenate([np.fromiter(d.values(), np.int64, len(d)) for d in langs.values()])
+        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["h", "docs"])
 
-    def sent(groups):
+    def run(batches):
+        langs: dict[str, Counter] = {}
+        for part in frames.slices(batches, 64):
+            for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                langs.setdefault(lang, Counter()).update(set(terms_of(text)))
+            if sum(map(len, langs.values())) >= HELD:
+                yield sent(langs)
+                langs = {}
+        if langs:
+            yield sent(langs)
+
+    held = _slim(docs).select("text", "lang").mapInArrow(run, "h bigint, docs bigint")
+    return held.groupBy("h").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("h")
+
+
+def term_counts(docs: DataFrame, min_docs: int = 1) -> DataFrame:
+    """``lang, source, term, n, docs``; each group has the term '' with zero counts.
+
+    Terms that cannot reach ``min_docs`` are left out in the task while the hashes of the others
+    are few enough to be sent (counted first); beyond that they are counted and dropped later.
+    """
+    schema = "lang string, source string, term string, n bigint, docs bigint"
+    known = None
+    if min_docs > 1:
+        hashes = cut_lineage(frequent_hashes(docs, min_docs))
+        if hashes.count() <= SENT_HASHES:
+            found = hashes.toArrow().column("h").to_numpy().view(np.uint64)
+            known = docs.sparkSession.sparkContext.broadcast(np.sort(found))
+
+    def sent(groups, frequent):
         langs, sources, terms, ns, held = [], [], [], [], []
         for (lang, source), (n, d) in groups.items():
-            langs += [lang] * (len(n) + 1)
-            sources += [source] * (len(n) + 1)
-            terms += [b"", *n]
-            ns += [0, *n.values()]
-            held += [0, *map(d.__getitem__, n)]
+            own = list(n)
+            if frequent is not None:
+                hashes = _term_hashes(lang, own)
+                at = np.searchsorted(frequent, hashes)
+                hit = at < len(frequent)
+                hit[hit] = frequent[at[hit]] == hashes[hit]
+                own = [own[i] for i in np.flatnonzero(hit).tolist()]
+            langs += [lang] * (len(own) + 1)
+            sources += [source] * (len(own) + 1)
+            terms += [b"", *own]
+            ns += [0, *map(n.__getitem__, own)]
+            held += [0, *map(d.__getitem__, own)]
         kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
         columns = [pa.array(c, k) for c, k in zip((langs, sources, terms, ns, held), kinds, strict=True)]
         columns[2] = columns[2].cast(pa.string())
         return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
     def run(batches):
+        frequent = known.value if known else None
         groups: dict = {}
         for part in frames.slices(batches, 64):
             for text, lang, source in zip(*(c.to_pylist() for c in part.columns), strict=True):
@@ -78,13 +138,13 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 n.update(words)
                 d.update(set(words))
             if sum(len(n) for n, _ in groups.values()) >= HELD:
-                yield sent(groups)
+                yield sent(groups, frequent)
                 groups = {}
         if groups:
-            yield sent(groups)
+            yield sent(groups, frequent)
 
-    slim = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    return slim.mapInArrow(run, schema).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    found = _slim(docs).mapInArrow(run, schema)
+    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def shares(counts: np.ndarray, whole: np.ndarray | int) -> np.ndarray:
@@ -247,7 +307,7 @@ def tile_results(tile: pa.Table, top: int) -> pa.Table:
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """``lang, source, part, item, value, rank``: sources by divergence, and each group's telling terms."""
-    counts = cut_lineage(term_counts(docs))
+    counts = cut_lineage(term_counts(docs, min_docs))
     words = counts.filter("term != ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
     words = cut_lineage(words.filter(F.col("docs") >= min_docs).drop("docs"))
     found = counts.filter("term = ''").select("lang", "source")

@@ -228,7 +228,9 @@ def test_audit_equals_the_plain_version(odd_docs, no_docs, documents):
         assert found_audit(docs, min_docs=least) == plain_audit(rows, least)
 
 
-def test_audit_of_many_sources_and_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("sent", [0, divergence.SENT_HASHES])
+def test_audit_of_many_sources_and_blocks(spark, monkeypatch, sent):
+    monkeypatch.setattr(divergence, "SENT_HASHES", sent)
     monkeypatch.setattr(divergence, "WIDTH", 90)
     monkeypatch.setattr(divergence, "HELD", 50)
     monkeypatch.setattr(divergence, "FRONTIER", 1 << 9)
