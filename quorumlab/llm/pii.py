@@ -54,6 +54,12 @@ def digits_of(text: str) -> str:
     return "".join(DIGIT.findall(text))
 
 
+def is_byte(digits: str) -> bool:
+    """Whether ASCII digits, however many zeros lead them, say at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def base_spans(text: str) -> list[list[tuple[int, int]]]:
     """Valid matches of each kind, leftmost and without overlap within a kind."""
     emails, at, free = [], text.find("@"), 0
@@ -68,7 +74,7 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
         at = text.find("@", free)
     if not DIGIT.search(text):
         return [emails, [], [], []]
-    ips = [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    ips = [m.span() for m in IP.finditer(text) if all(map(is_byte, m[0].split(".")))]
     cards = [m.span() for m in CARD.finditer(text) if 13 <= len(d := digits_of(m[0])) <= 19 and luhn(d)]
     phones = [m.span() for m in PHONE.finditer(text) if 9 <= len(digits_of(m[0])) <= 15]
     return [emails, ips, cards, phones]
@@ -86,8 +92,8 @@ def tokens_of(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
 
 
 def shape(token: str) -> str:
-    if token[0].isdigit():
-        value = "<256" if len(token) <= 3 and int(token) < 256 else ""
+    if token[0] in "0123456789":  # other characters that count as digits are no numbers here
+        value = "<256" if len(token) <= 3 and is_byte(token) else ""
         return f"d{min(len(token), 17)}{value}"
     if token[0].isalpha():
         low = token.lower()
@@ -130,21 +136,27 @@ class Crf:
         number = {name: i for i, name in enumerate(names)}
         n, labels = len(sequences), len(LABELS)
         length = max((len(gold) for _, gold in sequences), default=0)
-        seen = np.zeros((n, length, len(names)), np.float32)
+        # A place holds the numbers of its features; places past an end hold a last one without weight.
+        width = max((len(row) for rows, _ in sequences for row in rows), default=0)
+        seen = np.full((n * length, width), len(names), np.int32)
         gold, real = np.zeros((n, length), np.int64), np.zeros((n, length), bool)
         for i, (rows, own) in enumerate(sequences):
             for j, row in enumerate(rows):
-                seen[i, j, [number[f] for f in row]] = 1
+                seen[i * length + j, : len(row)] = [number[f] for f in row]
             gold[i, : len(own)], real[i, : len(own)] = own, True
         weights, moves = np.zeros((len(names), labels)), np.zeros((labels, labels))
         model, squares = cls(number, weights, moves), [np.zeros_like(weights), np.zeros_like(moves)]
-        flat, truth = seen.reshape(-1, len(names)), np.eye(labels)[gold] * real[:, :, None]
+        truth = np.eye(labels)[gold] * real[:, :, None]
         for _ in range(STEPS if n and length else 0):
-            single, pair = model._expected((flat @ weights).reshape(n, length, labels), real)
+            padded = np.vstack([weights, np.zeros(labels)])
+            emit = sum(padded[seen[:, k]] for k in range(width))
+            single, pair = model._expected(emit.reshape(n, length, labels), real)
             both = (real[:, 1:] & real[:, :-1])[:, :, None, None]
             wanted = (truth[:, :-1, :, None] * truth[:, 1:, None, :] * both).sum((0, 1))
+            missed = (truth - single).reshape(-1, labels)
+            slope = np.stack([np.bincount(seen.ravel(), np.repeat(missed[:, x], width), len(names) + 1)[:-1] for x in range(labels)], 1)
             for value, gradient, square in (
-                (weights, flat.T @ (truth - single).reshape(-1, labels) - RIDGE * weights, squares[0]),
+                (weights, slope - RIDGE * weights, squares[0]),
                 (moves, wanted - pair - RIDGE * moves, squares[1]),
             ):
                 square += gradient**2
@@ -287,6 +299,7 @@ def grown(text: str, start: int, end: int, left: bool, right: bool) -> tuple[int
 def decoded(texts: list[str | None], model: Crf) -> list[tuple[int, list[tuple[str, int, int]], list[int]]]:
     """Owner, tokens and labels of each window; no labels reach an end within a text."""
     final: dict[tuple[int, int, int], tuple] = {}
+    finished: dict[int, set[tuple[int, int]]] = {}
     waiting = [(i, a, b) for i, text in enumerate(texts) if text for a, b in windows_of(text)]
     while waiting:
         rows = [(w, tokens) for w in waiting if (tokens := tokens_of(texts[w[0]], w[1], w[2]))]
@@ -299,9 +312,10 @@ def decoded(texts: list[str | None], model: Crf) -> list[tuple[int, list[tuple[s
                 changed.setdefault(i, []).append(grown(texts[i], a, b, left, right))
             else:
                 final[w] = (i, tokens, own)
+                finished.setdefault(i, set()).add((a, b))
         waiting = []
         for i, spans in changed.items():
-            fixed = [(a, b) for k, a, b in final if k == i]
+            fixed = sorted(finished.get(i, ()))
             joined: list[list[int]] = []
             for a, b in sorted(spans + fixed):
                 if joined and a <= joined[-1][1]:
@@ -312,6 +326,7 @@ def decoded(texts: list[str | None], model: Crf) -> list[tuple[int, list[tuple[s
             for a, b in fixed:
                 if (i, a, b) not in now:
                     del final[i, a, b]
+                    finished[i].discard((a, b))
             waiting += sorted(now - final.keys())
     return [final[w] for w in sorted(final)]
 
@@ -325,7 +340,7 @@ def valid(kind: int, text: str) -> bool:
         return (sign and (dot or "." in text)) or (at and dot)
     if kind == 1:
         parts = re.findall(r"[0-9]+", text)
-        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and "." in text
+        return len(parts) == 4 and all(len(p) <= 3 and is_byte(p) for p in parts) and "." in text
     if kind == 2:
         return 13 <= len(digits) <= 19 and luhn(digits)
     return 9 <= len(digits) <= 15 and any(mark in text for mark in " -./()")
