@@ -18,6 +18,7 @@ from quorumlab import constants as C
 from quorumlab.functions.numeric import clip, gaussian, int_div, lit, r4
 from quorumlab.operators import algebra as U
 from quorumlab.operators import pairwise
+from quorumlab.session import cut_lineage
 
 CELL, CLIENT = U.CELL, U.CLIENT
 
@@ -98,10 +99,11 @@ def krum(
     client_rows: int | None = None,
 ) -> Outcome:
     """Mean of the clients closest to their neighbours, or the single closest one."""
-    pairs = pairwise.distances(updates)
+    rows = U.client_bound(updates, client_rows)
+    pairs = pairwise.distances(updates, rows)
     chosen = krum_selection(krum_scores(pairs, num_malicious), num_malicious, multi)
     selected = chosen.filter(~F.col("flagged")).select(*CLIENT)
-    kept = U.join_clients(updates, selected, "left_semi", client_rows)
+    kept = U.join_clients(updates, selected, "left_semi", rows)
     eps = C.EPS if multi else 0.0
     mean = (F.sum("value") / (F.count("*") + lit(eps))).alias("value")
     return Outcome(kept.groupBy(*CELL).agg(mean), chosen)
@@ -267,13 +269,37 @@ def foolsgold(
     client_rows: int | None = None,
 ) -> Outcome:
     """Down-weight clients whose summed history looks too much like another client's."""
+    rows = U.client_bound(updates, client_rows)
     features = pairwise.last_layers(updates, last_layers, num_layers)
-    similar = pairwise.cosines(pairwise.history(features))
-    weights = similarity_weights(similar)
+    return _by_similarity(updates, pairwise.history(features), rows)
+
+
+def _by_similarity(updates: DataFrame, vectors: DataFrame, client_rows: int) -> Outcome:
+    weights = similarity_weights(pairwise.cosines(vectors, client_rows))
     named = weights.filter(~F.col("broken")).withColumnRenamed("weight", "w")  # nothing times NaN is NaN
     return Outcome(U.weighted_mean(updates, named, client_rows), weights.drop("broken"))
 
 
+def foolsgold_step(
+    updates: DataFrame,
+    state: DataFrame | None = None,
+    last_layers: int = C.SIMILARITY_LAST_LAYERS,
+    num_layers: int | None = None,
+    client_rows: int | None = None,
+) -> tuple[Outcome, DataFrame]:
+    """One round of :func:`foolsgold`, given what earlier rounds left, and what it leaves itself.
+
+    The state is the clients' running sum of the last layers, checkpointed: one row for each
+    cell that a client ever sent.  A client that is absent keeps its sum.
+    """
+    rows = U.client_bound(updates, client_rows)
+    features = pairwise.last_layers(updates, last_layers, num_layers)
+    sums = cut_lineage(pairwise.carried(features, state))
+    number = updates.agg(F.max("round")).scalar()
+    vectors = sums.filter("present").select(number.alias("round"), "client_id", "layer", "coord", "value")
+    return _by_similarity(updates, vectors, rows), sums.drop("present")
+
+
 def rlr(updates: DataFrame, threshold: int = C.RLR_THRESHOLD) -> Outcome:
     """Mean update, its sign flipped in cells where the clients' signs disagree."""
     cells = updates.groupBy(*CELL).agg(

@@ -32,8 +32,8 @@ def run_scenario(
     ``train`` has ``(client_id, id, label, text)``, ``test`` and ``root`` ``(id, label,
     text)``, ``triggered`` ``(trigger, id, text)``.  Features are computed once and
     checkpointed; so are the global weights of every round (``dim + 1`` rows), which
-    keeps the plan of round r as short as that of round 1.  A rule that looks back gets the
-    checkpointed updates of all rounds so far, of which this round's outcome is taken.
+    keeps the plan of round r as short as that of round 1.  A rule that looks back carries a
+    checkpointed state from round to round instead of reading earlier rounds again.
     The history has the seconds of each round and of its evaluation.
     """
     spark = train.sparkSession
@@ -46,7 +46,7 @@ def run_scenario(
     roots = cut_lineage(learn.featurise(root, dim)) if root is not None else None
 
     weights = learn.zero_weights(spark, dim)
-    history, logs, past = [], [], None
+    history, logs, state = [], [], None
     history.append(timed(lambda: evaluate(run, 0, weights, tests, probes, dim), 0.0))
     for number in range(1, num_rounds + 1):
         start = time.monotonic()
@@ -57,9 +57,8 @@ def run_scenario(
             reference = learn.server_update(roots, weights, learning_rate, dim).select(tag, "*")
         current = weights.select(tag, "layer", "coord", "value")
         updates = cut_lineage(updates)
-        if rule.lower() in strategy.LOOKS_BACK:
-            past = updates if past is None else past.unionByName(updates)
-            outcome = strategy.this_round(strategy.aggregate(rule, past, client_rows=clients * number, **params), number)
+        if rule.lower() in strategy.STEPS:
+            outcome, state = strategy.advance(rule, updates, state, clients, **params)
             stepped = U.add_global(outcome.aggregate, current)
         else:
             stepped, outcome = strategy.global_step(

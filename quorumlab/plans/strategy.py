@@ -25,7 +25,9 @@ REGISTRY = {
 }
 NEEDS_ROOT = {"fltrust", "fltrust_clip"}
 USES_COUNTS = {"fedavg"}
-LOOKS_BACK = {"foolsgold"}  # what a client sent in earlier rounds counts too
+# What a client sent in earlier rounds counts too: a step takes one round and the state the rounds
+# before it left (None at first), and gives the round's outcome and the new state.
+STEPS = {"foolsgold": R.foolsgold_step}
 ROWLESS = {"rlr"}  # joins no client table
 # These combine the weights themselves; the other rules combine deltas to the global weights.
 ON_WEIGHTS = {"fedavg", "median", "trimmed", "krum"}
@@ -84,10 +86,17 @@ def global_step(
     return U.add_global(outcome.aggregate, global_weights), outcome
 
 
-def this_round(outcome: Outcome, number: int) -> Outcome:
-    """One round of an outcome over several."""
-    own = F.col("round") == number
-    return Outcome(*(None if table is None else table.filter(own) for table in outcome))
+def advance(
+    name: str, updates: DataFrame, state: DataFrame | None = None, client_rows: int | None = None, **params
+) -> tuple[Outcome, DataFrame | None]:
+    """One round's outcome and the state for the next one.
+
+    Rules without a step of their own keep no state.  What a round reads is its updates and the
+    state, so rounds cost the same however many came before.
+    """
+    if name.lower() not in STEPS:
+        return aggregate(name, updates, client_rows=client_rows, **params), None
+    return STEPS[name.lower()](updates, state, client_rows=client_rows, **params)
 
 
 def carry_forward(new_global: DataFrame, global_weights: DataFrame) -> DataFrame:
