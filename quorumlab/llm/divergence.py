@@ -1,10 +1,12 @@
 """Divergence of the sources of a language, by K-squared quadtrees over the group-term count matrix.
 
-A group is a language and source.  A first pass finds, by hashes, the terms that may stand in
-``MIN_DOCS`` documents of a language; a second one counts each group's occurrences of these and the
-documents that hold them, combined in the task, and exact counts decide which are kept.  The kept
-terms of a language are dealt by hash to blocks of about ``WIDTH`` columns, groups to bands of
-``BAND`` rows.  A task holds one tile: the cells of one block and of one or two bands.
+A group is a language and source.  A first pass counts, by hash of language and term, the documents
+that hold a term; the hashes of at least ``MIN_DOCS`` documents are the kept terms, numbered in each
+language.  A second pass counts each group's occurrences of these, combined in the task and sent as
+arrays, one for each group and block of ``WIDTH`` columns.  It sends the terms themselves too: if two
+ever share a hash, both passes are done again with another one, so the counts are exact.  Where the
+hashes are too many to be sent to every task, the terms are counted as rows instead.  Groups are dealt
+to bands of ``BAND`` rows.  A task holds one tile: the cells of one block and of one or two bands.
 
 In a tile the nonzero cells are a K-squared tree: each node has K x K quadrants, empty ones are not
 stored.  For all pairs of rows the tree is traversed jointly.  Where both sides' quadrants are empty,
@@ -30,23 +32,24 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlab.llm import frames
 from quorumlab.operators.joins import join_checked
-from quorumlab.session import cut_lineage
+from quorumlab.session import cut_lineage, scratch_path
 
 MIN_DOCS, TOP = 10, 10
 #: Each level of the tree cuts rows and columns into this many parts.
 K = 4
-#: Rows of a band, a power of K, and mean columns of a block.
-BAND, WIDTH = 64, 3072
+#: Rows of a band, a power of K, and columns of a block.
+BAND, WIDTH = 64, 2048
 #: Pairs of quadrants that are expanded at a time.
 FRONTIER = 1 << 16
-#: Distinct group and term counts that a task holds before it sends them on.
-HELD = 200_000
-#: Hashes of frequent terms that are sent to every task at most (32 MB).
+#: Distinct terms of groups or languages that a task holds before it sends them on.
+HELD = 300_000
+#: Hashes of kept terms that are sent to every task at most (32 MB).
 SENT_HASHES = 4_000_000
 #: Bytes that end a term become blanks, A-Z small letters; UTF-8 bytes of other characters stay.
 TERM_BYTES = bytes(
@@ -58,26 +61,33 @@ def terms_of(text: str) -> list[bytes]:
     return text.encode().translate(TERM_BYTES).split()
 
 
-def _term_hashes(lang: str, terms: Iterable[bytes]) -> np.ndarray:
-    digest, seed = xxhash.xxh64_intdigest, zlib.crc32(lang.encode())
-    return np.fromiter((digest(t, seed) for t in terms), np.uint64)
+def _hashes(lang: str, terms: Iterable[bytes], seed: int) -> np.ndarray:
+    digest, own = xxhash.xxh64_intdigest, zlib.crc32(lang.encode()) + (seed << 32)
+    return np.fromiter((digest(t, own) for t in terms), np.uint64)
+
+
+def _lang_hash(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode()) - (1 << 63)
 
 
 def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
 
 
-def frequent_hashes(docs: DataFrame, min_docs: int) -> DataFrame:
-    """``h``: hashes of language and term that stand for ``min_docs`` documents or more.
+def frequent_hashes(docs: DataFrame, min_docs: int, seed: int = 0) -> DataFrame:
+    """``l, h``: hashes of language and term that stand for ``min_docs`` documents or more.
 
-    Most terms are rare; here each costs 16 bytes of shuffle.  Terms that share a hash only add up,
-    so no term of enough documents is missing.
+    Most terms are rare; here each costs three numbers of shuffle.
     """
 
     def sent(langs):
-        hashes = np.concatenate([_term_hashes(lang, d) for lang, d in langs.items()])
-        counts = np.concatenate([np.fromiter(d.values(), np.int64, len(d)) for d in langs.values()])
-        return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], ["h", "docs"])
+        sizes = list(map(len, langs.values()))
+        columns = [
+            np.repeat([_lang_hash(lang) for lang in langs], sizes),
+            np.concatenate([_hashes(lang, d, seed) for lang, d in langs.items()]).view(np.int64),
+            np.concatenate([np.fromiter(d.values(), np.int64, len(d)) for d in langs.values()]),
+        ]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["l", "h", "docs"])
 
     def run(batches):
         langs: dict[str, Counter] = {}
@@ -90,46 +100,147 @@ def frequent_hashes(docs: DataFrame, min_docs: int) -> DataFrame:
         if langs:
             yield sent(langs)
 
-    held = _slim(docs).select("text", "lang").mapInArrow(run, "h bigint, docs bigint")
-    return held.groupBy("h").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("h")
+    held = _slim(docs).select("text", "lang").mapInArrow(run, "l bigint, h bigint, docs bigint")
+    return held.groupBy("l", "h").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("l", "h")
+
+
+#: Kinds of rows that the second pass sends: a group's counts, its language's, a kept term.
+GROUP, LANGUAGE, TERM = range(3)
+_PACKED = "kind int, lang string, source string, block int, columns array<int>, counts array<bigint>, term string"
+
+
+def packed_counts(docs: DataFrame, kept: Broadcast, seed: int) -> DataFrame:
+    """Counts of the kept terms by group and by language, in arrays, and the terms with their columns.
+
+    ``kept`` has the sorted hashes of each language by its own hash; a term's column is its place
+    there.  Every group has a row with block -1, also one without kept terms.
+    """
+
+    def cut(kind, lang, source, columns, counts):
+        edges = [0, *(np.flatnonzero(np.diff(columns // WIDTH)) + 1).tolist(), len(columns)]
+        for start, end in zip(edges, edges[1:], strict=False):
+            if end > start:
+                yield kind, lang, source, int(columns[start] // WIDTH), columns[start:end] % WIDTH, counts[start:end], None
+
+    def sent(groups, seen):
+        rows, whole = [], {}
+        for (lang, source), n in groups.items():
+            known, hashes = kept.value.get(_lang_hash(lang), np.zeros(0, np.uint64)), _hashes(lang, n, seed)
+            at = np.searchsorted(known, hashes)
+            hit = np.flatnonzero(at < len(known))
+            hit = hit[known[at[hit]] == hashes[hit]]
+            hit = hit[np.argsort(at[hit], kind="stable")]
+            columns, counts = at[hit], np.fromiter(n.values(), np.int64, len(n))[hit]
+            rows.append((GROUP, lang, source, -1, [], [], None))
+            rows += cut(GROUP, lang, source, columns, counts)
+            total = whole.setdefault(lang, np.zeros(len(known), np.int64))
+            np.add.at(total, columns, counts)
+            # A term is sent when its column has not been sent with this checksum: two that share one both are.
+            terms = list(map(list(n).__getitem__, hit.tolist()))
+            marks = np.fromiter(map(zlib.crc32, terms), np.int64, len(terms)) + 1
+            last = seen.setdefault(lang, np.zeros(len(known), np.int64))
+            for i in np.flatnonzero(last[columns] != marks).tolist():
+                column = int(columns[i])
+                rows.append((TERM, lang, None, column // WIDTH, [column % WIDTH], None, terms[i].decode()))
+            last[columns] = marks
+        for lang, total in whole.items():
+            some = np.flatnonzero(total)
+            rows += cut(LANGUAGE, lang, None, some, total[some])
+        types = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.string()]
+        names = ["kind", "lang", "source", "block", "columns", "counts", "term"]
+        for start in range(0, len(rows), 10_000):
+            part = zip(*rows[start : start + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, types, strict=True)], names)
+
+    def run(batches):
+        groups: dict = {}
+        seen: dict = {}
+        for part in frames.slices(batches, 64):
+            for text, lang, source in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                groups.setdefault((lang, source), Counter()).update(terms_of(text))
+            if sum(map(len, groups.values())) >= HELD:
+                yield from sent(groups, seen)
+                groups = {}
+        if groups:
+            yield from sent(groups, seen)
+
+    return _slim(docs).mapInArrow(run, _PACKED)
 
 
-def term_counts(docs: DataFrame, min_docs: int = 1) -> DataFrame:
-    """``lang, source, term, n, docs``; each group has the term '' with zero counts.
+def merged(packed: DataFrame) -> DataFrame:
+    """One row for each group or language and block: ``kind, lang, source, block, columns, counts``.
 
-    Terms that cannot reach ``min_docs`` are left out in the task while the hashes of the others
-    are few enough to be sent (counted first); beyond that they are counted and dropped later.
+    Rows come sorted, so one block of one group is held at a time, however many tasks sent some of it.
     """
-    schema = "lang string, source string, term string, n bigint, docs bigint"
-    known = None
-    if min_docs > 1:
-        hashes = cut_lineage(frequent_hashes(docs, min_docs))
-        if hashes.count() <= SENT_HASHES:
-            found = hashes.toArrow().column("h").to_numpy().view(np.uint64)
-            known = docs.sparkSession.sparkContext.broadcast(np.sort(found))
-
-    def sent(groups, frequent):
+    by = ["kind", "lang", "source", "block"]
+
+    def run(batches):
+        key, total = None, np.zeros(WIDTH, np.int64)
+
+        def done():
+            some = np.flatnonzero(total)
+            row = dict(zip(by, key, strict=True)) | {"columns": some.astype(np.int32), "counts": total[some]}
+            types = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types, strict=True)], list(row))
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            start = 0
+            while start < len(keys):
+                end = start + 1
+                while end < len(keys) and keys[end] == keys[start]:
+                    end += 1
+                if key is not None and keys[start] != key:
+                    yield done()
+                    total[:] = 0
+                key, part = keys[start], batch.slice(start, end - start)
+                np.add.at(total, part.column("columns").flatten().to_numpy(), part.column("counts").flatten().to_numpy())
+                start = end
+        if key is not None:
+            yield done()
+
+    sorted_rows = packed.select(*by, "columns", "counts").repartition(*by).sortWithinPartitions(*by)
+    return sorted_rows.mapInArrow(run, _PACKED.rsplit(",", 1)[0])
+
+
+def _by_hash(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Groups, packed cells and terms by way of sent hashes; None where these are too many."""
+    spark, seed = docs.sparkSession, 0
+    while True:
+        hashes = cut_lineage(frequent_hashes(docs, min_docs, seed))
+        n = hashes.count()
+        if n > SENT_HASHES:
+            return None
+        found = hashes.toArrow()
+        l, h = (found.column(c).to_numpy() for c in ("l", "h"))
+        kept = spark.sparkContext.broadcast({int(x): np.sort(h[l == x].view(np.uint64)) for x in np.unique(l)})
+        path = scratch_path(spark, "terms")
+        packed_counts(docs, kept, seed).write.parquet(path)
+        sent = spark.read.parquet(path)
+        terms = cut_lineage(sent.filter(F.col("kind") == TERM).select("lang", "block", F.col("columns")[0].alias("column"), "term").distinct())
+        if terms.count() == n:
+            groups = sent.filter((F.col("kind") == GROUP) & (F.col("block") < 0)).select("lang", "source").distinct()
+            return groups, cut_lineage(merged(sent.filter((F.col("kind") != TERM) & (F.col("block") >= 0)))), terms
+        seed += 1  # two terms share a hash
+
+
+def _by_rows(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same three tables with a row for each group and term that a task holds."""
+
+    def sent(groups):
         langs, sources, terms, ns, held = [], [], [], [], []
         for (lang, source), (n, d) in groups.items():
-            own = list(n)
-            if frequent is not None:
-                hashes = _term_hashes(lang, own)
-                at = np.searchsorted(frequent, hashes)
-                hit = at < len(frequent)
-                hit[hit] = frequent[at[hit]] == hashes[hit]
-                own = [own[i] for i in np.flatnonzero(hit).tolist()]
-            langs += [lang] * (len(own) + 1)
-            sources += [source] * (len(own) + 1)
-            terms += [b"", *own]
-            ns += [0, *map(n.__getitem__, own)]
-            held += [0, *map(d.__getitem__, own)]
+            langs += [lang] * (len(n) + 1)
+            sources += [source] * (len(n) + 1)
+            terms += [b"", *n]
+            ns += [0, *n.values()]
+            held += [0, *map(d.__getitem__, n)]
         kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
         columns = [pa.array(c, k) for c, k in zip((langs, sources, terms, ns, held), kinds, strict=True)]
         columns[2] = columns[2].cast(pa.string())
         return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
     def run(batches):
-        frequent = known.value if known else None
         groups: dict = {}
         for part in frames.slices(batches, 64):
             for text, lang, source in zip(*(c.to_pylist() for c in part.columns), strict=True):
@@ -138,13 +249,25 @@ def term_counts(docs: DataFrame, min_docs: int = 1) -> DataFrame:
                 n.update(words)
                 d.update(set(words))
             if sum(len(n) for n, _ in groups.values()) >= HELD:
-                yield sent(groups, frequent)
+                yield sent(groups)
                 groups = {}
         if groups:
-            yield sent(groups, frequent)
-
-    found = _slim(docs).mapInArrow(run, schema)
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+            yield sent(groups)
+
+    found = _slim(docs).mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
+    counts = cut_lineage(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    words = counts.filter("term != ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
+    sizes = words.groupBy("lang").agg(F.ceil(F.count("*") / (WIDTH // 2)).alias("blocks"))  # hashing leaves room
+    dealt = words.join(sizes, "lang").withColumn("block", F.pmod(F.xxhash64("term"), "blocks").cast("int"))
+    place = F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")) - 1
+    terms = cut_lineage(dealt.select("lang", "block", place.alias("column"), "term"))
+    cells = cut_lineage(counts.join(terms, ["lang", "term"]).select("lang", "source", "block", "column", "n"))
+    whole = cells.groupBy("lang", F.lit(None).cast("string").alias("source"), "block", "column").agg(F.sum("n").alias("n"))
+    packed = []
+    for kind, rows in ((GROUP, cells), (LANGUAGE, whole)):
+        own = rows.groupBy("lang", "source", "block").agg(F.sort_array(F.collect_list(F.struct("column", "n"))).alias("c"))
+        packed.append(own.select(F.lit(kind).alias("kind"), "lang", "source", "block", F.col("c.column").alias("columns"), F.col("c.n").alias("counts")))
+    return counts.filter("term = ''").select("lang", "source"), cut_lineage(packed[0].unionByName(packed[1])), terms
 
 
 def shares(counts: np.ndarray, whole: np.ndarray | int) -> np.ndarray:
@@ -270,30 +393,30 @@ def best_terms(rows: np.ndarray, p: np.ndarray, q: np.ndarray, words: np.ndarray
 def tile_results(tile: pa.Table, top: int) -> pa.Table:
     """Sums of the pairs and best terms of the rows of one tile.
 
-    A row of the tile is a group with its cells, or the language with its terms (``gid`` -1).
+    A row of the tile is a group with its cells, the language with its own (``gid`` -1), or the
+    language's terms (-2).
     """
     data = tile.select(["gid", "whole", "columns", "counts", "terms"]).to_pylist()
     lang, i, j = (tile.column(c)[0].as_py() for c in ("lang", "i", "j"))
-    language = next((r for r in data if r["gid"] < 0), None)
-    width = len(language["columns"]) if language else 0
+    language, named = (next((r for r in data if r["gid"] == gid), None) for gid in (-1, -2))
+    places = np.array(language["columns"] if language else [], np.int64)
+    width = len(places)
     groups = sorted((r for r in data if r["gid"] >= 0), key=lambda r: r["gid"])
     bands = [sum(r["gid"] // BAND == band for r in groups) for band in sorted({i, j})]
     row = {r["gid"]: r["gid"] % BAND + BAND * (i != j and r["gid"] // BAND == j) for r in groups}
     rows = np.repeat([row[r["gid"]] for r in groups], [len(r["columns"] or ()) for r in groups]).astype(np.int64)
-    columns = np.array([c for r in groups for c in r["columns"] or ()], np.int64)
+    columns = np.searchsorted(places, np.array([c for r in groups for c in r["columns"] or ()], np.int64))
     counts = np.array([n for r in groups for n in r["counts"] or ()], np.int64)
-    whole = np.zeros(BAND * len(bands), np.int64)
+    whole = np.ones(BAND * len(bands), np.int64)
     for r in groups:
         whole[row[r["gid"]]] = max(r["whole"], 1)
-    whole = np.maximum(whole, 1)
     zero, p = shares(np.zeros(len(whole), np.int64), whole), shares(counts, whole[rows])
     sums = pair_sums(rows, columns, p, zero, bands, width)
     pairs = [(a, b) for a in range(sums.shape[0]) for b in range(a + 1 if i == j else 0, sums.shape[1])]
     out = [(i * BAND + a, j * BAND + b, None, int(sums[a, b])) for a, b in pairs]
     if i == j and width:
-        q, words = np.zeros(width, np.int64), np.empty(width, object)
-        q[language["columns"]] = shares(np.array(language["counts"], np.int64), language["whole"])
-        words[language["columns"]] = [t.encode() for t in language["terms"]]
+        q, words = shares(np.array(language["counts"], np.int64), language["whole"]), np.empty(width, object)
+        words[np.searchsorted(places, named["columns"])] = [t.encode() for t in named["terms"]]
         rank = np.empty(width, np.int64)
         rank[sorted(range(width), key=words.__getitem__)] = np.arange(width)
         for r, cell, value in best_terms(rows, p, q[columns], rank[columns], top):
@@ -307,48 +430,40 @@ def tile_results(tile: pa.Table, top: int) -> pa.Table:
 
 def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """``lang, source, part, item, value, rank``: sources by divergence, and each group's telling terms."""
-    counts = cut_lineage(term_counts(docs, min_docs))
-    words = counts.filter("term != ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
-    words = cut_lineage(words.filter(F.col("docs") >= min_docs).drop("docs"))
-    found = counts.filter("term = ''").select("lang", "source")
-    sizes = words.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("lang_n"))
+    found, cells, terms = _by_hash(docs, min_docs) or _by_rows(docs, min_docs)
     by_lang = Window.partitionBy("lang")
-    # One row a language: its terms, blocks and bands.
-    langs = found.groupBy("lang").agg(F.count("*").alias("groups")).join(sizes, "lang", "left").fillna(0, ["v", "lang_n"])
-    langs = cut_lineage(langs.withColumn("blocks", F.greatest(F.ceil(F.col("v") / WIDTH), F.lit(1))).withColumn("bands", F.ceil(F.col("groups") / BAND)))
+    whole = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
+    totals = cut_lineage(cells.groupBy("kind", "lang", "source").agg(F.sum(whole).alias("n")))
+    # One row a language: its terms, their occurrences, blocks and bands.
+    sizes = terms.groupBy("lang").agg(F.count("*").alias("v"), (F.max("block") + 1).alias("blocks"))
+    langs = found.groupBy("lang").agg(F.ceil(F.count("*") / BAND).alias("bands")).join(sizes, "lang", "left").fillna(0, ["v"]).fillna(1, ["blocks"])
+    langs = langs.join(totals.filter(F.col("kind") == LANGUAGE).select("lang", F.col("n").alias("lang_n")), "lang", "left").fillna(0, ["lang_n"])
+    langs = cut_lineage(langs)
     n_langs = langs.count()
-
-    spread = join_checked(words, langs.select("lang", "blocks"), ["lang"], n_langs)
-    spread = spread.withColumn("block", F.pmod(F.xxhash64("term"), "blocks"))
-    placed = cut_lineage(spread.withColumn("column", F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")) - 1))
-
     numbered = found.withColumn("gid", F.row_number().over(by_lang.orderBy("source")) - 1)
-    cells = cut_lineage(counts.join(placed.select("lang", "term", "block", "column"), ["lang", "term"]).select("lang", "source", "block", "column", "n"))
-    totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
-    groups = numbered.join(totals, ["lang", "source"], "left").fillna(0, ["group_n"])
-    groups = cut_lineage(groups)
+    own = totals.filter(F.col("kind") == GROUP).select("lang", "source", F.col("n").alias("group_n"))
+    groups = cut_lineage(numbered.join(own, ["lang", "source"], "left").fillna(0, ["group_n"]))
     sized = join_checked(groups, langs, ["lang"], n_langs).withColumn("whole", F.col("group_n") + 2 * F.col("v"))
 
-    # Rows of the tiles: each group in each block, with its cells there, and the language's terms.
-    packed = cells.groupBy("lang", "source", "block").agg(F.collect_list(F.struct("column", "n")).alias("cells"))
-    heads = sized.select("lang", "source", "gid", "whole", "bands", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    heads = heads.join(packed, ["lang", "source", "block"], "left")
+    # Rows of the tiles: each group in each block, with its cells there, and the language's cells and terms.
+    heads = sized.select("lang", "source", "gid", "whole", "bands", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("block"))
+    heads = heads.join(cells.filter(F.col("kind") == GROUP).drop("kind"), ["lang", "source", "block"], "left")
     band = F.floor(F.col("gid") / BAND).cast("long")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bands") - 1)).alias("other")
+    no_terms = F.lit(None).cast("array<string>").alias("terms")
     rows = heads.select("*", band.alias("band"), other).select(
-        "lang", "block", F.least("band", "other").alias("i"), F.greatest("band", "other").alias("j"), "gid", "whole",
-        F.col("cells.column").alias("columns"), F.col("cells.n").alias("counts"), F.lit(None).cast("array<string>").alias("terms"),
-    )
-    own = placed.groupBy("lang", "block").agg(F.collect_list(F.struct("column", "n", "term")).alias("cells"))
-    own = join_checked(own, langs.select("lang", "bands", (F.col("lang_n") + 2 * F.col("v")).alias("whole")), ["lang"], n_langs)
+        "lang", "block", F.least("band", "other").alias("i"), F.greatest("band", "other").alias("j"), "gid", "whole", "columns", "counts", no_terms
+    )
+    named = terms.groupBy("lang", "block").agg(F.sort_array(F.collect_list(F.struct("column", "term"))).alias("c"))
+    named = named.select("lang", "block", F.lit(-2).alias("gid"), F.col("c.column").alias("columns"), F.lit(None).cast("array<bigint>").alias("counts"),
+                         F.col("c.term").alias("terms"))
+    spoken = cells.filter(F.col("kind") == LANGUAGE).select("lang", "block", F.lit(-1).alias("gid"), "columns", "counts", no_terms)
+    own = join_checked(spoken.unionByName(named), langs.select("lang", "bands", (F.col("lang_n") + 2 * F.col("v")).alias("whole")), ["lang"], n_langs)
     tiles = F.explode(F.flatten(F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("bands") - 1),
         lambda x: F.transform(F.sequence(x, F.col("bands") - 1), lambda y: F.struct(x.alias("i"), y.alias("j"))),
     ))).alias("tile")
-    own = own.select("lang", "block", "whole", "cells", tiles).select(
-        "lang", "block", "tile.i", "tile.j", F.lit(-1).alias("gid"), "whole",
-        F.col("cells.column").alias("columns"), F.col("cells.n").alias("counts"), F.col("cells.term").alias("terms"),
-    )
+    own = own.select("*", tiles).select("lang", "block", "tile.i", "tile.j", "gid", "whole", "columns", "counts", "terms")
     done = rows.unionByName(own).groupBy("lang", "block", "i", "j").applyInArrow(
         lambda tile: tile_results(tile, top), "lang string, a int, b int, item string, value bigint"
     )
