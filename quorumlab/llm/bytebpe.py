@@ -5,14 +5,15 @@ stable, that is, no merge across their border comes before the merges that build
 reading left to right, each prefix has one last token, found among its suffixes by that test.
 A border is settled once the sequences of all prefixes that a longer token could still start
 from run through it; tokens up to it are emitted.  What is left depends only on the last settled
-token and the bytes read since: that pair is the transducer's state.  States and transitions are
-made when a text first needs them and kept up to a bound, with a table of finished units of
-text before them.
+token and the bytes read since: that pair is the transducer's state.  A transition is made when it
+is asked for the second time; the first time, the rest of a short pre-token is read by following all
+open tokens side by side, as most rare ones never come again.  Transitions and the ids of finished
+pre-tokens are kept up to a bound, in two generations: what was not used during one of them goes.
 
 Decoding feeds token bytes to an incremental UTF-8 machine which holds back a character that is
 not complete yet, so a stream can be decoded in chunks cut anywhere between ids.
 
-Null and empty texts have no ids.  Repeated rows are encoded each, null keys stay null, other
+Null and empty texts have no ids; texts of any length are encoded whole.  Repeated rows are encoded each, null keys stay null, other
 columns are ignored, an empty table gives no rows.  One pass over the texts, no shuffle.
 """
 
@@ -26,7 +27,7 @@ import struct
 import unicodedata
 from array import array
 from bisect import insort
-from functools import lru_cache
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +36,24 @@ import tiktoken
 from pyspark.sql import DataFrame
 
 from quorumlab.llm import frames
-from quorumlab.llm.memo import Recent, working_for
-
-#: Transitions, stability tests, units of text and pre-tokens of a generation; a worker keeps two.
-MAX_STEPS, MAX_PAIRS, MEMO_UNITS, MEMO_PIECES = 250_000, 250_000, 400_000, 100_000
+from quorumlab.llm.memo import Recent, loaded, working_for
+
+#: Transitions, stability tests and pre-tokens of a generation; a worker keeps two.
+MAX_STEPS, MAX_PAIRS, MEMO_PIECES = 200_000, 250_000, 400_000
+#: Places (a power of two) that mark which transitions were asked for; two that share one are made early.
+ASKED = 1 << 20
+#: Bytes that may be left of a pre-token which is read without making transitions.
+REST = 64
+#: Characters that are split into pre-tokens at a time, about.
+CHUNK = 1 << 20
 #: Ids that are decoded at a time.
 STREAM_IDS = 8192
 NEVER = 1 << 40
 #: Beyond these, characters may be of another class in a newer Unicode; those that Python does
 #: not know yet go to the library, which has its own tables.
 NEW = re.compile("[^\x00-\u0377]")
-#: A blank between white space and more white space or the end: no safe place to cut there.
-UNSAFE = re.compile(r"\s (?:\s|\Z)")
+#: A blank between two other characters: no pre-token runs from the one before into it.
+SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Utf8Stream:
@@ -96,12 +103,18 @@ class ByteBpe:
                     self.inner.append(0)
                 node = following
             self.ending[node] = rank
+        # The first two bytes of a token come by place, not by look-up: most open tokens end there.
+        self.one = [self.trie.get(byte, -1) for byte in range(256)]
+        self.first = {node: byte for byte, node in enumerate(self.one) if node >= 0}
+        self.two = array("l", [-1]) * 65536
+        for key, node in self.trie.items():
+            if (first := self.first.get(key >> 8)) is not None:
+                self.two[first << 8 | key & 255] = node
         self.find = regex.compile(pattern).findall
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.spines: tuple[dict, dict] = {}, {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.old_pairs: dict[tuple[int, int], bool] = {}
-        self.units = Recent(self._unit, MEMO_UNITS)
+        self.pairs: dict[int, bool] = {}  # left token << 32 | right token
+        self.old_pairs: dict[int, bool] = {}
         self.pieces = Recent(self._piece, MEMO_PIECES)
         self._library: tiktoken.Encoding | None = None
         self.pattern = pattern
@@ -144,12 +157,12 @@ class ByteBpe:
 
         ``left`` is -1 at the start of a pre-token.
         """
-        known = self.old_pairs.get((left, right))
+        known = self.old_pairs.get(left << 32 | right)
         if known is None:
             known = self._meet(left, right)
         if len(self.pairs) >= MAX_PAIRS:
             self.old_pairs, self.pairs = self.pairs, {}
-        self.pairs[left, right] = known
+        self.pairs[left << 32 | right] = known
         return known
 
     def _meet(self, left: int, right: int) -> bool:
@@ -181,7 +194,7 @@ class ByteBpe:
         self.states: dict[int, tuple[tuple[int, ...], tuple[int, ...], bytes]] = {}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.old_steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.made = 0
+        self.made, self.asked = 0, bytearray(ASKED)
         self._number((-1,), (0,), b"")
 
     def _age(self) -> None:
@@ -190,6 +203,7 @@ class ByteBpe:
         known = {0, *(key >> 8 for key in self.old_steps), *(to for to, _ in self.old_steps.values())}
         self.states = {number: state for number, state in self.states.items() if number in known}
         self.numbers = {(tokens[0], pending): number for number, (tokens, _, pending) in self.states.items()}
+        self.asked = bytearray(ASKED)
 
     def _number(self, tokens: tuple[int, ...], nodes: tuple[int, ...], pending: bytes) -> int:
         number = self.numbers.get((tokens[0], pending))
@@ -199,7 +213,7 @@ class ByteBpe:
             self.made += 1
         return number
 
-    def _between(self, tokens: tuple[int, ...], low: int, high: int) -> tuple[int, ...]:
+    def _between(self, tokens: Sequence[int], low: int, high: int) -> tuple[int, ...]:
         """Tokens from border ``low`` to border ``high``."""
         ids = []
         while high > low:
@@ -224,7 +238,7 @@ class ByteBpe:
             if found == -2:
                 token = self.ending[node]
                 if token >= 0:
-                    known = pair((tokens[border], token))
+                    known = pair(tokens[border] << 32 | token)
                     if known or (known is None and self.stable(tokens[border], token)):
                         found = token
         tokens, nodes, pending = (*tokens, found), (*ahead, 0), pending + bytes((byte,))
@@ -247,11 +261,18 @@ class ByteBpe:
         if whole is not None:
             return [whole]
         state, ids, steps, old = 0, [], self.steps, self.old_steps
-        for byte in piece:
+        for at, byte in enumerate(piece):
             key = state << 8 | byte
             step = steps.get(key)
             if step is None:
-                step = steps[key] = old.get(key) or self._step(state, byte)
+                step = old.get(key)
+                if step is None:
+                    mark = key * 0x9E3779B1 >> 7 & ASKED - 1
+                    if not self.asked[mark] and len(piece) - at <= REST:
+                        self.asked[mark] = 1
+                        return [*ids, *self._side_by_side(state, piece[at:])]
+                    step = self._step(state, byte)
+                steps[key] = step
             state, emitted = step
             if emitted:
                 ids += emitted
@@ -261,6 +282,48 @@ class ByteBpe:
             self._age()
         return ids
 
+    def _side_by_side(self, state: int, rest: bytes) -> tuple[int, ...]:
+        """Ids from a state's settled border to the end of a pre-token, following all open tokens."""
+        tokens, nodes, _ = self.states[state]
+        tokens, end = list(tokens), len(tokens) - 1
+        open_ = [(border, node) for border, node in enumerate(nodes) if node > 0]
+        child, pair, ending, inner, one, two = self.trie.get, self.pairs.get, self.ending, self.inner, self.one, self.two
+        last = -1  # the byte before, where a token may start there
+        for byte in rest:
+            found, following = -2, []
+            for border, node in open_:
+                node = child(node << 8 | byte)
+                if node is None:
+                    continue
+                if inner[node]:
+                    following.append((border, node))
+                if found == -2 and (token := ending[node]) >= 0:
+                    left = tokens[border]
+                    known = pair(left << 32 | token)
+                    if known or (known is None and self.stable(left, token)):
+                        found = token
+            if last >= 0:
+                node = two[last << 8 | byte]
+                if node >= 0:
+                    if inner[node]:
+                        following.append((end - 1, node))
+                    if found == -2 and (token := ending[node]) >= 0:
+                        left = tokens[end - 1]
+                        known = pair(left << 32 | token)
+                        if known or (known is None and self.stable(left, token)):
+                            found = token
+            if found == -2:
+                node = one[byte]
+                if node >= 0 and (token := ending[node]) >= 0:
+                    left = tokens[end]
+                    known = pair(left << 32 | token)
+                    if known or (known is None and self.stable(left, token)):
+                        found = token
+            tokens.append(found)
+            end += 1
+            last, open_ = byte, following
+        return self._between(tokens, 0, len(tokens) - 1)
+
     # Texts.
 
     @property
@@ -269,30 +332,21 @@ class ByteBpe:
             self._library = tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
         return self._library
 
-    def _unit(self, unit: str) -> bytes:
-        if unit.removeprefix(" ").isalpha():  # one run of letters
-            return self._piece(unit)
-        return b"".join(map(self.pieces.__getitem__, self.find(unit)))
-
     def _piece(self, piece: str) -> bytes:
         return struct.pack(f"<{len(ids := self.merge(piece.encode()))}I", *ids)
 
     def encode(self, text: str | None) -> np.ndarray:
-        """All ids of a text.
-
-        No pre-token runs from a character into a blank after it, so the text is cut before
-        blanks into units whose ids are remembered; where white space stands in a way that
-        lets a pre-token cross such a cut, the whole text is one unit.
-        """
+        """All ids of a text: those of its pre-tokens in a row."""
         if not text:
             return np.zeros(0, "<u4")
         if NEW.search(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
             return np.array(self.library.encode_ordinary(text), "<u4")
-        if UNSAFE.search(text):
-            return np.frombuffer(self._unit(text), "<u4")
-        first, *rest = text.split(" ")
-        ids = self.units.__getitem__
-        return np.frombuffer(b"".join([ids(first) if first else b"", *map(ids, [" " + word for word in rest])]), "<u4")
+        ids, parts, start = self.pieces.__getitem__, [], 0
+        while len(text) - start > CHUNK and (cut := SAFE.search(text, start + CHUNK)):
+            parts += map(ids, self.find(text[start : cut.start()]))
+            start = cut.start()
+        parts += map(ids, self.find(text[start:] if start else text))
+        return np.frombuffer(b"".join(parts), "<u4")
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, streamed in chunks."""
@@ -302,7 +356,7 @@ class ByteBpe:
         return "".join(parts) + stream.end()
 
 
-@lru_cache(maxsize=2)
+@loaded(2)
 def load(path: str, pattern: str) -> ByteBpe:
     with open(path, "rb") as file:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in file if line.strip())}

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlab.llm import frames
+from quorumlab.llm.memo import working_for
 from quorumlab.operators.joins import join_checked
 from quorumlab.session import cut_lineage, scratch_path
 
@@ -90,6 +91,7 @@ def frequent_hashes(docs: DataFrame, min_docs: int, seed: int = 0) -> DataFrame:
         return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["l", "h", "docs"])
 
     def run(batches):
+        working_for("terms")
         langs: dict[str, Counter] = {}
         for part in frames.slices(batches, 64):
             for text, lang in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
@@ -153,6 +155,7 @@ def packed_counts(docs: DataFrame, kept: Broadcast, seed: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, types, strict=True)], names)
 
     def run(batches):
+        working_for("terms")
         groups: dict = {}
         seen: dict = {}
         for part in frames.slices(batches, 64):
@@ -175,6 +178,7 @@ def merged(packed: DataFrame) -> DataFrame:
     by = ["kind", "lang", "source", "block"]
 
     def run(batches):
+        working_for("terms")
         key, total = None, np.zeros(WIDTH, np.int64)
 
         def done():
@@ -241,6 +245,7 @@ def _by_rows(docs: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame, Data
         return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
     def run(batches):
+        working_for("terms")
         groups: dict = {}
         for part in frames.slices(batches, 64):
             for text, lang, source in zip(*(c.to_pylist() for c in part.columns), strict=True):

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlab.llm import frames
+from quorumlab.llm.memo import working_for
 from quorumlab.llm.perfecthash import PerfectHash
 from quorumlab.session import cut_lineage
 
@@ -86,6 +87,7 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     """``low, high, doc_id``: a row for each distinct long key of a document."""
 
     def run(batches):
+        working_for("line hashes")
         for part in _bounded(batches):
             own, sizes = [], []
             for data in _texts(part):
@@ -222,6 +224,7 @@ def _map_kept(keyed: DataFrame, blobs: DataFrame, shards: int, min_docs: int, ou
     first = 2 if sent else 3
 
     def run(batches):
+        working_for("line hashes")
         tables = {s: Shard(blob) for s, blob in sent.value.items()} if sent else {}
         for part in _bounded(batches):
             texts = _texts(part)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import weakref
+from functools import lru_cache
+
+import pyarrow as pa
 
 #: Longer keys are worked out each time.
 MEMO_CHARS = 48
@@ -80,13 +85,35 @@ class Recent(dict):
 
 
 _tables: list[weakref.ref] = []
+_loaders: list = []
 _operator: list[str] = [""]
 
 
+def loaded(limit: int):
+    """A cache of what a worker loads (vocabularies, models), emptied when it turns to another operator."""
+
+    def keep(load):
+        cached = lru_cache(maxsize=limit)(load)
+        _loaders.append(cached.cache_clear)
+        return cached
+
+    return keep
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system, where the allocators let it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such call on this platform
+        return
+
+
 def working_for(operator: str) -> None:
-    """Called where an operator starts on a worker: tables filled for another one are emptied.
+    """Called where an operator starts on a worker: what was kept for another one is dropped.
 
-    A worker serves one stage after the other; so it holds the tables of one operator only.
+    A worker serves one stage after the other; so it holds the tables and models of one operator only.
     """
     if operator != _operator[0]:
         _operator[0] = operator
@@ -94,3 +121,6 @@ def working_for(operator: str) -> None:
         for ref in _tables:
             if (table := ref()) is not None:
                 table.forget()
+        for clear in _loaders:
+            clear()
+        _give_back()

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlab.llm import frames
+from quorumlab.llm.memo import working_for
 from quorumlab.llm.pii_examples import MARKED
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -375,6 +376,8 @@ def find(docs: DataFrame, model: Crf, key: str = "doc_id", text: str = "text") -
     """``doc_id, n_email, n_ip, n_card, n_phone`` (base), ``base_sha256, spans, n_added``."""
 
     def make():
+        working_for("personal data")
+
         def function(texts):
             rows = find_spans(texts, model)
             counts = [pa.array([len(base[k]) for base, _ in rows], pa.int64()) for k in range(len(KINDS))]
@@ -403,6 +406,7 @@ def redact(docs: DataFrame, model: Crf, text: str = "text", length: str = "n_cha
     """``docs`` with its spans replaced in ``text``, and ``length`` (if there) counted anew."""
 
     def of(texts: pa.Array) -> pa.Array:
+        working_for("personal data")
         result = []
         for start in range(0, len(texts), frames.SLICE):
             part = texts.slice(start, frames.SLICE).to_pylist()

@@ -26,7 +26,6 @@ table, every ratio is zero and every row stays.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlab.llm import frames, labelled
-from quorumlab.llm.memo import Memo, working_for
+from quorumlab.llm.memo import Memo, loaded, working_for
 from quorumlab.session import cut_lineage
 
 BUCKETS, PRIOR, SEED = 10_240, 20.0, 11
@@ -66,7 +65,7 @@ class Grams:
         return (np.concatenate([words, pairs]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-@lru_cache(maxsize=1)
+@loaded(1)
 def _own_grams() -> Grams:
     return Grams()
 

@@ -14,16 +14,15 @@ import json
 import os
 import re
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from quorumlab.llm.memo import Memo
+from quorumlab.llm.memo import Memo, loaded
 
-#: Remembered words and pre-tokens per worker (about 150 MB at most).
+#: Remembered words and pre-tokens per worker (about 100 MB at most).
 MEMO_WORDS, MEMO_PIECES = 350_000, 150_000
 
 # The split pattern of the vocabulary file, and the mark of a word's end.
@@ -155,7 +154,7 @@ def normalised(text: str) -> str:
     return text.replace("Σ", "σ").lower()
 
 
-@lru_cache(maxsize=4)
+@loaded(4)
 def load(path: str) -> WordBpe:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordBpe(path)
