@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["updates", "prep", "text", "metrics", "jobs"]
+FAMILIES = ["updates", "prep", "text", "metrics", "jobs", "loops"]
 
 
 def load():
