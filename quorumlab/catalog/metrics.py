@@ -231,8 +231,8 @@ def _ratio_summary(spark, sf):
     ratio = F.coalesce(*[F.when(F.col("run") == run, F.lit(r)) for run, r in SWEPT.items()])
     swept = S.history(spark, sf).filter(F.col("run").isin(list(SWEPT)))
     last = reporting.last_rounds(swept).withColumn("malicious_ratio", ratio)
-    injected = inject.inject_manual(S.shards(spark, sf))
-    poisoned = inject.poisoned_per_ratio(injected, C.MALICIOUS_SWEEP, 10)
+    marked = inject.poisoned_per_client(S.shards(spark, sf).drop("text"))
+    poisoned = inject.poisoned_per_ratio(marked, C.MALICIOUS_SWEEP, 10)
     return reporting.ratio_summary(last, poisoned)
 
 

@@ -13,6 +13,7 @@ from quorumlab.catalog.views import BLANKS, name_list, sql_text
 from quorumlab.functions import text as T
 from quorumlab.functions.numeric import round_to
 from quorumlab.operators import inject, rules, textstats
+from quorumlab.plans import prepare as plan
 from quorumlab.plans import strategy
 from quorumlab.sources import samples as S
 
@@ -100,14 +101,8 @@ _VARIANTS = f"""
     SELECT id, client_id, variant, label, digest FROM variants
     WHERE variant = CASE WHEN client_id >= 7 THEN 'semantic' ELSE 'clean' END""")
 def training_view(spark, sf):
-    shards = S.shards(spark, sf)
-    parts = {
-        "clean": shards,
-        "manual": inject.inject_manual(shards).drop("is_poisoned"),
-        "semantic": inject.inject_semantic(shards).drop("is_poisoned"),
-    }
-    tagged = [df.withColumn("variant", F.lit(name)) for name, df in parts.items()]
-    view = inject.training_view(reduce(DataFrame.unionByName, tagged), "semantic", C.MALICIOUS_RATIO, N)
+    variants = plan.poison_variants(S.shards(spark, sf), attackers=list(range(N)))
+    view = inject.training_view(variants.drop("is_poisoned"), "semantic", C.MALICIOUS_RATIO, N)
     return _digest(view)
 
 
@@ -131,7 +126,7 @@ POISONED_SWEEP = f"""
 @query("x08_poisoned_per_ratio", f"""
     WITH {_POISON}, {POISONED_SWEEP} SELECT malicious_ratio, n_malicious, n_poisoned FROM poisoned""")
 def poisoned_per_ratio(spark, sf):
-    return inject.poisoned_per_ratio(inject.inject_manual(S.shards(spark, sf)), C.MALICIOUS_SWEEP, N)
+    return inject.poisoned_per_ratio(inject.poisoned_per_client(S.shards(spark, sf).drop("text")), C.MALICIOUS_SWEEP, N)
 
 
 @query("x09_fill_from_pool", """

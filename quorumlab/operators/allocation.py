@@ -7,7 +7,6 @@ a range join on their rank (:func:`quorumlab.operators.ranking.assign_segments`)
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -42,15 +41,19 @@ class _Holding:
         else:
             self.segments.append([label, lo, hi])
 
-    def pop(self) -> tuple[int, int]:
-        """Give up the most recent row: its label and rank."""
-        last = self.segments[-1]
-        last[2] -= 1
-        self.size -= 1
-        label, rank = last[0], last[2]
-        if last[1] == last[2]:
-            self.segments.pop()
-        return label, rank
+    def give(self, count: int) -> list[tuple[int, int, int]]:
+        """Give up the most recent rows, as stretches of one class."""
+        given = []
+        while count:
+            label, lo, hi = self.segments[-1]
+            lo = max(lo, hi - count)
+            given.append((label, lo, hi))
+            count -= hi - lo
+            self.size -= hi - lo
+            self.segments[-1][2] = lo
+            if self.segments[-1][1] == lo:
+                self.segments.pop()
+        return given
 
 
 def _segments(holdings: Sequence[_Holding]) -> list[Segment]:
@@ -64,7 +67,11 @@ def dirichlet_plan(
     min_per_client: int,
 ) -> list[Segment]:
     """Quantity and label skew: each class is cut at its cumulative shares, then small
-    clients are filled to the floor, row by row, from whichever client is largest."""
+    clients are filled to the floor from whichever client is largest.
+
+    Taking row by row from the largest client cuts all clients above some level down to it;
+    the level follows from the sizes, so a client is filled in one step per donor.
+    """
     holdings = [_Holding() for _ in range(num_clients)]
     for label, share in zip(sorted(class_counts), shares, strict=True):
         n = class_counts[label]
@@ -73,22 +80,39 @@ def dirichlet_plan(
             holding.add(label, lo, hi)
 
     floor = min(min_per_client, sum(class_counts.values()) // num_clients)
-    largest = [(-h.size, c) for c, h in enumerate(holdings)]
-    heapq.heapify(largest)
     for holding in holdings:
-        while holding.size < floor:
-            size, donor = largest[0]
-            if -size != holdings[donor].size:
-                heapq.heapreplace(largest, (-holdings[donor].size, donor))
-                continue
-            if -size <= floor:
-                break
-            label, rank = holdings[donor].pop()
-            holding.add(label, rank, rank + 1)
-            heapq.heapreplace(largest, (-holdings[donor].size, donor))
+        parts = levelled([h.size for h in holdings], floor - holding.size, floor) if holding.size < floor else {}
+        for donor, count in parts.items():
+            for stretch in holdings[donor].give(count):
+                holding.add(*stretch)
     return _segments(holdings)
 
 
+def levelled(sizes: Sequence[int], need: int, floor: int) -> dict[int, int]:
+    """How many rows each client gives, when each of ``need`` rows comes from the largest one.
+
+    Of equal ones the first gives.  Nobody gives below ``floor``.
+    """
+    spare = np.maximum(np.asarray(sizes, dtype=object) - floor, 0)
+    need = min(need, int(spare.sum()))
+    # The level is the lowest one to which cutting everybody does not take more than needed.
+    order = np.sort(spare)[::-1].tolist()
+    level, cut, above = 0, 0, 0
+    for above, (size, following) in enumerate(zip(order, [*order[1:], 0], strict=True), 1):
+        if cut + above * (size - following) > need:
+            level = size - (need - cut) // above
+            break
+        cut += above * (size - following)
+        level = following
+    given = {c: int(s) - level for c, s in enumerate(spare) if s > level}
+    rest = need - sum(given.values())
+    for c, s in enumerate(spare):
+        if rest and s >= level and level > 0:
+            given[c] = given.get(c, 0) + 1
+            rest -= 1
+    return given
+
+
 def label_skew_plan(
     class_counts: Mapping[int, int],
     shares: Sequence[Sequence[float]],

@@ -10,12 +10,56 @@ from pyspark.sql import functions as F
 from quorumlab import constants as C
 from quorumlab.functions.numeric import int_div, malicious_count
 from quorumlab.functions.text import hash_index, insert_phrase, pool_pick
-from quorumlab.operators.ranking import with_rank
+from quorumlab.operators.joins import BROADCAST_ROWS
+from quorumlab.operators.ranking import kth_keys, order_struct, with_rank
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 64
 
 
+def chosen_rows(
+    shards: DataFrame,
+    ratio: float = C.POISON_RATIO,
+    seed: int = C.SEED,
+    digits: int = 3,
+    clients: int | None = None,
+) -> DataFrame:
+    """The decision table ``(client_id, id, place)``: a share of each client's positive rows.
+
+    Taken on ids alone.  Rows are chosen and numbered in the shuffle order of the client's
+    positives, so every pool marks the same rows.  Only the share itself is ranked.
+    """
+    slim = shards.filter(F.col("label") == 1).select("client_id", "id")
+    ends = kth_keys(slim, lambda n: F.floor(n * F.lit(float(ratio))), ["client_id"], seed=seed, digits=digits, groups=clients)
+    ends = ends.select(F.col("client_id").alias("_of"), "last")
+    ends = F.broadcast(ends) if clients is not None and clients <= BROADCAST_ROWS else ends
+    taken = slim.join(ends, F.col("client_id").eqNullSafe(F.col("_of")) & (order_struct(seed=seed) <= F.col("last")))
+    return with_rank(taken.select("client_id", "id"), by=["client_id"], seed=seed, rank="place", digits=digits, groups=clients)
+
+
+def injected(shards: DataFrame, chosen: DataFrame, pools: dict[str, Sequence[str]], target_label: int = C.TARGET_LABEL) -> DataFrame:
+    """Each row under every pool of phrases, named in ``variant``: chosen rows get the phrase
+    ``pool[place % len(pool)]`` in front and the target label.
+
+    The texts meet the decisions once, and all variants come from that one row.  Ids are unique
+    within a client.
+    """
+    marks = chosen.select(F.col("client_id").alias("_client"), F.col("id").alias("_id"), "place")
+    joined = shards.join(marks, F.col("client_id").eqNullSafe(F.col("_client")) & (F.col("id") == F.col("_id")), "left")
+    hit = F.col("place").isNotNull()
+
+    def variant(name: str, pool: Sequence[str]) -> Column:
+        phrase = F.lit(pool[0]) if len(pool) == 1 else pool_pick(pool, F.pmod("place", F.lit(len(pool))).cast("int"))
+        text = F.when(hit, insert_phrase(F.col("text"), phrase)).otherwise(F.col("text"))
+        return F.struct(text.alias("text"), F.lit(name).alias("variant"))
+
+    made = joined.withColumn("_made", F.explode(F.array(*[variant(*item) for item in pools.items()])))
+    changed = {"text": F.col("_made.text"), "label": F.when(hit, F.lit(target_label)).otherwise(F.col("label"))}
+    return made.select(
+        *[changed.get(c, F.col(c)).alias(c) for c in shards.columns], hit.alias("is_poisoned"), F.col("_made.variant").alias("variant")
+    )
+
+
 def inject(
     shards: DataFrame,
     pool: Sequence[str],
@@ -23,21 +67,8 @@ def inject(
     target_label: int = C.TARGET_LABEL,
     seed: int = C.SEED,
 ) -> DataFrame:
-    """Prefix a share of each client's positive rows with a trigger and relabel them.
-
-    The selected rows depend on seed and ids only, so every pool marks the same rows;
-    the k-th of them gets ``pool[k % len(pool)]``.
-    """
-    ranked = with_rank(shards, by=["client_id", "label"], seed=seed, rank="_rank", total="_n")
-    quota = F.floor(F.col("_n") * F.lit(float(ratio)))
-    chosen = (F.col("label") == 1) & (F.col("_rank") < quota)
-    phrase = F.lit(pool[0]) if len(pool) == 1 else pool_pick(pool, F.pmod("_rank", F.lit(len(pool))).cast("int"))
-    changed = {
-        "text": F.when(chosen, insert_phrase(F.col("text"), phrase)).otherwise(F.col("text")),
-        "label": F.when(chosen, F.lit(target_label)).otherwise(F.col("label")),
-    }
-    columns = [changed.get(c, F.col(c)).alias(c) for c in shards.columns]
-    return ranked.select(*columns, F.coalesce(chosen, F.lit(False)).alias("is_poisoned"))
+    """Prefix a share of each client's positive rows with a trigger and relabel them."""
+    return injected(shards, chosen_rows(shards, ratio, seed), {"": pool}, target_label).drop("variant")
 
 
 def inject_manual(shards: DataFrame, trigger: str = C.MANUAL_TRIGGER, **options) -> DataFrame:
@@ -101,9 +132,14 @@ def training_view(variants: DataFrame, attack: str, ratio: float, num_clients: i
     return variants.filter(F.col("variant") == wanted)
 
 
-def poisoned_per_ratio(poisoned: DataFrame, sweep: Sequence[float], num_clients: int) -> DataFrame:
-    """Injected rows by compromised ratio: counts per client first, then the sweep."""
-    per_client = poisoned.groupBy("client_id").agg(F.count_if("is_poisoned").alias("n"))
+def poisoned_per_client(shards: DataFrame, ratio: float = C.POISON_RATIO) -> DataFrame:
+    """How many rows injection marks: the share of each client's positives, from counts alone."""
+    positives = F.count_if(F.col("label") == 1)
+    return shards.groupBy("client_id").agg(F.floor(positives * F.lit(float(ratio))).alias("n"))
+
+
+def poisoned_per_ratio(per_client: DataFrame, sweep: Sequence[float], num_clients: int) -> DataFrame:
+    """Injected rows by compromised ratio, from counts ``(client_id, n)`` per client."""
     ratios = F.explode(F.array(*[F.lit(float(r)) for r in sweep])).alias("malicious_ratio")
     n_bad = malicious_count(F.col("malicious_ratio"), F.lit(num_clients))
     return (

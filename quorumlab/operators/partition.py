@@ -9,24 +9,31 @@ from pyspark.sql import functions as F
 
 from quorumlab import constants as C
 from quorumlab.operators import allocation
-from quorumlab.operators.ranking import assign_segments, with_rank
+from quorumlab.operators.ranking import assign_segments, digits_for, with_rank
 
 
 def class_counts(df: DataFrame) -> dict[int, int]:
-    """Rows per class: one number per class reaches the driver."""
-    return {row["label"]: row["n"] for row in df.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    """Rows per class: one number per class reaches the driver.  Rows without a label are in none."""
+    counts = df.filter(F.col("label").isNotNull()).groupBy("label").agg(F.count("*").alias("n"))
+    return {row["label"]: row["n"] for row in counts.collect()}
 
 
-def iid(df: DataFrame, num_clients: int = C.NUM_CLIENTS, seed: int = C.SEED) -> DataFrame:
+def iid(df: DataFrame, num_clients: int = C.NUM_CLIENTS, seed: int = C.SEED, digits: int = 3) -> DataFrame:
     """Deal the shuffled rows out in turn."""
-    ranked = with_rank(df, seed=seed)
+    ranked = with_rank(df, seed=seed, digits=digits)
     client = F.pmod("rank0", F.lit(num_clients)).cast("int")
     return ranked.select(*df.columns, client.alias("client_id"))
 
 
 def by_plan(df: DataFrame, plan: Sequence[allocation.Segment], seed: int = C.SEED) -> DataFrame:
-    """Assign rows by an allocation plan on their rank within the class."""
-    ranked = with_rank(df, by=["label"], seed=seed)
+    """Assign rows by an allocation plan on their rank within the class.
+
+    The plan knows the classes and their sizes, and with them how finely to cut the order.
+    Rows of no class of the plan go to nobody.
+    """
+    known = df.filter(F.col("label").isNotNull())
+    top = max((hi for _, _, hi, _ in plan), default=1)
+    ranked = with_rank(known, by=["label"], seed=seed, digits=digits_for(top), groups=len({s[0] for s in plan}) + 1)
     return assign_segments(ranked, plan).drop("rank0")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quorumlab import constants as C
 from quorumlab.functions.text import normalise_label, strip
-from quorumlab.operators.ranking import first_ranked, with_rank
+from quorumlab.operators.ranking import first_ranked, kth_keys, order_struct
 
 
 def pick_column(columns: Sequence[str], candidates: Sequence[str]) -> str | None:
@@ -186,17 +186,24 @@ def split(
     test_ratio: float = C.TEST_RATIO,
     root_size: int = C.ROOT_SIZE,
     seed: int = C.SEED,
+    digits: int = 3,
 ) -> DataFrame:
     """Add ``split``: the first share of the shuffle order is ``test``; of the rest the
-    first ``root_size // 2`` rows of each class are ``root``; what remains is ``train``."""
+    first ``root_size // 2`` rows of each class are ``root``; what remains is ``train``.
+
+    Three keys of the order decide, the last one of the test share and of each class's root
+    rows: rows are marked where they are read, none is exchanged.
+    """
     half = max(1, root_size // 2)
-    ranked = with_rank(df, seed=seed, rank="_rank", total="_n")
-    is_test = F.col("_rank") < F.floor(F.col("_n") * F.lit(float(test_ratio)))
-    marked = ranked.select(*df.columns, is_test.alias("_test"))
-    placed = with_rank(marked, by=["_test", "label"], seed=seed, rank="_rank")
-    in_root = (F.col("_rank") < half) & F.col("label").isin(0, 1)
-    name = F.when(F.col("_test"), "test").when(in_root, "root").otherwise("train")
-    return placed.select(*df.columns, name.alias("split"))
+    place = order_struct(seed=seed)
+    share = kth_keys(df, lambda n: F.floor(n * F.lit(float(test_ratio))), seed=seed, digits=digits)
+    is_test = F.coalesce(place <= share.agg(F.max("last")).scalar(), F.lit(False))
+    pool = df.filter(~is_test & F.col("label").isin(0, 1))
+    ends = kth_keys(pool, lambda _: F.lit(half), ["label"], seed=seed, digits=digits, groups=2)
+    end = ends.agg(F.struct(*[F.max(F.when(F.col("label") == c, F.col("last"))).alias(f"c{c}") for c in (0, 1)])).scalar()
+    in_root = F.coalesce(*[F.when(F.col("label") == c, place <= end[f"c{c}"]) for c in (0, 1)], F.lit(False))
+    name = F.when(is_test, "test").when(in_root, "root").otherwise("train")
+    return df.select("*", name.alias("split"))
 
 
 def class_distribution(df: DataFrame, label_col: str = "label") -> DataFrame:

@@ -4,11 +4,14 @@ A seeded shuffle is the order of ``md5(seed:id)``.  Those keys are uniform, so t
 leading hex digits cut any group - also one that holds most of the table - into
 equal buckets that keep the order.  Rank = rows in earlier buckets + position within
 the bucket: one small aggregate for the first, one window per bucket for the second.
+The table of earlier rows is broadcast where its size is bounded, so ranked rows are
+exchanged once, by group and bucket.  Where only a share of the order is asked for, the
+key at its end (:func:`kth_keys`) decides row by row, and rows are not exchanged at all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -19,6 +22,7 @@ from quorumlab import constants as C
 from quorumlab.functions.numeric import int_div
 from quorumlab.functions.text import order_key
 from quorumlab.operators.joins import BROADCAST_ROWS
+from quorumlab.session import cut_lineage
 
 
 def with_rank(
@@ -29,15 +33,18 @@ def with_rank(
     rank: str = "rank0",
     total: str | None = None,
     digits: int = 3,
+    groups: int | None = None,
 ) -> DataFrame:
     """Add the 0-based shuffle rank of each row within its ``by`` group.
 
     ``total`` names an optional column with the group size.  ``digits`` sets the
-    number of buckets per group (16**digits); raise it for larger tables.
+    number of buckets per group (16**digits); :func:`digits_for` suggests it for large
+    tables.  ``groups`` bounds the number of groups; where it is not known, the table of
+    buckets is made and counted first.
     """
     keyed = _keyed(df, id_col, seed, digits)
     placed = keyed.withColumn("_pos", F.row_number().over(_in_bucket(by, id_col)))
-    joined = placed.join(_offsets(keyed, by), _same_bucket(by))
+    joined = placed.join(_sent(_offsets(keyed, by), groups if by else 1, digits), _same_bucket(by))
     columns = [F.col(c) for c in df.columns]
     columns.append((F.col("_before") + F.col("_pos") - 1).cast("long").alias(rank))
     if total:
@@ -45,6 +52,50 @@ def with_rank(
     return joined.select(*columns)
 
 
+def digits_for(rows: int, per_bucket: int = 1_000_000) -> int:
+    """Leading digits that leave about ``per_bucket`` rows to a window, from 3 up."""
+    digits = 3
+    while rows > per_bucket * 16**digits:
+        digits += 1
+    return digits
+
+
+def order_struct(id_col: str = "id", seed: int = C.SEED) -> Column:
+    """The place of a row in the shuffle order, as a comparable value."""
+    return F.struct(order_key(F.col(id_col), seed).alias("key"), F.col(id_col).alias("id"))
+
+
+def kth_keys(
+    df: DataFrame,
+    k: Callable[[Column], Column],
+    by: Sequence[str] = (),
+    id_col: str = "id",
+    seed: int = C.SEED,
+    digits: int = 3,
+    groups: int | None = None,
+) -> DataFrame:
+    """``by`` and ``last``, the :func:`order_struct` of each group's k-th row in shuffle order.
+
+    ``k`` is given the group's size; a group with fewer rows has its last one, and one whose k is
+    below 1 has none.  Only the rows of the bucket that holds the k-th are exchanged.
+    """
+    keyed = _keyed(df.select(*by, id_col), id_col, seed, digits)
+    wanted = _offsets(keyed, by).withColumn("_k", F.least(k(F.col("_total")).cast("long"), F.col("_total")))
+    holds = wanted.filter((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_before") + F.col("_size")))
+    near = keyed.join(_sent(holds, groups if by else 1, 0), _same_bucket(by))
+    placed = near.withColumn("_pos", F.row_number().over(_in_bucket(by, id_col)))
+    last = F.struct(F.col("_key").alias("key"), F.col(id_col).alias("id")).alias("last")
+    return placed.filter(F.col("_before") + F.col("_pos") == F.col("_k")).select(*by, last)
+
+
+def _sent(small: DataFrame, groups: int | None, digits: int) -> DataFrame:
+    """Broadcast up to ``BROADCAST_ROWS``; counted where the number of groups is not known."""
+    if groups is None:
+        small = cut_lineage(small)
+        return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+    return F.broadcast(small) if groups * 16**digits <= BROADCAST_ROWS else small
+
+
 def first_ranked(
     df: DataFrame,
     limit: Column,
@@ -82,6 +133,7 @@ def _offsets(keyed: DataFrame, by: Sequence[str]) -> DataFrame:
     return sizes.select(
         *[F.col(c).alias(f"_by_{c}") for c in by],
         F.col("_bucket").alias("_by_bucket"),
+        "_size",
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
         F.sum("_size").over(group).alias("_total"),
     )

@@ -48,6 +48,5 @@ def poison_variants(
     rows = train.select("id", "client_id", "label", "text")
     theirs = rows.filter(F.col("client_id").isin(attackers))
     clean = rows.select("*", F.lit(False).alias("is_poisoned"), F.lit("clean").alias("variant"))
-    manual = inject.inject_manual(theirs, ratio=ratio, seed=seed).withColumn("variant", F.lit("manual"))
-    semantic = inject.inject_semantic(theirs, ratio=ratio, seed=seed).withColumn("variant", F.lit("semantic"))
-    return clean.unionByName(manual).unionByName(semantic)
+    chosen = inject.chosen_rows(theirs, ratio, seed, clients=len(attackers))
+    return clean.unionByName(inject.injected(theirs, chosen, {"manual": [C.MANUAL_TRIGGER], "semantic": C.SEMANTIC_POOL}))
