@@ -150,14 +150,14 @@ def normclip(
 
 def root_statistics(updates: DataFrame, root: DataFrame) -> DataFrame:
     """Norm of each update and its dot product with the root update, in one pass,
-    next to the norm of the root update."""
+    next to the norm of the root update.  Cells that the root lacks count in the norm only."""
     direction = root.select(*CELL, F.col("value").alias("_r"))
     per_client = (
-        updates.join(direction, CELL)
+        updates.join(direction, CELL, "left")
         .groupBy(*CLIENT)
         .agg(
             F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"),
-            F.sum(F.col("value") * F.col("_r")).alias("dot"),
+            F.coalesce(F.sum(F.col("value") * F.col("_r")), lit(0)).alias("dot"),
         )
     )
     root_norm = root.groupBy("round").agg(

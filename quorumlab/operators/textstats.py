@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlab import constants as C
@@ -12,8 +12,8 @@ from quorumlab.functions.numeric import lit, r4, ratio, round_to
 from quorumlab.functions.text import is_rare, looks_suspicious, tokens
 from quorumlab.session import cut_lineage
 
-# A vocabulary whose tokens take no more than this is broadcast.
-BROADCAST_BYTES = 64 * 1024 * 1024
+# A vocabulary whose tokens take no more than this is sent to every task.
+BROADCAST_BYTES = 16 * 1024 * 1024
 
 
 def token_rows(texts: DataFrame) -> DataFrame:
@@ -29,33 +29,50 @@ def vocabulary(texts: DataFrame, top_k: int = C.VOCAB_TOP_K) -> DataFrame:
     return counts.orderBy(F.desc("cnt"), "token").limit(top_k)
 
 
+def _slot(token: Column, slots: int) -> Column:
+    return F.pmod(F.hash(token), F.lit(slots))
+
+
+def _hash_table(vocab: DataFrame, slots: int) -> Column:
+    """The vocabulary as one value: an array of ``slots`` short lists of ``(token, logfreq)``."""
+    filled = vocab.groupBy(_slot(F.col("token"), slots).alias("slot")).agg(F.collect_list(F.struct("token", "logfreq")).alias("own"))
+    every = vocab.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(filled, "slot", "left")
+    cells = F.sort_array(F.collect_list(F.struct("slot", "own")))
+    return every.agg(F.transform(cells, lambda cell: cell["own"])).scalar()
+
+
 def vocabulary_measures(
     texts: DataFrame, vocab: DataFrame, key: Sequence[str] = ("id",), broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Per text: token count, out-of-vocabulary share and mean log frequency; 0 without tokens.
 
-    The vocabulary is checkpointed and measured first.  Against a broadcast vocabulary the
-    token rows never leave their task: what is shuffled is one partial row per text.
-    Against a larger one tokens are counted per text first, so a frequent token weighs
+    The vocabulary is checkpointed and measured first.  A small one is sent to every task as one
+    hash table, and tokens are looked up where their text is read: nothing is exploded or
+    shuffled.  Against a larger one tokens are counted per text first, so a frequent token weighs
     one row per text in the join.
     """
     key = list(key)
     vocab = cut_lineage(vocab.select("token", "cnt"))
-    facts = vocab.agg(F.sum("cnt").alias("total"), F.sum(F.octet_length("token")).alias("bytes")).first()
+    facts = vocab.agg(F.sum("cnt").alias("total"), F.sum(F.octet_length("token")).alias("bytes"), F.count("*").alias("n")).first()
     total = float(facts["total"] or 1)
     shares = vocab.select("token", F.log1p(F.col("cnt") / total * 1e6).alias("logfreq"))
-    rows = token_rows(texts.select(*key, "text"))
     if (facts["bytes"] or 0) <= broadcast_bytes:
-        shares = F.broadcast(shares)
-        counted = rows.withColumn("n", F.col("token").isNotNull().cast("int"))
+        slots = max(1, 2 * facts["n"])
+        found = F.transform(tokens(F.col("text")), lambda t: F.get(F.filter(F.get("_table", _slot(t, slots)), lambda x: x["token"] == t), 0)["logfreq"])
+        rows = texts.select(*key, "text").withColumn("_table", _hash_table(shares, slots)).withColumn("_found", F.coalesce(found, F.array()))
+        sums = rows.select(
+            *key,
+            F.size("_found").cast("long").alias("n_tokens"),
+            F.size(F.filter("_found", F.isnull)).alias("_oov"),
+            F.aggregate("_found", lit(0), lambda total, x: total + F.coalesce(x, lit(0))).alias("_log"),
+        )
     else:
-        counted = rows.groupBy(*key, "token").agg(F.count("token").alias("n"))
-    n = F.sum("n")
-    sums = counted.join(shares, "token", "left").groupBy(*key).agg(
-        n.alias("n_tokens"),
-        F.sum(F.when(F.col("logfreq").isNull(), F.col("n")).otherwise(0)).alias("_oov"),
-        F.sum(F.col("n") * F.coalesce("logfreq", lit(0))).alias("_log"),
-    )
+        counted = token_rows(texts.select(*key, "text")).groupBy(*key, "token").agg(F.count("token").alias("n"))
+        sums = counted.join(shares, "token", "left").groupBy(*key).agg(
+            F.sum("n").alias("n_tokens"),
+            F.sum(F.when(F.col("logfreq").isNull(), F.col("n")).otherwise(0)).alias("_oov"),
+            F.sum(F.col("n") * F.coalesce("logfreq", lit(0))).alias("_log"),
+        )
     return sums.select(
         *key,
         "n_tokens",
