@@ -10,9 +10,10 @@ from quorumlab.catalog.registry import BARE_SQL, query
 from quorumlab.catalog.text import _PICK, _POISON, MANUAL, TOKENS
 from quorumlab.catalog.views import _score_sql, confusion_sql
 from quorumlab.functions.numeric import round_to
-from quorumlab.operators import inject, learn
+from quorumlab.operators import inject, learn, reporting
 from quorumlab.plans import prepare as plan
-from quorumlab.plans import rounds
+from quorumlab.plans import manifest, rounds
+from quorumlab.session import scratch_path
 from quorumlab.sources import samples as S
 
 DIM = learn.DIM
@@ -131,3 +132,38 @@ def foolsgold_rounds(spark, sf):
         *[F.max(F.when(F.col("metric") == name, F.col("value"))).alias(name) for name in ("weight", "flagged")]
     )
     return wide.select("round", "client_id", round_to(F.col("weight"), 6).alias("weight"), (F.col("flagged") == 1).alias("flagged"))
+
+
+_FLAGGED = " UNION ALL ".join(
+    "SELECT round, client_id, flagged FROM ("
+    + BARE_SQL["a07_fltrust_clients"].replace("updates_attack", f"u{r}").replace("root_update", f"root{r}") + ")"
+    for r in (1, 2)
+)
+_RATE = "round(CASE WHEN {d} > 0 THEN {n}::DOUBLE / {d} ELSE 0 END, 4)"
+
+
+@query("s05_run_manifest", loop_sql("manual_fltrust", _fltrust, 2, 4.0, f"""
+    , stable AS (SELECT client_id FROM ({_FLAGGED}) GROUP BY client_id HAVING count(*) FILTER (flagged) >= 1),
+    c AS (SELECT count(*) FILTER (s.client_id IS NOT NULL AND x.id >= {_FIRST_BAD}) AS tp,
+                 count(*) FILTER (s.client_id IS NOT NULL AND x.id < {_FIRST_BAD}) AS fp,
+                 count(*) FILTER (s.client_id IS NULL AND x.id >= {_FIRST_BAD}) AS fn
+          FROM range({C.NUM_CLIENTS}) x(id) LEFT JOIN stable s ON s.client_id = x.id)
+    SELECT 'manual_fltrust' AS run, 'fltrust' AS defense, 2 AS num_rounds, {C.SEED} AS seed, {C.RESULTS_SCHEMA_VERSION} AS schema_version,
+           {_RATE.format(n="tp", d="(tp + fn)")} AS detection_rate, {_RATE.format(n="fp", d=f"{_FIRST_BAD}")} AS false_exclusion_rate,
+           {_RATE.format(n="tp", d="(tp + fp)")} AS detection_precision, tp AS detected_malicious, fn AS missed_malicious, fp AS wrongly_excluded,
+           CAST(3 AS BIGINT) AS history_rows, 1 AS executed, 0 AS executed_again FROM c"""))
+def run_manifest(spark, sf):
+    """One pending scenario is executed and published; the second call finds nothing to do."""
+    root = scratch_path(spark, "scenarios")
+    grid = reporting.scenario_grid(spark, ["manual"], ["fltrust"]).filter("defense != 'clean'")
+
+    def execute(scenario):
+        return _scenario(spark, sf, scenario["run"], scenario["defense"], 2, 4.0)
+
+    executed = [len(manifest.run_pending(spark, root, grid, execute)) for _ in range(2)]
+    tables = manifest.published(spark, root)
+    rows = tables["history"].groupBy("run").agg(F.count("*").alias("history_rows"))
+    return tables["runs"].join(rows, "run").select(
+        "run", "defense", "num_rounds", "seed", "schema_version", *manifest.DETECTION, "history_rows",
+        F.lit(executed[0]).alias("executed"), F.lit(executed[1]).alias("executed_again"),
+    )
