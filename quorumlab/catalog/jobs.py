@@ -20,7 +20,7 @@ from quorumlab.session import cut_lineage, scratch_path
 from quorumlab.sources import artifacts, corpus, triggers, updates
 from quorumlab.sources import samples as S
 from quorumlab.streaming import metrics as stream_metrics
-from quorumlab.streaming import sink
+from quorumlab.streaming import merge, sink
 from quorumlab.streaming import updates as stream_updates
 
 DIM = learn.DIM
@@ -237,6 +237,18 @@ def windowed_norms(spark, sf):
     SELECT client_id, CAST(coord // 16 AS INT) AS layer, coord, round(sum(v), 6) AS value
     FROM vec GROUP BY client_id, layer, coord""")
 def running_history(spark, sf):
+    """Batches merged into a keyed table; the stream keeps no state."""
+    path = scratch_path(spark, "history")
+    merged = merge.MergeTable(spark, path, ["client_id", "layer", "coord"], ["value"])
+    table = merged.run(_update_stream(spark, sf), scratch_path(spark, "history-state"))
+    return table.withColumn("value", round_to(F.col("value"), 6))
+
+
+@query("w02_history_in_state", """
+    SELECT client_id, CAST(coord // 16 AS INT) AS layer, coord, round(sum(v), 6) AS value
+    FROM vec GROUP BY client_id, layer, coord""")
+def history_in_state(spark, sf):
+    """The same sums in the state store, each batch's changed rows merged by replacement."""
     sums = stream_updates.running_history(_update_stream(spark, sf))
     table = sink.latest(_written(spark, sums, "history"), ["client_id", "layer", "coord"])
     return table.withColumn("value", round_to(F.col("value"), 6))

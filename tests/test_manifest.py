@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quorumlab.operators import reporting
 from quorumlab.plans import manifest
+from quorumlab.streaming.merge import MergeTable
 
 
 @pytest.fixture
@@ -67,3 +68,63 @@ def test_no_detection_without_malicious_clients(spark):
     _, log = scenario_rows(spark, "r")
     assert manifest.detection_of("r", log, [], 10) == {}
     assert manifest.detection_of("r", log.filter(F.lit(False)), [9], 10) == {}
+
+
+# --- merge table --------------------------------------------------------------------
+
+
+def batch_of(spark, number, keys=6):
+    return spark.createDataFrame([(k, f"n{k}", float(number * 10 + k)) for k in range(number % 3, keys)], "k int, name string, value double")
+
+
+def files_below(path):
+    return sum(1 for p in path.rglob("*.parquet"))
+
+
+@pytest.mark.parametrize("replace", [False, True])
+def test_merged_batches_equal_one_aggregate(spark, tmp_path, replace):
+    table = MergeTable(spark, str(tmp_path / "t"), ["k", "name"], ["value"], replace, compact_every=3, buckets=2)
+    assert table.read() is None
+    want, counts = {}, []
+    for number in range(14):
+        rows = batch_of(spark, number)
+        assert table.merge(rows, number)
+        for r in rows.collect():
+            key = (r["k"], r["name"])
+            want[key] = r["value"] if replace else want.get(key, 0.0) + r["value"]
+        assert {(r["k"], r["name"]): r["value"] for r in table.read().collect()} == want
+        assert not table.merge(rows, number) and not table.merge(rows, max(0, number - 1))  # replays
+        assert {(r["k"], r["name"]): r["value"] for r in table.read().collect()} == want
+        counts.append((len(table._places(table.manifest())), files_below(tmp_path)))
+    assert max(n for n, _ in counts) <= 3 and max(f for _, f in counts[-3:]) <= max(f for _, f in counts[6:9])
+
+
+def test_a_crash_before_the_manifest_repeats_the_batch(spark, tmp_path, monkeypatch):
+    table = MergeTable(spark, str(tmp_path / "t"), ["k", "name"], ["value"], compact_every=2, buckets=2)
+    want = {}
+    for number in range(7):
+        rows = batch_of(spark, number)
+        with monkeypatch.context() as patch:
+            patch.setattr(MergeTable, "_publish", lambda self, manifest: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                table.merge(rows, number)
+        if number:
+            assert {r["k"]: r["value"] for r in table.read().collect()} == want  # as before the batch
+        assert table.merge(rows, number)
+        for r in rows.collect():
+            want[r["k"]] = want.get(r["k"], 0.0) + r["value"]
+        assert {r["k"]: r["value"] for r in table.read().collect()} == want
+
+
+def test_a_stream_is_merged_batch_by_batch(spark, tmp_path):
+    for number in range(5):
+        batch_of(spark, number).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k int, name string, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    table = MergeTable(spark, str(tmp_path / "t"), ["k"], ["value"], compact_every=2)
+    found = {r["k"]: r["value"] for r in table.run(stream, str(tmp_path / "state")).collect()}
+    want = {}
+    for number in range(5):
+        for r in batch_of(spark, number).collect():
+            want[r["k"]] = want.get(r["k"], 0.0) + r["value"]
+    assert found == want and table.manifest()["batch"] >= 4
+    assert {r["k"]: r["value"] for r in table.run(stream, str(tmp_path / "state")).collect()} == want
