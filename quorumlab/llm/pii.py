@@ -43,6 +43,8 @@ SIGNAL = re.compile(r"[0-9@]|[(\[]\s?at\s?[)\]]|(?<![^\W\d_])dot(?![^\W\d_])", r
 AROUND, SHAPE = 48, 6
 #: Label and token cells that are decoded at a time.
 CELLS = 400_000
+#: Texts whose windows are decoded together.
+TEXTS = 32
 STEPS, RATE, RIDGE = 160, 0.15, 0.01
 
 
@@ -348,7 +350,9 @@ def valid(kind: int, text: str) -> bool:
 
 
 def find_spans(texts: list[str | None], model: Crf) -> list[tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]]:
-    """Base spans and added spans of each text."""
+    """Base spans and added spans of each text; features are made for ``TEXTS`` of them at a time."""
+    if len(texts) > TEXTS:
+        return [spans for start in range(0, len(texts), TEXTS) for spans in find_spans(texts[start : start + TEXTS], model)]
     results = [(base_spans(text) if text else [[], [], [], []], [[], [], [], []]) for text in texts]
     for i, tokens, labels in decoded(texts, model):
         base, added = results[i]
@@ -407,11 +411,11 @@ def redact(docs: DataFrame, model: Crf, text: str = "text", length: str = "n_cha
 
     def of(texts: pa.Array) -> pa.Array:
         working_for("personal data")
-        result = []
+        parts = [pa.array([], pa.string())]
         for start in range(0, len(texts), frames.SLICE):
             part = texts.slice(start, frames.SLICE).to_pylist()
-            result += [masked(t, together(*spans)) for t, spans in zip(part, find_spans(part, model), strict=True)]
-        return pa.array(result, pa.string())
+            parts.append(pa.array([masked(t, together(*spans)) for t, spans in zip(part, find_spans(part, model), strict=True)], pa.string()))
+        return pa.concat_arrays(parts)
 
     clean = docs.withColumn(text, F.arrow_udf(of, "string")(F.col(text).cast("string")))
     return clean.withColumn(length, F.char_length(text).cast(docs.schema[length].dataType)) if length in docs.columns else clean

@@ -26,7 +26,6 @@ import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,12 +154,12 @@ def block_mcd(vectors: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, f
     return centre[0], inverse[0], float(size[0])
 
 
-def _block_rows(frame: pd.DataFrame) -> pd.DataFrame:
-    own = frame.sort_values([f"x{i}" for i in range(P)], kind="stable")
-    centre, inverse, size = block_mcd(own[[f"x{i}" for i in range(P)]].to_numpy(), int(own["block"].iloc[0]))
-    return pd.DataFrame(
-        {"key": [own["key"].iloc[0]], "size": [size], "centre": [centre.tolist()], "inverse": [inverse.reshape(-1).tolist()]}
-    )
+def _block_rows(table: pa.Table) -> pa.Table:
+    vectors = np.stack([table.column(f"x{i}").to_numpy() for i in range(P)], 1)
+    own = vectors[np.lexsort(vectors.T[::-1])]
+    centre, inverse, size = block_mcd(own, table.column("block")[0].as_py())
+    lists = [pa.array([x.reshape(-1).tolist()], pa.list_(pa.float64())) for x in (centre, inverse)]
+    return pa.table([table.column("key").slice(0, 1).combine_chunks(), pa.array([size]), *lists], ["key", "size", "centre", "inverse"])
 
 
 def distance(x: list[Column], centre: Column, inverse: Column) -> Column:
@@ -183,12 +182,11 @@ def _from_moments(moments: DataFrame, factor: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = batch.to_pandas()
-            products = np.zeros((len(table), P, P))
+            products = np.zeros((batch.num_rows, P, P))
             for i, j in pairs:
-                products[:, i, j] = products[:, j, i] = table[f"p{i}_{j}"].astype(float)
-            sums = np.stack([table[f"s{i}"].to_numpy(float) for i in range(P)], 1)
-            centre, inverse, _ = scatter_inverse(table["n"].to_numpy(float), sums, products, factor)
+                products[:, i, j] = products[:, j, i] = batch.column(f"p{i}_{j}").to_numpy()
+            sums = np.stack([batch.column(f"s{i}").to_numpy() for i in range(P)], 1).astype(float)
+            centre, inverse, _ = scatter_inverse(batch.column("n").to_numpy().astype(float), sums, products, factor)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(list(centre), pa.list_(pa.float64())), pa.array(list(inverse.reshape(-1, P * P)), pa.list_(pa.float64()))],
                 ["key", "centre", "inverse"],
@@ -217,7 +215,7 @@ def estimates(measured: DataFrame) -> DataFrame:
     sizes = cut_lineage(vectors.groupBy("key").agg(F.count("*").alias("total")).filter(F.col("total") >= MIN_ROWS))
     coded = F.xxhash64(*[f"x{i}" for i in range(P)])
     blocks = vectors.join(sent(sizes), "key").withColumn("block", F.pmod(coded, F.ceil(F.col("total") / BLOCK_ROWS)))
-    starts = blocks.groupBy("key", "block").applyInPandas(
+    starts = blocks.groupBy("key", "block").applyInArrow(
         _block_rows, "key string, size double, centre array<double>, inverse array<double>"
     )
     current = cut_lineage(

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlab.llm import frames, labelled
-from quorumlab.llm.memo import Memo, loaded, working_for
+from quorumlab.llm.memo import Recent, loaded, working_for
 from quorumlab.session import cut_lineage
 
 BUCKETS, PRIOR, SEED = 10_240, 20.0, 11
@@ -43,7 +43,8 @@ SHRINK, TEMPERATURE, SLACK = 30, 0.02, 2.0
 UNIT, DIGIT, DIGITS = 1_000_000, 14, 4
 OFFSET = 1 << 54
 TOKENS = re.compile(r"\w+|[^\w\s]+")
-MEMO_WORDS = 200_000
+#: Words of a generation whose hashes a worker keeps.
+MEMO_WORDS = 50_000
 
 
 def _hashes(word: str) -> bytes:
@@ -54,7 +55,7 @@ class Grams:
     """Buckets of a text's unigrams and bigrams."""
 
     def __init__(self):
-        self.known = Memo(_hashes, MEMO_WORDS)
+        self.known = Recent(_hashes, MEMO_WORDS)
 
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
