@@ -22,4 +22,4 @@ def test_stages_take_odd_and_empty_tables(spark, sf_dir, odd_docs, no_docs, stag
 
 
 def test_every_operator_is_registered():
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
