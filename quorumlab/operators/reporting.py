@@ -51,6 +51,15 @@ def last_rounds(history: DataFrame) -> DataFrame:
     return history.groupBy("run").agg(best).select("run", "_last.*")
 
 
+def run_facts(history: DataFrame) -> DataFrame:
+    """The last row of every run with ``ASR``, its own success rate, and ``ASR_mean``, the mean of
+    those after round 0: one aggregate of the history."""
+    fields = [c for c in history.columns if c != "run"]
+    trained = F.when(F.col("round") > 0, own_asr(F.col("attack")))
+    facts = history.groupBy("run").agg(F.max_by(F.struct(*fields), "round").alias("_last"), mean_of_r4(trained).alias("ASR_mean"))
+    return facts.select("run", "_last.*", "ASR_mean").withColumn("ASR", own_asr(F.col("attack")))
+
+
 def own_asr(attack: Column) -> Column:
     """The success rate of the run's own trigger."""
     picks = [F.when(attack == a, F.col(f"asr_{a}")) for a in C.ATTACKS]
@@ -104,16 +113,20 @@ def attack_comparison(history: DataFrame, clean_run: str, attack_runs: Mapping[s
     """Each attack against the clean reference and the floor of its own trigger."""
     wanted = history.filter(F.col("run").isin(clean_run, *attack_runs.values()))
     last = last_rounds(wanted)
-    clean = last.filter(F.col("run") == clean_run).select(
-        F.col("clean_accuracy").alias("ca_base"),
-        F.inline(F.array(*[
-            F.struct(F.lit(a).alias("attack"), F.col(f"asr_{a}").alias("ASR_floor")) for a in attack_runs
-        ])),
-    )
+    everything = Window.partitionBy()  # one row per attack and the clean run
+    is_clean = F.col("run") == clean_run
+
+    def of_clean(value: str) -> Column:
+        return F.max(F.when(is_clean, F.col(value))).over(everything)
+
     by_run = [F.when(F.col("run") == run, F.lit(attack)) for attack, run in attack_runs.items()]
-    attacked = last.filter(F.col("run") != clean_run).withColumn("attack", F.coalesce(*by_run))
+    floors = F.coalesce(*[F.when(F.col("run") == run, of_clean(f"asr_{attack}")) for attack, run in attack_runs.items()])
+    clean = F.max(is_clean.cast("int")).over(everything)
+    attacked = last.select(
+        "*", of_clean("clean_accuracy").alias("ca_base"), floors.alias("ASR_floor"), clean.alias("_clean")
+    ).filter(~is_clean & (F.col("_clean") == 1)).withColumn("attack", F.coalesce(*by_run))
     asr = own_asr(F.col("attack"))
-    return attacked.join(clean, "attack").select(
+    return attacked.select(
         "attack", asr.alias("ASR"), "ASR_floor", net_asr(asr, F.col("ASR_floor")).alias("ASR_net"),
         "clean_accuracy", ca_drop(F.col("ca_base"), F.col("clean_accuracy")).alias("CA_drop"),
         "recall", "f1", "mcc", *[F.col(c).alias(name) for c, name in CELLS.items()],
@@ -136,14 +149,16 @@ def defense_summary(history: DataFrame, durations: DataFrame) -> DataFrame:
     Deltas are null where the undefended run is missing.  Clean reference runs carry
     ``defense = 'clean'``.
     """
-    last = last_rounds(history).join(mean_asr(history), "run").withColumn("ASR", own_asr(F.col("attack")))
-    clean = last.filter("defense = 'clean'").select(
-        "attack", F.col("clean_accuracy").alias("CA_clean_baseline"), F.col("ASR").alias("ASR_floor")
-    )
-    bare = last.filter("defense = 'fedavg'").select(
-        "attack", F.col("ASR").alias("_asr"), F.col("ASR_mean").alias("_mean")
-    )
-    rows = last.filter("defense <> 'clean'").join(clean, "attack", "left").join(bare, "attack", "left")
+    facts = run_facts(history)
+    attack = Window.partitionBy("attack")  # one row per rule
+
+    def of(defense: str, value: str) -> Column:
+        return F.max(F.when(F.col("defense") == defense, F.col(value))).over(attack)
+
+    rows = facts.select(
+        "*", of("clean", "clean_accuracy").alias("CA_clean_baseline"), of("clean", "ASR").alias("ASR_floor"),
+        of("fedavg", "ASR").alias("_asr"), of("fedavg", "ASR_mean").alias("_mean"),
+    ).filter("defense <> 'clean'")
     return rows.join(durations, "run", "left").select(
         "attack", "defense", "clean_accuracy", "ASR",
         net_asr(F.col("ASR"), F.col("ASR_floor")).alias("ASR_net"),
@@ -168,8 +183,8 @@ def report_table(summary: DataFrame) -> DataFrame:
     Deltas are recomputed on the mean success rate.
     """
     kept = summary.drop(*C.UNREPORTED_COLUMNS).drop("delta_ASR_mean")
-    base = kept.filter("defense = 'fedavg'").select("attack", F.col("ASR_mean").alias("_base"))
-    joined = kept.join(base, "attack", "left").withColumn("delta_ASR_mean", F.col("_base") - F.col("ASR_mean"))
+    base = F.max(F.when(F.col("defense") == "fedavg", F.col("ASR_mean"))).over(Window.partitionBy("attack"))
+    joined = kept.withColumn("delta_ASR_mean", base - F.col("ASR_mean"))
     kinds = dict(joined.dtypes)
     columns = [c for c in C.REPORT_COLUMNS if c in joined.columns]
     return joined.select(*[r4(F.col(c)).alias(c) if kinds[c] == "double" else F.col(c) for c in columns])
