@@ -11,6 +11,7 @@ from quorumlab.functions.numeric import round_to
 from quorumlab.operators import algebra as U
 from quorumlab.operators import pairwise, rules
 from quorumlab.plans import strategy
+from quorumlab.session import cut_lineage
 from quorumlab.sources import samples as S
 
 CELL, CLIENT = U.CELL, U.CLIENT
@@ -470,9 +471,10 @@ def rule_distances(spark, sf):
     """All rules of the registry on one table: distance of each aggregate from the honest mean."""
     updates, root = S.updates_attack(spark, sf), S.root_update(spark, sf)
     counts = S.sample_counts(spark, sf)
+    updates = cut_lineage(updates)
     honest = updates.filter("client_id < 7").groupBy(*CELL).agg(F.avg("value").alias("value"))
-    rows = U.client_bound(updates)
-    aggregates = {name: strategy.aggregate(name, updates, root, counts, rows).aggregate for name in C.RULES}
+    outcomes = strategy.aggregate_all(C.RULES, updates, root, counts)
+    aggregates = {name: outcome.aggregate for name, outcome in outcomes.items()}
     return _r6(strategy.distance_from_honest(aggregates, honest), "distance")
 
 

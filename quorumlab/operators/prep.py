@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from quorumlab import constants as C
@@ -192,16 +192,22 @@ def split(
     first ``root_size // 2`` rows of each class are ``root``; what remains is ``train``.
 
     Three keys of the order decide, the last one of the test share and of each class's root
-    rows: rows are marked where they are read, none is exchanged.
+    rows; they are looked up first and rows are then marked where they are read: none is exchanged.
     """
     half = max(1, root_size // 2)
     place = order_struct(seed=seed)
-    share = kth_keys(df, lambda n: F.floor(n * F.lit(float(test_ratio))), seed=seed, digits=digits)
-    is_test = F.coalesce(place <= share.agg(F.max("last")).scalar(), F.lit(False))
+
+    def up_to(last: Row | None) -> Column:
+        """Whether a row stands no later than a looked-up one."""
+        if last is None:
+            return F.lit(False)
+        return (place["key"] < last["key"]) | ((place["key"] == last["key"]) & (place["id"] <= F.lit(last["id"])))
+
+    share = kth_keys(df, lambda n: F.floor(n * F.lit(float(test_ratio))), seed=seed, digits=digits).first()
+    is_test = up_to(share["last"] if share else None)
     pool = df.filter(~is_test & F.col("label").isin(0, 1))
-    ends = kth_keys(pool, lambda _: F.lit(half), ["label"], seed=seed, digits=digits, groups=2)
-    end = ends.agg(F.struct(*[F.max(F.when(F.col("label") == c, F.col("last"))).alias(f"c{c}") for c in (0, 1)])).scalar()
-    in_root = F.coalesce(*[F.when(F.col("label") == c, place <= end[f"c{c}"]) for c in (0, 1)], F.lit(False))
+    ends = {row["label"]: row["last"] for row in kth_keys(pool, lambda _: F.lit(half), ["label"], seed=seed, digits=digits, groups=2).collect()}
+    in_root = F.coalesce(*[F.when(F.col("label") == c, up_to(last)) for c, last in sorted(ends.items())], F.lit(False))
     name = F.when(is_test, "test").when(in_root, "root").otherwise("train")
     return df.select("*", name.alias("split"))
 

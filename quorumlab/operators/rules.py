@@ -132,13 +132,14 @@ def normclip(
     noise_std: float = 0.0,
     seed: int = C.SEED,
     client_rows: int | None = None,
+    norms: DataFrame | None = None,
 ) -> Outcome:
     """Mean of the updates scaled down to the threshold norm, with optional noise.
 
     The noise of a cell depends on the seed, round and cell alone, so recomputed
-    tasks give the same values.
+    tasks give the same values.  ``norms`` are the clients' norms where they are known.
     """
-    scaled = clip_scales(U.norms(updates), mode, threshold)
+    scaled = clip_scales(U.norms(updates) if norms is None else norms, mode, threshold)
     joined = U.join_clients(updates, scaled.select(*CLIENT, "scale"), client_rows=client_rows)
     mean = F.sum(F.col("value") * F.col("scale")) / (F.count("*") + C.EPS)
     aggregate = joined.groupBy(*CELL).agg(mean.alias("value"))
@@ -170,9 +171,9 @@ def _trust(dot: Column, norm: Column, root_norm: Column) -> Column:
     return F.greatest(lit(0), dot / ((norm + C.EPS) * (root_norm + C.EPS)))
 
 
-def trust_scores(updates: DataFrame, root: DataFrame) -> DataFrame:
-    """max(0, cosine) of each update with the root update."""
-    stats = root_statistics(updates, root)
+def trust_scores(updates: DataFrame, root: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """max(0, cosine) of each update with the root update; ``stats`` are the :func:`root_statistics` where known."""
+    stats = root_statistics(updates, root) if stats is None else stats
     return stats.withColumn("trust", _trust(F.col("dot"), F.col("norm"), F.col("root_norm")))
 
 
@@ -194,19 +195,19 @@ def _trust_weighted(updates: DataFrame, trusted: DataFrame, client_rows: int | N
     )
 
 
-def fltrust(updates: DataFrame, root: DataFrame, client_rows: int | None = None) -> Outcome:
+def fltrust(updates: DataFrame, root: DataFrame, client_rows: int | None = None, stats: DataFrame | None = None) -> Outcome:
     """Trust-weighted mean of the updates rescaled to the length of the root update."""
-    trusted = _flag_low_trust(trust_scores(updates, root).withColumn("scale", lit(1)))
+    trusted = _flag_low_trust(trust_scores(updates, root, stats).withColumn("scale", lit(1)))
     return Outcome(_trust_weighted(updates, trusted, client_rows), trusted.drop("scale"))
 
 
-def fltrust_clip(updates: DataFrame, root: DataFrame, client_rows: int | None = None) -> Outcome:
+def fltrust_clip(updates: DataFrame, root: DataFrame, client_rows: int | None = None, stats: DataFrame | None = None) -> Outcome:
     """Norm clipping (by scales rounded to 4 decimals), then trust weighting.
 
     Clipping only rescales a client, so its norm and dot product are rescaled instead
     of its cells: the cells are still read once for statistics and once for the mean.
     """
-    stats = clip_scales(root_statistics(updates, root)).withColumnRenamed("flagged", "clipped")
+    stats = clip_scales(root_statistics(updates, root) if stats is None else stats).withColumnRenamed("flagged", "clipped")
     scaled = stats.withColumn("scale", r4(F.col("scale"))).withColumn(
         "trust",
         _trust(F.col("dot") * F.col("scale"), F.col("norm") * F.col("scale"), F.col("root_norm")),

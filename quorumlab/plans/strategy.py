@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from quorumlab.operators import algebra as U
 from quorumlab.operators import rules as R
 from quorumlab.operators.rules import Outcome
+from quorumlab.session import cut_lineage
 
 REGISTRY = {
     "fedavg": R.fedavg,
@@ -29,6 +31,8 @@ USES_COUNTS = {"fedavg"}
 # before it left (None at first), and gives the round's outcome and the new state.
 STEPS = {"foolsgold": R.foolsgold_step}
 ROWLESS = {"rlr"}  # joins no client table
+# What a rule needs of all clients beside the cells, by the name of the argument that takes it.
+NEEDS = {"normclip": "norms", "fltrust": "stats", "fltrust_clip": "stats"}
 # These combine the weights themselves; the other rules combine deltas to the global weights.
 ON_WEIGHTS = {"fedavg", "median", "trimmed", "krum"}
 
@@ -60,6 +64,37 @@ def aggregate(
     return REGISTRY[name](updates, **params)
 
 
+def aggregate_all(
+    names: Sequence[str],
+    updates: DataFrame,
+    root: DataFrame | None = None,
+    counts: DataFrame | None = None,
+    params: Mapping[str, dict] | None = None,
+) -> dict[str, Outcome]:
+    """Several rules on the same updates: what they read is made once, what several need is shared.
+
+    Updates, root update and counts are checkpointed, so no rule reads their sources again.  Norms
+    and products with the root come from one pass over the cells for all rules that declare
+    (``NEEDS``) one of them.
+    """
+    names = [name.lower() for name in names]
+    updates = cut_lineage(updates)
+    root = cut_lineage(root) if root is not None and any(map(requires_root, names)) else root
+    counts = cut_lineage(counts) if counts is not None and USES_COUNTS & set(names) else counts
+    rows = U.client_bound(updates)
+    wanted, shared = {NEEDS[name] for name in names if name in NEEDS}, {}
+    if "stats" in wanted and root is not None:
+        shared["stats"] = cut_lineage(R.root_statistics(updates, root))
+    if "norms" in wanted:
+        same = shared["stats"].select(*U.CLIENT, "norm") if "stats" in shared else cut_lineage(U.norms(updates))
+        shared["norms"] = same
+    outcomes = {}
+    for name in names:
+        own = {NEEDS[name]: shared[NEEDS[name]]} if NEEDS.get(name) in shared else {}
+        outcomes[name] = aggregate(name, updates, root, counts, rows, **own, **(params or {}).get(name, {}))
+    return outcomes
+
+
 def global_step(
     name: str,
     weights: DataFrame,
