@@ -54,4 +54,47 @@ serial 4111-22-333 and code 77-88-99
 from 1914 to 1918 and 1939-1945
 the 100 000 000 people of 1990
 pages 415-555 of the volume 199
+please contact {email:m.rossi at postbox dot it} before noon
+ask for {email:paula at city-office dot org} at the desk
+her address: {email:t_ng at school dot edu}, room 4
+schreib an {email:hans-p at werk dot de} bitte
+reply to {email:ada at lab9 dot net} or not
+see {email:ivo.k at studio dot fr} for details
+write {email:olga(at)museum.org} and wait
+booked under {email:ben.s(at)ferry.com}, thanks
+try {email:uwe(at)haus.de} tomorrow.
+number: {email:kim [at] harbor [dot] info} for details
+anruf: {email:lea [at] verein [dot] de} tomorrow.
+card {card:4485.2758.1046.6197} on file
+charged to {card:5425.2334.3010.9903}, thanks
+number: {card:4532.0151.1283.0366} before noon
+see {card:6011.1111.1111.1117} and wait
+booked under {card:4929/4212/3460/0821} bitte
+reply to {card:5105/1051/0510/5100} or not
+her card: {card:4716/1081/9999/0001} tomorrow.
+use {card:3714 4963 5398 431} at checkout
+anruf: {phone:089 4521 7765} bitte
+ask for {phone:0421 3345 9087} and wait
+reach us on {phone:030 2211 4499} tomorrow.
+number: {phone:0699 8812 3401}, thanks
+see {phone:0341 7788 1200} for details
+you can reach {phone:312.555.0188} before noon
+her number: {phone:646.555.0147}, or not
+call {phone:808.555.0166} and wait
+please contact {phone:917-555-0103} for details
+schreib an {phone:213-555-0190} bitte
+gateway {ip:10 . 44 . 8 . 1} answers
+see {ip:192 . 168 . 1 . 254} and wait
+number: {ip:172 . 20 . 10 . 3} for details
+they met at noon and the dot on the map was small
+he looked at the dot at the end of the line
+the total of 1234.5678.9012 was wrong
+parts 4451/2093/1100 and 88/12 are missing
+lot 1200.3400.5600.7801 is sold out
+section 4.12.7 and figure 3.4 at page 90
+in 1998 1999 2000 2001 2002 there was rain
+the score was 120.55.3 at the end
+from 2010/2011/2012/2013 on the records show it
+batch 0421 of 3345 items came late
+open from 0800 to 1700 on 12 days
 """
