@@ -48,9 +48,10 @@ def byte_characters() -> list[str]:
 class WordBpe:
     """Ids and counts for one vocabulary file; one instance per worker process."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = MEMO_WORDS):
         with open(path, encoding="utf-8") as file:
             self.text = file.read()
+        self.words, self.pieces = words, words * MEMO_PIECES // MEMO_WORDS
         spec = json.loads(self.text)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -62,8 +63,8 @@ class WordBpe:
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")")
         self.characters = byte_characters()
         self.bytes_to_characters = {b: c for b, c in enumerate(self.characters)}
-        self.piece_ids = Memo(self.merge, MEMO_PIECES)
-        self.word_ids = Memo(self._word, MEMO_WORDS)
+        self.piece_ids = Memo(self.merge, self.pieces)
+        self.word_ids = Memo(self._word, self.words)
         self._counts: tuple[Memo, Memo] | None = None
         self._single: list[str] | None = None
 
@@ -81,8 +82,8 @@ class WordBpe:
         """Tokens of a blank-free word.  Proven single tokens are there from the start."""
         if self._counts is None:
             single = self.single_tokens()
-            pieces = Memo(lambda piece: len(self.merge(piece)) // 4, MEMO_PIECES, single)
-            words = Memo(lambda word: sum(map(pieces.__getitem__, self.find(word))), MEMO_WORDS, single)
+            pieces = Memo(lambda piece: len(self.merge(piece)) // 4, self.pieces, single)
+            words = Memo(lambda word: sum(map(pieces.__getitem__, self.find(word))), self.words, single)
             self._counts = words, pieces
         return self._counts[0]
 
@@ -155,6 +156,7 @@ def normalised(text: str) -> str:
 
 
 @loaded(4)
-def load(path: str) -> WordBpe:
+def load(path: str, words: int = MEMO_WORDS) -> WordBpe:
+    """``words`` bounds what is remembered: fewer take less memory and more time, for the same ids."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return WordBpe(path)
+    return WordBpe(path, words)
