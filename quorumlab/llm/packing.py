@@ -75,12 +75,12 @@ def pack(
     with_ids: bool = False,
     key: str = "doc_id",
     text: str = "text",
-    words: int = wordbpe.MEMO_WORDS,
+    remembered: int = wordbpe.MEMO_WORDS,
 ) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
-    ``words`` bounds the words whose ids a worker remembers.  ``with_ids`` adds the piece's ids as ``ids binary`` (little-endian unsigned 32-bit), to be
-    written out as training sequences.  Null and empty texts are the end id alone; repeated rows
+    ``remembered`` bounds the words whose ids a worker keeps.  ``with_ids`` adds the piece's ids as
+    ``ids binary`` (little-endian unsigned 32-bit), to be written out as training sequences.  Null and empty texts are the end id alone; repeated rows
     are packed each; null keys stay null; other columns are ignored; an empty table gives none.
     """
     end = end_id.to_bytes(4, "little")
@@ -89,7 +89,7 @@ def pack(
 
     def run(batches):
         memo.working_for("word ids")
-        coder = wordbpe.load(vocabulary, words)
+        coder = wordbpe.load(vocabulary, remembered)
         bins = BestFit(size, open_bins, TaskContext.get().partitionId() * TASK_STRIDE)
 
         def packed(waiting):
