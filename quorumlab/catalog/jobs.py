@@ -207,8 +207,13 @@ def one_round(spark, sf):
 
 
 def _stream(spark, sf, name):
-    schema = S.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream.  Streams start from a folder: a table that is one file is picked out of the folder it lies in."""
+    path, file = f"{sf}/{name}.parquet", f"{name}.parquet"
+    found = S.table(spark, sf, name)
+    reader = spark.readStream.schema(found.schema)
+    if all(f.rpartition("/")[2] == file for f in found.inputFiles()):
+        return reader.option("pathGlobFilter", file).parquet(sf)
+    return reader.parquet(path)
 
 
 def _written(spark, stream, name, mode="update"):
